@@ -13,24 +13,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _LATIN = [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]
+_FOLDED = [*range(0x00A0, 0x0250), *range(0x0386, 0x0460), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)]
 
 
 @lru_cache(maxsize=None)
 def _fold_tables() -> tuple[str, str]:
     """Characters whose compatibility form is one other letter plus marks, and that letter."""
     source, target = [], []
-    for code in range(0x00A0, 0xFFFF):
+    for code in _FOLDED:
         char = chr(code)
         plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if len(plain) == 1 and plain != char and unicodedata.category(char) != "Cs":
+        if len(plain) == 1 and plain != char:
             source.append(char)
             target.append(plain)
     return "".join(source), "".join(target)
 
 
 @lru_cache(maxsize=None)
-def _compose_pairs() -> tuple[tuple[str, str], ...]:
-    """(decomposed pair, composed letter) for Latin letters, plain bases first."""
+def _compose_pairs() -> str:
+    """Base, mark and composed letter for Latin letters, plain bases first, blank separated."""
     pairs: dict[str, str] = {}
     marks = sorted({c for code in _LATIN for c in unicodedata.normalize("NFD", chr(code))[1:]})
     bases = [chr(c) for c in range(0x41, 0x7B)] + [chr(c) for c in _LATIN]
@@ -39,7 +40,8 @@ def _compose_pairs() -> tuple[tuple[str, str], ...]:
             composed = unicodedata.normalize("NFC", base + mark)
             if len(composed) == 1:
                 pairs[base + mark] = composed
-    return tuple(sorted(pairs.items(), key=lambda kv: (ord(kv[0][0]) > 0x7F, kv[0])))
+    ordered = sorted(pairs.items(), key=lambda kv: (ord(kv[0][0]) > 0x7F, kv[0]))
+    return " ".join(pair + composed for pair, composed in ordered)
 
 
 def squeeze(c: Column) -> Column:
@@ -53,8 +55,8 @@ def strip_space(c: Column) -> Column:
 
 def nfc(c: Column) -> Column:
     """Unicode NFC for Latin text.  Rows without combining marks pass straight through."""
-    pairs = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in _compose_pairs()])
-    composed = F.aggregate(pairs, c, lambda acc, p: F.replace(acc, p[0], p[1]))
+    pairs = F.split(F.lit(_compose_pairs()), " ")
+    composed = F.aggregate(pairs, c, lambda acc, p: F.replace(acc, F.substring(p, 1, 2), F.substring(p, 3, 1)))
     return F.when(c.rlike(r"\p{M}"), composed).otherwise(c)
 
 
