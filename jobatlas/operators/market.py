@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from jobatlas.functions.grounding import source_note
 from jobatlas.functions.parsing import salary_value
+from jobatlas.session import cut_lineage
 
 WINDOW_DAYS = 90
 LATE_DAYS = 45
@@ -120,14 +121,19 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dic
     )
 
 
-def career_core(postings: DataFrame, end: dt.date) -> DataFrame:
-    """Additive measures per career and region plus the national row.
+def mapped_rows(postings: DataFrame, end: dt.date) -> DataFrame:
+    """In-window postings that have a career, reduced to what the aggregates read."""
+    return _prepared(postings, end).where(F.col("career_id") != UNMAPPED)
 
-    Rows are counted once per (career, region); the national row is rolled up from
-    those few counts, so the postings are shuffled only as partial aggregates.
+
+def career_core(mapped: DataFrame) -> DataFrame:
+    """Additive measures per career and region plus the national row, in one pass.
+
+    Rows are counted once per (career, region, source); everything else, the national
+    row included, is rolled up from those few counts, so the postings are shuffled only
+    as partial aggregates.  Regions and sources per career are short fixed lists.
     """
-    mapped = _prepared(postings, end).where(F.col("career_id") != UNMAPPED)
-    base = mapped.groupBy("career_id", "region").agg(
+    base = mapped.groupBy("career_id", "region", "source").agg(
         F.count(F.lit(1)).alias("demand"),
         F.count_if("is_entry").alias("entry"),
         F.count_if(~F.col("is_late")).alias("early"),
@@ -135,12 +141,18 @@ def career_core(postings: DataFrame, end: dt.date) -> DataFrame:
         F.count("salary").alias("samples"),
     )
     measures = ["demand", "entry", "early", "late", "samples"]
-    return with_all_region(base).groupBy("career_id", "region").agg(*[F.sum(m).alias(m) for m in measures])
+    by_source = with_all_region(base).groupBy("career_id", "region", "source").agg(*[F.sum(m).alias(m) for m in measures])
+    rows = by_source.groupBy("career_id", "region").agg(
+        *[F.sum(m).alias(m) for m in measures],
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "demand")))).alias("source_counts"),
+    )
+    own = F.when(F.col("region") != ALL, F.struct((-F.col("demand")).alias("o"), F.col("region").alias("r")))
+    regions = F.array_sort(F.collect_list(own).over(W.partitionBy("career_id")))
+    return rows.withColumn("top_regions", F.transform(regions, lambda s: s.r))
 
 
-def career_top_skills(postings: DataFrame, end: dt.date, limit: int = 10) -> DataFrame:
+def career_top_skills(mapped: DataFrame, limit: int = 10) -> DataFrame:
     """Most frequent skills per career and region: count descending, then name."""
-    mapped = _prepared(postings, end).where(F.col("career_id") != UNMAPPED)
     counts = (
         mapped.select("career_id", "region", F.explode("skills").alias("skill"))
         .groupBy("career_id", "region", "skill").agg(F.count(F.lit(1)).alias("n"))
@@ -150,22 +162,19 @@ def career_top_skills(postings: DataFrame, end: dt.date, limit: int = 10) -> Dat
     return totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def career_top_regions(postings: DataFrame, end: dt.date) -> DataFrame:
+def career_top_regions(mapped: DataFrame) -> DataFrame:
     """Regions of each career by demand: one row per (career, region) with its rank."""
-    mapped = _prepared(postings, end).where(F.col("career_id") != UNMAPPED)
     counts = mapped.groupBy("career_id", "region").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("rank", F.row_number().over(W.partitionBy("career_id").orderBy(F.desc("n"), "region")))
 
 
-def career_source_counts(postings: DataFrame, end: dt.date) -> DataFrame:
-    mapped = _prepared(postings, end).where(F.col("career_id") != UNMAPPED)
+def career_source_counts(mapped: DataFrame) -> DataFrame:
     counts = mapped.groupBy("career_id", "region", "source").agg(F.count(F.lit(1)).alias("n"))
     return with_all_region(counts).groupBy("career_id", "region", "source").agg(F.sum("n").alias("n"))
 
 
-def career_salary_percentiles(postings: DataFrame, end: dt.date) -> DataFrame:
-    mapped = _prepared(postings, end).where((F.col("career_id") != UNMAPPED) & F.col("salary").isNotNull())
-    values = with_all_region(mapped.select("career_id", "region", "salary"))
+def career_salary_percentiles(mapped: DataFrame) -> DataFrame:
+    values = with_all_region(mapped.where(F.col("salary").isNotNull()).select("career_id", "region", "salary"))
     return exact_percentiles(
         values, ["career_id", "region"], "salary",
         {"salary_p25_trieu": 0.25, "salary_p50_trieu": 0.5, "salary_p75_trieu": 0.75},
@@ -177,32 +186,28 @@ def _ordered(order: Column, item: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(item)))), lambda s: s[item])
 
 
-def career_stats(postings: DataFrame, titles: DataFrame, window_end: dt.date | None = None) -> DataFrame:
+def career_stats(postings: DataFrame, titles: DataFrame, window_end: dt.date | None = None, materialize: bool = True) -> DataFrame:
     """The career market table, one row per (career, region) plus ``all``.
 
     ``titles`` holds ``career_id, title``; a mapped posting whose career is missing
-    there fails the job.
+    there fails the job.  The reduced in-window rows feed four aggregates, so they are
+    written once to the checkpoint folder; pass ``materialize=False`` when ``postings``
+    is already a stored table.
     """
     end = window_end or latest_day(postings)
     keys = ["career_id", "region"]
-    core = career_core(postings, end)
-    skills = career_top_skills(postings, end).groupBy(*keys).agg(_ordered(F.col("rank"), "skill").alias("top_skills"))
-    regions = career_top_regions(postings, end).groupBy("career_id").agg(
-        _ordered(F.col("rank"), "region").alias("top_regions")
-    )
-    sources = career_source_counts(postings, end).groupBy(*keys).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("source_counts")
-    )
-    pay = career_salary_percentiles(postings, end)
+    mapped = mapped_rows(postings, end)
+    if materialize:
+        mapped = cut_lineage(mapped)
+    skills = career_top_skills(mapped).groupBy(*keys).agg(_ordered(F.col("rank"), "skill").alias("top_skills"))
     enough_pay = F.col("samples") >= MIN_SALARY_SAMPLES
     trend = trend_pct(F.col("early"), F.col("late"), F.col("demand"))
     title = F.coalesce(
         F.col("title"), F.raise_error(F.concat(F.lit("career absent from the base: "), F.col("career_id")))
     )
     return (
-        core.join(titles.select("career_id", "title"), "career_id", "left")
-        .join(skills, keys, "left").join(regions, "career_id", "left")
-        .join(sources, keys, "left").join(pay, keys, "left")
+        career_core(mapped).join(titles.select("career_id", "title"), "career_id", "left")
+        .join(skills, keys, "left").join(career_salary_percentiles(mapped), keys, "left")
         .select(
             "career_id", "region", title.cast("string").alias("title"),
             F.col("demand").alias("demand_count_90d"),
@@ -259,6 +264,10 @@ def skill_lineage(postings: DataFrame, window_end: dt.date | None = None) -> Dat
     return with_all_region(rows.select(F.explode("skills").alias("skill"), "region", F.col("id").alias("posting_id")))
 
 
+def _pair(key: Column, value: Column) -> Column:
+    return F.struct(key.alias("key"), value.alias("value"))
+
+
 def market_meta(postings: DataFrame, window_end: dt.date | None = None) -> DataFrame:
     """Snapshot counts as key/value rows: totals, per source and per region."""
     end = window_end or latest_day(postings)
@@ -267,11 +276,11 @@ def market_meta(postings: DataFrame, window_end: dt.date | None = None) -> DataF
     )
     keyed = base.select(
         F.explode(F.array(
-            F.struct(F.lit("postings_count").alias("key"), F.col("n").alias("value")),
-            F.struct(F.lit("mapped_postings_count"), F.col("mapped")),
-            F.struct(F.lit("unmapped_postings_count"), F.col("n") - F.col("mapped")),
-            F.struct(F.concat(F.lit("source_counts."), F.col("source")), F.col("n")),
-            F.struct(F.concat(F.lit("region_counts."), F.col("region")), F.col("n")),
+            _pair(F.lit("postings_count"), F.col("n")),
+            _pair(F.lit("mapped_postings_count"), F.col("mapped")),
+            _pair(F.lit("unmapped_postings_count"), F.col("n") - F.col("mapped")),
+            _pair(F.concat(F.lit("source_counts."), F.col("source")), F.col("n")),
+            _pair(F.concat(F.lit("region_counts."), F.col("region")), F.col("n")),
         )).alias("kv")
     )
     counts = keyed.groupBy("kv.key").agg(F.sum("kv.value").cast("string").alias("value"))
