@@ -183,6 +183,7 @@ ENTITIES = (
 def clean_html(value: Column) -> Column:
     """Visible text of an HTML fragment on one line."""
     text = F.regexp_replace(F.coalesce(value, F.lit("")), r"(?is)<!--.*?-->", " ")
+    text = F.regexp_replace(text, r"(?is)<(script|style|template)\b.*?</\1\s*>", " ")
     text = F.regexp_replace(text, r"<[^>]+>", " ")
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))

@@ -76,7 +76,7 @@ def weighted_labels(skills: Column, interests: Column, experiences: Column) -> C
     """Profile labels with their evidence weight, one array element per mention."""
     parts = F.concat(
         F.transform(
-            skills, lambda s: _weighted(s.name, F.when(F.coalesce(s.source_quote, F.lit("")) != "", 1.0).otherwise(0.6))
+            skills, lambda s: _weighted(s["name"], F.when(F.coalesce(s.source_quote, F.lit("")) != "", 1.0).otherwise(0.6))
         ),
         F.transform(interests, lambda i: _weighted(i, 0.5)),
         F.flatten(F.transform(experiences, lambda e: F.transform(e.skills, lambda s: _weighted(s, 0.9)))),
@@ -149,7 +149,7 @@ def profile_text(dims: Column, skills: Column, interests: Column, experiences: C
     ]
     parts = F.concat(
         F.array_compact(F.array(*dim_parts)),
-        F.filter(F.transform(skills, lambda s: s.name), lambda n: n != ""),
+        F.filter(F.transform(skills, lambda s: s["name"]), lambda n: n != ""),
         interests,
         F.flatten(F.transform(experiences, lambda e: F.concat(F.array(e.title), e.skills))),
         F.array_compact(F.array(F.when(goal != "", goal))),

@@ -12,6 +12,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobatlas.functions.parsing import company_anchor, date_bucket
 from jobatlas.functions.text import strip_space
@@ -75,7 +76,7 @@ def title_signatures(title: Column) -> Column:
     return F.when(n < 2, F.array(F.concat(F.lit("="), title))).otherwise(pairs)
 
 
-@F.pandas_udf("array<boolean>")
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
 def _similar(title_a: pd.Series, company_a: pd.Series, title_b: pd.Series, company_b: pd.Series) -> pd.Series:
     """Ratio test in both directions; the ratio is not symmetric."""
     def close(a: str, b: str) -> bool:

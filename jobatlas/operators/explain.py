@@ -52,7 +52,7 @@ def allowed_quotes() -> Column:
     every = _usable(F.concat(
         F.transform("evidence_quotes", lambda q: q.quote),
         F.flatten(F.transform(
-            "skills", lambda s: F.array(s.source_quote, F.when(_text(s.source_quote) != "", s.name))
+            "skills", lambda s: F.array(s.source_quote, F.when(_text(s.source_quote) != "", s["name"]))
         )),
         F.flatten(F.transform("experiences", lambda e: F.array(e.source_quote, e.title))),
         F.col("interests"),
@@ -121,7 +121,7 @@ def _related(a: Column, b: Column) -> Column:
 def template_why(counterfactual: Column) -> Column:
     """``struct<from_you, from_market, counterfactual>`` from facts only."""
     title, tops = F.col("title"), F.col("top_skills")
-    skill = F.get(F.filter("skills", lambda s: (_text(s.source_quote) != "") & F.exists(tops, lambda t: _related(s.name, t))), F.lit(0))
+    skill = F.get(F.filter("skills", lambda s: (_text(s.source_quote) != "") & F.exists(tops, lambda t: _related(s["name"], t))), F.lit(0))
     interest = F.get(F.filter("interests", lambda i: _related(i, title) | F.exists(tops, lambda t: _related(i, t))), F.lit(0))
     vec = dim_vector(F.col("dimensions"))
     dim = F.get(F.array(*[F.lit(k) for k in DIMENSIONS]), dominant_index(vec))

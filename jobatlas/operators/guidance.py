@@ -80,15 +80,15 @@ def evidenced_skills(skills: Column, experiences: Column) -> Column:
             F.substring(F.trim(F.coalesce(evidence, F.lit(""))), 1, 240).alias("evidence"),
         )
 
-    quoted = F.transform(skills, lambda s: entry(s.name, s.source_quote))
+    quoted = F.transform(skills, lambda s: entry(s["name"], s.source_quote))
 
     def from_experience(e: Column) -> Column:
         evidence = F.when(F.coalesce(e.source_quote, F.lit("")) != "", e.source_quote).otherwise(e.title)
         return F.transform(e.skills, lambda s: entry(s, evidence))
 
     every = F.concat(quoted, F.flatten(F.transform(experiences, from_experience)))
-    kept = F.filter(every, lambda x: (x.name != "") & (x.evidence != ""))
-    return distinct_by_label(kept, lambda x: norm_label(x.name))
+    kept = F.filter(every, lambda x: (x["name"] != "") & (x.evidence != ""))
+    return distinct_by_label(kept, lambda x: norm_label(x["name"]))
 
 
 def matched_missing(evidenced: Column, role_skills: Column) -> Column:
@@ -97,7 +97,7 @@ def matched_missing(evidenced: Column, role_skills: Column) -> Column:
     paired = F.transform(
         tops,
         lambda r: F.struct(
-            r.alias("skill"), F.get(F.filter(evidenced, lambda e: skill_match(e.name, r)), F.lit(0)).evidence.alias("evidence")
+            r.alias("skill"), F.get(F.filter(evidenced, lambda e: skill_match(e["name"], r)), F.lit(0)).evidence.alias("evidence")
         ),
     )
     matched = distinct_by_label(F.filter(paired, lambda p: p.evidence.isNotNull()), lambda p: norm_label(p.skill))

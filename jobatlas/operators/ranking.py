@@ -144,7 +144,7 @@ WHAT_IF_QUOTE = "Giả định để mô phỏng; chưa phải bằng chứng tr
 def add_hypothetical_skill(profiles: DataFrame, skill: Column) -> DataFrame:
     """Copy of the profiles with one unverified skill; rejected skills drop the profile row."""
     cleaned = clean_hypothetical_skill(skill)
-    known = F.exists("skills", lambda s: F.lower(s.name) == F.lower(cleaned))
+    known = F.exists("skills", lambda s: F.lower(s["name"]) == F.lower(cleaned))
     extra = F.array(F.struct(
         cleaned.alias("name"), F.lit(WHAT_IF_LEVEL).alias("level"), F.lit(WHAT_IF_QUOTE).alias("source_quote")
     ))

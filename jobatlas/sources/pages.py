@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobatlas.functions.parsing import canonical_url, clean_html, is_expired, salary_text, split_skills, stable_job_id
 from jobatlas.operators.sampling import seeded_order
@@ -34,7 +35,7 @@ def _deep_find(value, wanted: str):
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _first_job(scripts: pd.Series) -> pd.Series:
     """First ``JobPosting`` object among a page's scripts, at any depth, as JSON text."""
     def pick(bodies) -> str | None:
