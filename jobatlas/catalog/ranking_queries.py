@@ -215,11 +215,11 @@ def roadmap_fallback(spark, sf):
     return features.select("career_id", F.array_join(F.transform(steps, lambda s: F.concat(s.skill, F.lit(":"), s.status)), ",").alias("roadmap"))
 
 
-@query(with_ctes("SELECT session_id, career_id FROM rnk WHERE rank <= 5 AND career_id IN (SELECT career_id FROM creg WHERE rank = 1 AND region = 'ASIA')", "rnk", "creg"))
+@query(with_ctes("SELECT session_id, career_id FROM rnk WHERE rank <= 5 AND career_id IN (SELECT career_id FROM creg WHERE rank <= 2 AND region = 'ASIA')", "rnk", "creg"))
 def allowed_research_requests(spark, sf):
     features, _ = careers(spark, sf)
     shown = ranking.explode_ranked(ranking.rank_careers(profiles(spark, sf), features, 5)).select("session_id", "career_id")
-    allowed = features.where(F.get("top_regions", F.lit(0)) == "ASIA").select("career_id")
+    allowed = features.where(F.array_contains(F.slice("top_regions", 1, 2), "ASIA")).select("career_id")
     return shown.join(allowed, "career_id", "left_semi")
 
 

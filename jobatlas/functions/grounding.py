@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jobatlas.functions.let import let
+
 NUMBER = r"((?<![A-Za-z_])\d+(?:[.,]\d+)?)"
 
 
@@ -37,19 +39,21 @@ def _spellings(token: Column) -> Column:
 
 def numbers_grounded(text: Column, allowed: Column) -> Column:
     """Every number in the text is one of the allowed spellings."""
-    expanded = F.flatten(F.transform(allowed, _spellings))
-    return F.forall(number_tokens(text), lambda t: F.arrays_overlap(_spellings(t), expanded))
+    return let(
+        F.flatten(F.transform(allowed, _spellings)),
+        lambda known: F.forall(number_tokens(text), lambda t: F.arrays_overlap(_spellings(t), known)),
+    )
 
 
 def quote_belongs(quote: Column, allowed: Column) -> Column:
     """Equal to, inside, or around one of the allowed quotes."""
-    q = F.lower(F.trim(F.coalesce(quote, F.lit(""))))
-
-    def near(a: Column) -> Column:
+    def near(q: Column, a: Column) -> Column:
         other = F.lower(F.trim(a))
         return other.contains(q) | q.contains(other)
 
-    return (q != "") & F.exists(allowed, near)
+    return let(
+        F.lower(F.trim(F.coalesce(quote, F.lit("")))), lambda q: (q != "") & F.exists(allowed, lambda a: near(q, a))
+    )
 
 
 def dotted_thousands(n: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jobatlas.functions.numbers import round_exact
 from jobatlas.functions.text import ascii_tokens, contains_any, nfc, norm_match, norm_region, squeeze, strip_space
 
 # Fixed values.
@@ -91,7 +92,7 @@ def parse_salary(raw: Column) -> Column:
 
 def _to_million(amount: Column, usd: Column) -> Column:
     scaled = F.when(amount >= 100000, amount / 1000000.0).otherwise(amount)
-    return F.when(usd, F.round(scaled * VND_PER_USD / 1000000.0, 1)).otherwise(scaled)
+    return F.when(usd, round_exact(scaled * VND_PER_USD / 1000000.0, 1)).otherwise(scaled)
 
 
 def map_region(raw: Column) -> Column:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jobatlas.functions.numbers import fixed_text, round_exact
+from jobatlas.functions.let import let
 from jobatlas.functions.privacy import scrub_scoring_text
 from jobatlas.functions.text import norm_label
 
@@ -44,8 +46,10 @@ def _dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine clamped to 0..1; a zero vector gives 0."""
-    na, nb = F.sqrt(_dot(a, a)), F.sqrt(_dot(b, b))
-    return F.when((na < 1e-12) | (nb < 1e-12), F.lit(0.0)).otherwise(clamp(_dot(a, b) / (na * nb)))
+    return let(
+        F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)),
+        lambda norm: F.when(norm < 1e-24, F.lit(0.0)).otherwise(clamp(_dot(a, b) / norm)),
+    )
 
 
 def dominant_index(vector: Column) -> Column:
@@ -85,19 +89,32 @@ def weighted_labels(skills: Column, interests: Column, experiences: Column) -> C
     return F.filter(parts, lambda p: p.label != "")
 
 
-def skill_overlap(labels: Column, role_skills: Column) -> Column:
-    """Half Jaccard, half weighted coverage.  Both arguments hold normalized labels."""
-    own = F.array_distinct(F.transform(labels, lambda p: p.label))
-    hits = F.transform(
+def overlap_weights(labels: Column, role_skills: Column) -> Column:
+    """Best matching weight of each role skill, null without a match.  Labels are normalized."""
+    return F.transform(
         role_skills,
-        lambda r: F.array_max(F.transform(F.filter(labels, lambda p: labels_match(p.label, r)), lambda p: p.weight)),
+        lambda r: F.aggregate(
+            labels, F.lit(None).cast("double"),
+            lambda best, p: F.when(labels_match(p.label, r), F.greatest(best, p.weight)).otherwise(best),
+        ),
     )
-    covered = F.aggregate(hits, F.lit(0.0), lambda s, w: s + F.coalesce(w, F.lit(0.0)))
-    n_matched = F.size(F.array_compact(hits))
-    jaccard = n_matched / F.greatest(F.lit(1), F.size(F.array_union(own, role_skills)))
-    coverage = covered / F.greatest(F.lit(1), F.size(role_skills))
+
+
+def overlap_score(weights: Column, n_role: Column, n_union: Column) -> Column:
+    """Half Jaccard, half weighted coverage."""
+    covered = F.aggregate(weights, F.lit(0.0), lambda s, w: s + F.coalesce(w, F.lit(0.0)))
+    jaccard = F.size(F.array_compact(weights)) / F.greatest(F.lit(1), n_union)
+    coverage = covered / F.greatest(F.lit(1), n_role)
     blend = 0.5 * jaccard + 0.5 * F.least(F.lit(1.0), coverage)
-    return F.when(F.size(role_skills) == 0, F.lit(0.0)).otherwise(clamp(blend))
+    return F.when(n_role == 0, F.lit(0.0)).otherwise(clamp(blend))
+
+
+def skill_overlap(labels: Column, role_skills: Column) -> Column:
+    own = F.array_distinct(F.transform(labels, lambda p: p.label))
+    return let(
+        overlap_weights(labels, role_skills),
+        lambda w: overlap_score(w, F.size(role_skills), F.size(F.array_union(own, role_skills))),
+    )
 
 
 def market_signal(demand: Column, trend: Column, top_regions: Column | None = None, region: Column | None = None) -> Column:
@@ -125,7 +142,7 @@ def total_score(cos: Column, skill: Column, market: Column, weights: RankWeights
 def signal_strength(skills: Column, interests: Column, dims: Column) -> Column:
     sourced = F.size(F.filter(skills, lambda s: F.trim(F.coalesce(s.source_quote, F.lit(""))) != ""))
     top = F.coalesce(F.array_max(F.map_values(dims)), F.lit(0.0))
-    return F.round(
+    return round_exact(
         F.least(F.lit(1.0), sourced / 2.0) * 0.4
         + F.least(F.lit(1.0), F.size(interests) / 2.0) * 0.3
         + F.least(F.lit(1.0), top) * 0.3,
@@ -144,7 +161,7 @@ def has_personal_signal(skills: Column, interests: Column, experiences: Column,
 def profile_text(dims: Column, skills: Column, interests: Column, experiences: Column, goal: Column, quotes: Column) -> Column:
     """Retrieval text of a profile: no region, no gender, no school prestige."""
     dim_parts = [
-        F.when(F.try_element_at(dims, F.lit(k)) > 0.05, F.format_string(k + ":%.2f", F.try_element_at(dims, F.lit(k))))
+        F.when(F.try_element_at(dims, F.lit(k)) > 0.05, F.concat(F.lit(f"{k}:"), fixed_text(F.try_element_at(dims, F.lit(k)), 2)))
         for k in DIMENSIONS
     ]
     parts = F.concat(
@@ -177,7 +194,7 @@ def completeness(mode: Column, education: Column, goal: Column, notes: Column, n
         + half(n_sourced) + flag(has_constraint)
     ) / 5.0
     explore = (half(n_interests) + half(n_active) + half(n_sourced) + flag(has_constraint)) / 4.0
-    return F.round(F.when(mode == "launch", launch).otherwise(explore), 2)
+    return round_exact(F.when(mode == "launch", launch).otherwise(explore), 2)
 
 
 # Rejected what-if terms.

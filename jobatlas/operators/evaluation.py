@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from jobatlas.functions.numbers import round_exact
+
 # Extraction targets.
 PRECISION_TARGET, RECALL_TARGET, F1_TARGET = 0.80, 0.65, 0.70
 
@@ -43,9 +45,9 @@ def micro_metrics(items: DataFrame, *groups: str) -> DataFrame:
     f1 = _ratio(2 * p * r, p + r)
     return sums.select(
         *groups, "items", "tp", "fp", "fn",
-        F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f1, 4).alias("f1"),
-        F.round(_ratio(F.col("exact"), F.col("items")), 4).alias("exact_match_rate"),
-        F.round(_ratio(F.col("zero"), F.col("items")), 4).alias("zero_rate"),
+        round_exact(p, 4).alias("precision"), round_exact(r, 4).alias("recall"), round_exact(f1, 4).alias("f1"),
+        round_exact(_ratio(F.col("exact"), F.col("items")), 4).alias("exact_match_rate"),
+        round_exact(_ratio(F.col("zero"), F.col("items")), 4).alias("zero_rate"),
         ((p >= PRECISION_TARGET) & (r >= RECALL_TARGET) & (f1 >= F1_TARGET)).alias("passed"),
     )
 
@@ -68,7 +70,7 @@ def precision_regressions(current: DataFrame, baseline: DataFrame, key: str, tol
 
 def accuracy_by(pairs: DataFrame, *groups: str, predicted: str = "predicted", gold: str = "gold") -> DataFrame:
     return pairs.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("items"), F.round(F.avg((F.col(predicted) == F.col(gold)).cast("double")), 4).alias("accuracy")
+        F.count(F.lit(1)).alias("items"), round_exact(F.avg((F.col(predicted) == F.col(gold)).cast("double")), 4).alias("accuracy")
     )
 
 
@@ -88,7 +90,7 @@ def nearest_rank(df: DataFrame, groups: list[str], value: str, q: float = 0.95)
         return F.min(F.when(F.col("_cum") >= rank, F.col("_v")))
 
     middle = (at(F.ceil(n / 2)) + at(F.floor(n / 2) + 1)) / 2
-    return ranked.groupBy(*groups, "n").agg(at(F.ceil(n * q)).alias("p95"), F.round(middle, 4).alias("median"))
+    return ranked.groupBy(*groups, "n").agg(at(F.ceil(n * q)).alias("p95"), round_exact(middle, 4).alias("median"))
 
 
 def rubric(recommendations: DataFrame, key: str = "session_id") -> DataFrame:
@@ -114,7 +116,7 @@ def rubric_summary(scores: DataFrame) -> DataFrame:
     parts = ("fit", "diversity", "routes", "explain")
     mean = sum((F.col(p) for p in parts[1:]), F.col(parts[0])) / len(parts)
     return scores.agg(
-        F.count(F.lit(1)).alias("personas"), *[F.round(F.avg(p), 4).alias(p) for p in parts],
-        F.round(F.avg(mean), 4).alias("mean_score"),
+        F.count(F.lit(1)).alias("personas"), *[round_exact(F.avg(p), 4).alias(p) for p in parts],
+        round_exact(F.avg(mean), 4).alias("mean_score"),
         F.count_if(F.least(*[F.col(p) for p in parts]) <= 2.0).alias("hard_fails"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobatlas.functions.grounding import double_spellings, int_spelling, number_tokens, numbers_grounded, quote_belongs
+from jobatlas.functions.let import let
 from jobatlas.functions.privacy import looks_like_injection
 from jobatlas.functions.scoring import DIMENSIONS, dim_vector, dominant_index, signal_strength
 from jobatlas.operators.guidance import distinct_by_label
@@ -63,8 +64,7 @@ def allowed_quotes() -> Column:
 
 def selected_quote(top_skills: Column, title: Column) -> Column:
     """Best quote: 3 per market skill inside, 1 per title word, up to 3 for length; the first wins a tie."""
-    preferred = preferred_quotes()
-    candidates = F.when(F.size(preferred) > 0, preferred).otherwise(allowed_quotes())
+    candidates = let(preferred_quotes(), lambda p: F.when(F.size(p) > 0, p).otherwise(allowed_quotes()))
     skills = F.filter(F.transform(top_skills, lambda s: F.lower(s)), lambda s: s != "")
     words = F.regexp_extract_all(F.lower(_text(title)), F.lit(r"(?U)([\wÀ-ỹ]{3,})"), F.lit(1))
 
@@ -76,8 +76,10 @@ def selected_quote(top_skills: Column, title: Column) -> Column:
             + F.least(F.lit(3), F.floor(F.length(q) / 20))
         ).cast("int")
 
-    scored = F.transform(candidates, lambda q, i: F.struct((-score(q)).alias("s"), i.alias("i"), q.alias("q")))
-    return F.coalesce(F.substring(F.array_min(scored).q, 1, 200), F.lit(NO_QUOTE))
+    def best(found: Column) -> Column:
+        return F.array_min(F.transform(found, lambda q, i: F.struct((-score(q)).alias("s"), i.alias("i"), q.alias("q")))).q
+
+    return F.coalesce(F.substring(let(candidates, best), 1, 200), F.lit(NO_QUOTE))
 
 
 def stat_numbers() -> Column:
@@ -150,10 +152,10 @@ def template_why(counterfactual: Column) -> Column:
             F.lit(" được giữ lại từ tổng hợp nhiều tín hiệu yếu trong hồ sơ; "
                   "chưa có một kỹ năng trực tiếp đủ mạnh nên bạn cần kiểm chứng thêm")))
     )
-    numbers = stat_numbers()
+    grounded = let(stat_numbers(), lambda ns: F.filter(market_lines(), lambda m: numbers_grounded(m.stat, ns)))
     return F.struct(
         F.array(F.struct(quote.alias("quote"), reason.alias("reason"))).alias("from_you"),
-        F.filter(market_lines(), lambda m: numbers_grounded(m.stat, numbers)).alias("from_market"),
+        grounded.alias("from_market"),
         counterfactual.alias("counterfactual"),
     )
 
@@ -203,8 +205,7 @@ def validated_why(why: Column, quotes: Column, numbers: Column, fact: Column) ->
 
 def grounding_violations(rows: DataFrame, key: list[str], why: str = "why") -> DataFrame:
     """Explanation lines that break grounding; an empty result is the pass."""
-    numbers = stat_numbers()
-    quotes = F.concat(allowed_quotes(), F.array(F.lit(NO_QUOTE)))
+    numbers, quotes = F.col("_numbers"), F.col("_quotes")
 
     def check_you(item: Column) -> Column:
         near = F.concat(numbers, number_tokens(item.quote))
@@ -213,10 +214,11 @@ def grounding_violations(rows: DataFrame, key: list[str], why: str = "why") -> D
         )
 
     w = F.col(why)
+    facts = rows.select(*key, why, stat_numbers().alias("_numbers"), F.concat(allowed_quotes(), F.array(F.lit(NO_QUOTE))).alias("_quotes"))
     problems = F.array_compact(F.concat(
         F.transform(w.from_you, check_you),
         F.transform(w.from_market, lambda m: F.when(
             ~numbers_grounded(m.stat, numbers), F.concat(F.lit("ungrounded stat: "), m.stat))),
         F.array(F.when(~numbers_grounded(w.counterfactual, numbers), F.lit("ungrounded counterfactual"))),
     ))
-    return rows.select(*key, F.explode(problems).alias("problem"))
+    return facts.select(*key, F.explode(problems).alias("problem"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobatlas.functions.scoring import RankWeights, skill_match
+from jobatlas.functions.let import let
+from jobatlas.functions.scoring import RankWeights, labels_match
 from jobatlas.functions.text import norm_label, squeeze
 
 # Fixed values.
@@ -68,8 +69,10 @@ def ensure_roadmap(roadmap: Column, top_skills: Column) -> Column:
 
 def distinct_by_label(items: Column, label) -> Column:
     """First element per case-insensitive label, order kept."""
-    labels = F.transform(items, label)
-    return F.filter(items, lambda x, i: F.array_position(labels, label(x)) == i + 1)
+    return let(items, lambda xs: let(
+        F.transform(xs, label),
+        lambda labels: F.filter(xs, lambda _, i: F.array_position(labels, F.get(labels, i)) == i + 1),
+    ))
 
 
 def evidenced_skills(skills: Column, experiences: Column) -> Column:
@@ -93,20 +96,29 @@ def evidenced_skills(skills: Column, experiences: Column) -> Column:
 
 def matched_missing(evidenced: Column, role_skills: Column) -> Column:
     """``struct<matched, missing, coverage, strength>`` of a role's skills."""
-    tops = F.filter(role_skills, lambda s: F.trim(F.coalesce(s, F.lit(""))) != "")
-    paired = F.transform(
-        tops,
-        lambda r: F.struct(
-            r.alias("skill"), F.get(F.filter(evidenced, lambda e: skill_match(e["name"], r)), F.lit(0)).evidence.alias("evidence")
-        ),
-    )
-    matched = distinct_by_label(F.filter(paired, lambda p: p.evidence.isNotNull()), lambda p: norm_label(p.skill))
-    missing = F.transform(F.filter(paired, lambda p: p.evidence.isNull()), lambda p: p.skill)
-    return F.struct(
-        matched.alias("matched"), missing.alias("missing"),
-        (F.size(matched) / F.greatest(F.lit(1), F.size(tops))).alias("coverage"),
-        F.size(matched).alias("strength"),
+    tops = F.transform(
+        F.filter(role_skills, lambda s: F.trim(F.coalesce(s, F.lit(""))) != ""),
+        lambda s: F.struct(s.alias("skill"), norm_label(s).alias("label")),
     )
+    own = F.transform(evidenced, lambda e: F.struct(norm_label(e["name"]).alias("label"), e.evidence.alias("evidence")))
+
+    def pair(r: Column, mine: Column) -> Column:
+        hit = F.get(F.filter(mine, lambda e: labels_match(e.label, r.label)), F.lit(0))
+        return F.struct(r.skill.alias("skill"), hit.evidence.alias("evidence"), r.label.alias("label"))
+
+    def summary(paired: Column) -> Column:
+        found = distinct_by_label(F.filter(paired, lambda p: p.evidence.isNotNull()), lambda p: p.label)
+        return F.struct(
+            F.transform(found, lambda p: F.struct(p.skill.alias("skill"), p.evidence.alias("evidence"))).alias("matched"),
+            F.transform(F.filter(paired, lambda p: p.evidence.isNull()), lambda p: p.skill).alias("missing"),
+            F.size(paired).alias("n"),
+        )
+
+    paired = let(own, lambda mine: F.transform(tops, lambda r: pair(r, mine)))
+    return let(let(paired, summary), lambda s: F.struct(
+        s.matched.alias("matched"), s.missing.alias("missing"),
+        (F.size(s.matched) / F.greatest(F.lit(1), s.n)).alias("coverage"), F.size(s.matched).alias("strength"),
+    ))
 
 
 def readiness_band(coverage: Column, strength: Column, weights: RankWeights = RankWeights()) -> Column:
@@ -135,8 +147,11 @@ def search_queries(title: Column, aliases: Column, missing: Column) -> Column:
         F.when(gap.isNotNull(), F.concat(name, F.lit(" "), gap)),
     ))
     clean = F.filter(F.transform(built, squeeze), lambda q: (q != "") & ~q.rlike(SENSITIVE_QUERY))
-    kept = F.slice(distinct_by_label(clean, lambda q: F.lower(q)), 1, 4)
-    return F.when(F.size(kept) >= 2, kept).otherwise(F.concat(kept, F.array(F.concat(name, F.lit(" junior")))))
+    more = F.array(F.concat(name, F.lit(" junior")))
+    return let(
+        F.slice(distinct_by_label(clean, lambda q: F.lower(q)), 1, 4),
+        lambda kept: F.when(F.size(kept) >= 2, kept).otherwise(F.concat(kept, more)),
+    )
 
 
 def weekly_actions(missing: Column, matched: Column) -> Column:
@@ -169,12 +184,11 @@ def weekly_actions(missing: Column, matched: Column) -> Column:
 def job_readiness(mode: Column, evidenced: Column, role_skills: Column, title: Column, aliases: Column,
                   weights: RankWeights = RankWeights()) -> Column:
     """Readiness struct in launch mode, null in explore mode; missing skills are capped at eight for display."""
-    gap = matched_missing(evidenced, role_skills)
     known = F.size(F.coalesce(role_skills, F.array().cast("array<string>"))) > 0
-    band = F.when(known, readiness_band(gap.coverage, gap.strength, weights)).otherwise("build_foundation")
-    return F.when(
-        mode == "launch",
-        F.struct(
+
+    def assemble(gap: Column) -> Column:
+        band = F.when(known, readiness_band(gap.coverage, gap.strength, weights)).otherwise("build_foundation")
+        return F.struct(
             band.alias("band"),
             F.when(known, band_reason(band)).otherwise(BAND_REASON["no_skills"]).alias("band_reason"),
             gap.matched.alias("matched_skills"),
@@ -182,8 +196,9 @@ def job_readiness(mode: Column, evidenced: Column, role_skills: Column, title: C
             gap.coverage.alias("coverage"),
             search_queries(title, aliases, gap.missing).alias("search_queries"),
             weekly_actions(gap.missing, gap.matched).alias("actions_30d"),
-        ),
-    )
+        )
+
+    return F.when(mode == "launch", let(matched_missing(evidenced, role_skills), assemble))
 
 
 def evidenced_skill_rows(profiles: DataFrame, key: str = "session_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from jobatlas.functions.numbers import round_exact
 from jobatlas.functions.grounding import source_note
 from jobatlas.functions.parsing import salary_value
 from jobatlas.session import cut_lineage
@@ -40,7 +41,7 @@ def in_window(postings: DataFrame, end: dt.date, days: int = WINDOW_DAYS, column
 def trend_pct(early: Column, late: Column, total: Column) -> Column:
     """Change between the two half windows, null until there is enough evidence."""
     ready = (total >= MIN_TREND_POSTINGS) & (early > 0) & (late > 0)
-    return F.when(ready, F.round((late - early) / F.greatest(early, F.lit(5)) * 100, 2))
+    return F.when(ready, round_exact((late - early) / F.greatest(early, F.lit(5)) * 100, 2))
 
 
 def _prepared(postings: DataFrame, end: dt.date) -> DataFrame:
@@ -117,7 +118,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dic
         F.raise_error(F.lit("percentile band missed its rank")).cast("double")
     )
     return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_q") == i, F.round(result, 2))).alias(name) for i, name in enumerate(names)]
+        *[F.max(F.when(F.col("_q") == i, round_exact(result, 2))).alias(name) for i, name in enumerate(names)]
     )
 
 
@@ -246,7 +247,7 @@ def skill_stats(postings: DataFrame, window_end: dt.date | None = None, related:
     trend = trend_pct(F.col("early"), F.col("late"), F.col("demand_count"))
     return totals.select(
         *keys,
-        F.round(F.least(F.lit(1.0), F.col("demand_count") / F.greatest(busiest, F.lit(1))), 4).alias("gap_score"),
+        round_exact(F.least(F.lit(1.0), F.col("demand_count") / F.greatest(busiest, F.lit(1))), 4).alias("gap_score"),
         "demand_count", trend.alias("trend_pct"), trend.isNull().alias("low_confidence"), "related_careers",
     )
 
@@ -398,7 +399,7 @@ def seed_skill_gaps(seed: DataFrame, region: str = ALL, limit: int = 20) -> Data
         ).alias("b")
     )
     return best.select(
-        "skill", F.round("b.score", 2).alias("gap_score"), F.col("b.demand_count_90d").alias("demand_count"),
+        "skill", round_exact(F.col("b.score"), 2).alias("gap_score"), F.col("b.demand_count_90d").alias("demand_count"),
         F.col("b.trend_pct").alias("trend_pct"), F.col("b.career_id").alias("related_career"),
     ).orderBy(F.desc("gap_score"), F.asc("skill")).limit(limit)
 

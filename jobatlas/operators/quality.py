@@ -19,9 +19,11 @@ GOLD_REGIONS = ("hanoi", "hcm", "danang", "other")
 BANDS = ("ready_now", "near_ready", "build_foundation")
 
 
-def _rule(df: DataFrame, rule: str, key: Column | str, when: Column) -> DataFrame:
-    item = F.col(key) if isinstance(key, str) else key
-    return df.where(when).select(F.lit(rule).alias("rule"), item.cast("string").alias("item"))
+def _rules(df: DataFrame, item: Column | str, *checks: tuple[str, Column]) -> DataFrame:
+    """``rule, item`` of every failed check; all checks of one table share a single pass."""
+    key = F.col(item) if isinstance(item, str) else item
+    failed = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in checks]))
+    return df.select(F.explode(failed).alias("rule"), key.cast("string").alias("item"))
 
 
 def _all(*parts: DataFrame) -> DataFrame:
@@ -49,30 +51,57 @@ def taxonomy_violations(taxonomy: DataFrame, minimum: int = 1) -> DataFrame:
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("type") == t).alias(t) for t in SKILL_TYPES]
     )
     return _all(
-        _rule(taxonomy, "blank name", name, blank("name")),
-        _rule(taxonomy, "surrounding whitespace", name, name != F.trim(name)),
-        _rule(taxonomy, "not NFC", name, name != nfc(name)),
-        _rule(taxonomy, "unknown type", name, ~F.coalesce(F.col("type").isin(*SKILL_TYPES), F.lit(False))),
-        _rule(taxonomy, "no aliases", name, F.size(F.coalesce("aliases", F.array().cast("array<string>"))) == 0),
-        _rule(taxonomy, "vague skill", name, norm_match(name).isin(*VAGUE_TRAITS)),
+        _rules(
+            taxonomy, name,
+            ("blank name", blank("name")),
+            ("surrounding whitespace", name != F.trim(name)),
+            ("not NFC", name != nfc(name)),
+            ("unknown type", ~F.coalesce(F.col("type").isin(*SKILL_TYPES), F.lit(False))),
+            ("no aliases", F.size(F.coalesce("aliases", F.array().cast("array<string>"))) == 0),
+            ("vague skill", norm_match(name).isin(*VAGUE_TRAITS)),
+        ),
         duplicates(taxonomy.select(norm_match(name).alias("n")), "duplicate skill", "n"),
-        _rule(norm_alias, "alias not lower case", "alias", F.col("alias") != F.lower("alias")),
-        _rule(norm_alias, "alias not NFC", "alias", F.col("alias") != nfc(F.col("alias"))),
-        _rule(norm_alias, "vague alias", "alias", F.col("a").isin(*VAGUE_TRAITS)),
-        _rule(local, "duplicate alias", "a", F.col("n") > 1),
-        _rule(collisions, "alias collision", "a", F.col("n") > 1),
-        _rule(totals, "too few skills", "n", F.col("n") < minimum),
-        *[_rule(totals, "missing type", F.lit(t), F.col(t) == 0) for t in SKILL_TYPES],
+        _rules(
+            norm_alias, "alias",
+            ("alias not lower case", F.col("alias") != F.lower("alias")),
+            ("alias not NFC", F.col("alias") != nfc(F.col("alias"))),
+            ("vague alias", F.col("a").isin(*VAGUE_TRAITS)),
+        ),
+        _rules(
+            local, "a",
+            ("duplicate alias", F.col("n") > 1),
+        ),
+        _rules(
+            collisions, "a",
+            ("alias collision", F.col("n") > 1),
+        ),
+        _rules(
+            totals, "n",
+            ("too few skills", F.col("n") < minimum),
+        ),
+        _rules(totals, F.lit("types"), *[(f"missing type {t}", F.col(t) == 0) for t in SKILL_TYPES]),
     )
 
 
 def header_violations(header: DataFrame) -> DataFrame:
     """Rules over the one-row taxonomy header ``schema_version, version, built_at, taxonomy_hash, expected_hash``."""
     return _all(
-        _rule(header, "schema version", "schema_version", F.col("schema_version") != 1),
-        _rule(header, "semantic version", "version", ~F.col("version").rlike(r"^\d+\.\d+\.\d+$")),
-        _rule(header, "build date", "built_at", F.try_to_date("built_at", "yyyy-MM-dd").isNull()),
-        _rule(header, "taxonomy hash", "taxonomy_hash", ~F.col("taxonomy_hash").eqNullSafe(F.col("expected_hash"))),
+        _rules(
+            header, "schema_version",
+            ("schema version", F.col("schema_version") != 1),
+        ),
+        _rules(
+            header, "version",
+            ("semantic version", ~F.col("version").rlike(r"^\d+\.\d+\.\d+$")),
+        ),
+        _rules(
+            header, "built_at",
+            ("build date", F.try_to_date("built_at", "yyyy-MM-dd").isNull()),
+        ),
+        _rules(
+            header, "taxonomy_hash",
+            ("taxonomy hash", ~F.col("taxonomy_hash").eqNullSafe(F.col("expected_hash"))),
+        ),
     )
 
 
@@ -80,14 +109,22 @@ def career_violations(careers: DataFrame) -> DataFrame:
     patterns = careers.select("career_id", F.explode("title_patterns").alias("p"))
     shared = patterns.groupBy(norm_match(F.col("p")).alias("item")).agg(F.count(F.lit(1)).alias("n"))
     return _all(
-        _rule(careers, "blank career id", "career_id", blank("career_id")),
-        _rule(careers, "blank title", "career_id", blank("title")),
-        _rule(careers, "reserved career id", "career_id", F.col("career_id") == UNMAPPED),
-        _rule(careers, "no title patterns", "career_id",
-              F.size(F.coalesce("title_patterns", F.array().cast("array<string>"))) == 0),
+        _rules(
+            careers, "career_id",
+            ("blank career id", blank("career_id")),
+            ("blank title", blank("title")),
+            ("reserved career id", F.col("career_id") == UNMAPPED),
+            ("no title patterns", F.size(F.coalesce("title_patterns", F.array().cast("array<string>"))) == 0),
+        ),
         duplicates(careers, "duplicate career id", "career_id"),
-        _rule(patterns, "blank pattern", "career_id", blank("p")),
-        _rule(shared, "shared pattern", "item", F.col("n") > 1),
+        _rules(
+            patterns, "career_id",
+            ("blank pattern", blank("p")),
+        ),
+        _rules(
+            shared, "item",
+            ("shared pattern", F.col("n") > 1),
+        ),
     )
 
 
@@ -98,22 +135,31 @@ def enriched_violations(postings: DataFrame) -> DataFrame:
     many = versions.agg(F.count(F.lit(1)).alias("n"))
     skills = F.col("skills")
     return _all(
-        _rule(postings, "blank id", "id", blank("id")),
-        _rule(postings, "blank title", "id", blank("title")),
-        _rule(postings, "no skills list", "id", skills.isNull()),
-        _rule(postings, "blank skill", "id", F.exists(skills, lambda s: F.trim(F.coalesce(s, F.lit(""))) == "")),
-        _rule(postings, "duplicate skill", "id", F.size(skills) != F.size(F.array_distinct(skills))),
+        _rules(
+            postings, "id",
+            ("blank id", blank("id")),
+            ("blank title", blank("title")),
+            ("no skills list", skills.isNull()),
+            ("blank skill", F.exists(skills, lambda s: F.trim(F.coalesce(s, F.lit(""))) == "")),
+            ("duplicate skill", F.size(skills) != F.size(F.array_distinct(skills))),
+        ),
         duplicates(postings, "duplicate id", "id"),
-        _rule(many, "mixed versions", "n", F.col("n") > 1),
+        _rules(
+            many, "n",
+            ("mixed versions", F.col("n") > 1),
+        ),
     )
 
 
 def market_input_violations(postings: DataFrame) -> DataFrame:
     return _all(
-        _rule(postings, "blank id", "id", blank("id")),
-        _rule(postings, "no skills list", "id", F.col("skills").isNull()),
-        _rule(postings, "no career", "id", F.col("career_id").isNull()),
-        _rule(postings, "invalid date", "id", F.col("posted_date").isNull()),
+        _rules(
+            postings, "id",
+            ("blank id", blank("id")),
+            ("no skills list", F.col("skills").isNull()),
+            ("no career", F.col("career_id").isNull()),
+            ("invalid date", F.col("posted_date").isNull()),
+        ),
         duplicates(postings, "duplicate id", "id"),
     )
 
@@ -127,15 +173,30 @@ def gold_violations(gold: DataFrame, labels: DataFrame, size: int = 100, regions
     unknown = gold.select(F.explode("skills").alias("skill")).distinct().join(labels.select("skill"), "skill", "left_anti")
     region_ok = F.coalesce(F.col("region").isin(*allowed_regions), F.lit(False)) if allowed_regions else F.lit(True)
     return _all(
-        _rule(totals, "wrong size", "n", F.col("n") != size),
-        _rule(totals, "too few regions", "r", F.col("r") < regions),
-        _rule(totals, "too few groups", "g", F.col("g") < groups),
-        _rule(gold, "blank id", "posting_id", blank(F.col("posting_id").cast("string"))),
-        _rule(gold, "unknown region", "posting_id", ~region_ok),
-        _rule(gold, "blank group", "posting_id", blank("career_group")),
-        _rule(gold, "duplicate label", "posting_id", F.size("skills") != F.size(F.array_distinct("skills"))),
+        _rules(
+            totals, "n",
+            ("wrong size", F.col("n") != size),
+        ),
+        _rules(
+            totals, "r",
+            ("too few regions", F.col("r") < regions),
+        ),
+        _rules(
+            totals, "g",
+            ("too few groups", F.col("g") < groups),
+        ),
+        _rules(
+            gold, "posting_id",
+            ("blank id", blank(F.col("posting_id").cast("string"))),
+            ("unknown region", ~region_ok),
+            ("blank group", blank("career_group")),
+            ("duplicate label", F.size("skills") != F.size(F.array_distinct("skills"))),
+        ),
         duplicates(gold, "duplicate id", "posting_id"),
-        _rule(unknown, "label outside taxonomy", "skill", F.lit(True)),
+        _rules(
+            unknown, "skill",
+            ("label outside taxonomy", F.lit(True)),
+        ),
     )
 
 
@@ -165,8 +226,11 @@ def release_gate(report: DataFrame) -> DataFrame:
 def route_violations(careers: DataFrame, key: str = "career_id") -> DataFrame:
     outside = F.exists(F.col("routes"), lambda r: r.type.isin(*NON_UNIVERSITY))
     return _all(
-        _rule(careers, "fewer than two routes", key, F.coalesce(F.size("routes"), F.lit(0)) < 2),
-        _rule(careers, "no route outside university", key, ~F.coalesce(outside, F.lit(False))),
+        _rules(
+            careers, key,
+            ("fewer than two routes", F.coalesce(F.size("routes"), F.lit(0)) < 2),
+            ("no route outside university", ~F.coalesce(outside, F.lit(False))),
+        ),
     )
 
 
@@ -178,14 +242,17 @@ def readiness_violations(rows: DataFrame, key: str, readiness: str = "job_readin
     weeks = F.array_sort(F.transform(r.actions_30d, lambda a: a.week))
     present = rows.where(r.isNotNull())
     return _all(
-        _rule(present, "matched and missing overlap", key, F.arrays_overlap(matched, missing)),
-        _rule(present, "missing outside role skills", key, F.size(F.array_except(missing, known)) > 0),
-        _rule(present, "matched without evidence", key, F.exists(r.matched_skills, lambda m: F.trim(m.evidence) == "")),
-        _rule(present, "not four weeks", key, weeks != F.array(*[F.lit(i) for i in range(1, 5)])),
-        _rule(present, "action without deliverable", key, F.exists(r.actions_30d, lambda a: F.trim(a.deliverable) == "")),
-        _rule(present, "query count", key, ~F.size(r.search_queries).between(2, 4)),
-        _rule(present, "sensitive query", key, F.exists(r.search_queries, lambda q: q.rlike(SENSITIVE_QUERY))),
-        _rule(present, "unknown band", key, ~r.band.isin(*BANDS)),
+        _rules(
+            present, key,
+            ("matched and missing overlap", F.arrays_overlap(matched, missing)),
+            ("missing outside role skills", F.size(F.array_except(missing, known)) > 0),
+            ("matched without evidence", F.exists(r.matched_skills, lambda m: F.trim(m.evidence) == "")),
+            ("not four weeks", weeks != F.array(*[F.lit(i) for i in range(1, 5)])),
+            ("action without deliverable", F.exists(r.actions_30d, lambda a: F.trim(a.deliverable) == "")),
+            ("query count", ~F.size(r.search_queries).between(2, 4)),
+            ("sensitive query", F.exists(r.search_queries, lambda q: q.rlike(SENSITIVE_QUERY))),
+            ("unknown band", ~r.band.isin(*BANDS)),
+        ),
     )
 
 

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobatlas.functions.numbers import round_exact
 from jobatlas.functions.scoring import (
     DIMENSIONS, RankWeights, clean_hypothetical_skill, cosine, dim_vector, dominant_index, market_component,
-    market_signal, skill_overlap, total_score, weighted_labels,
+    market_signal, overlap_score, overlap_weights, total_score, weighted_labels,
 )
 from jobatlas.functions.text import norm_label
 from jobatlas.operators.packs import meet, pack
@@ -22,10 +23,11 @@ TOP_SHOWN = 5
 
 
 def prepare_profiles(profiles: DataFrame, keys=DIMENSIONS) -> DataFrame:
-    """Add the two derived columns ranking needs: ``_vec`` and ``_labels``."""
-    return profiles.withColumn("_vec", dim_vector(F.col("dimensions"), keys)).withColumn(
+    """Add what ranking needs of a profile: ``_vec``, ``_labels`` and the distinct labels ``_own``."""
+    labelled = profiles.withColumn("_vec", dim_vector(F.col("dimensions"), keys)).withColumn(
         "_labels", weighted_labels(F.col("skills"), F.col("interests"), F.col("experiences"))
     )
+    return labelled.withColumn("_own", F.array_distinct(F.transform("_labels", lambda p: p.label)))
 
 
 def career_item(keys=DIMENSIONS) -> Column:
@@ -40,17 +42,36 @@ def career_item(keys=DIMENSIONS) -> Column:
 
 
 def _score_items(vec: Column, labels: Column, region: Column, weights: RankWeights, use_market: bool) -> Column:
-    def score(c: Column) -> Column:
-        cos, skill = cosine(vec, c.vec), skill_overlap(labels, c.skills)
-        signal = market_signal(c.demand, c.trend, c.top_regions, region)
-        part = market_component(signal, weights) if use_market else F.lit(0.0)
-        total = total_score(cos, skill, part, weights, use_market)
+    """Score array of the packed careers, built in steps so that every part is computed once."""
+    def parts(c: Column) -> Column:
         return F.struct(
-            (-total).alias("order"), c.career_id.alias("career_id"), total.alias("total"), cos.alias("cosine"),
-            skill.alias("skill"), signal.alias("market"), part.alias("market_component"), c.dom.alias("dom"),
+            c.career_id.alias("career_id"), c.dom.alias("dom"), cosine(vec, c.vec).alias("cosine"),
+            overlap_weights(labels, c.skills).alias("hits"), F.size(c.skills).alias("n_role"),
+            F.size(F.array_union(F.col("_own"), c.skills)).alias("n_union"),
+            market_signal(c.demand, c.trend, c.top_regions, region).alias("market"),
         )
 
-    return F.transform(F.col("items"), score)
+    def blended(p: Column) -> Column:
+        return F.struct(
+            p.career_id.alias("career_id"), p.dom.alias("dom"), p.cosine.alias("cosine"), p.market.alias("market"),
+            overlap_score(p.hits, p.n_role, p.n_union).alias("skill"),
+            (market_component(p.market, weights) if use_market else F.lit(0.0)).alias("part"),
+        )
+
+    def totalled(p: Column) -> Column:
+        return F.struct(p.alias("p"), total_score(p.cosine, p.skill, p.part, weights, use_market).alias("total"))
+
+    def laid_out(t: Column) -> Column:
+        p = t["p"]
+        return F.struct(
+            (-t["total"]).alias("order"), p.career_id.alias("career_id"), t["total"].alias("total"), p.cosine.alias("cosine"),
+            p.skill.alias("skill"), p.market.alias("market"), p.part.alias("market_component"), p.dom.alias("dom"),
+        )
+
+    steps = F.col("items")
+    for step in (parts, blended, totalled, laid_out):
+        steps = F.transform(steps, step)
+    return steps
 
 
 def rank_careers(
@@ -104,7 +125,7 @@ def recommendation_rows(ranked: DataFrame, carry=(), key: str = "session_id") ->
         )),
     )
     return ranked.select(key, *carry, F.explode(both).alias("r")).select(
-        key, *carry, "r.rank", "r.is_stretch", "r.c.career_id", F.round("r.c.total", 4).alias("match_score")
+        key, *carry, "r.rank", "r.is_stretch", "r.c.career_id", round_exact(F.col("r.c.total"), 4).alias("match_score")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from jobatlas.functions.numbers import round_exact
 from jobatlas.functions.parsing import salary_value
 from jobatlas.functions.text import norm_match
 from jobatlas.operators.market import UNMAPPED, exact_percentiles, with_all_region
@@ -22,7 +23,7 @@ def coverage_by(mapped: DataFrame, field: str) -> DataFrame:
     )
     return groups.select(
         field, "mapped", (F.col("denominator") - F.col("mapped")).alias("unmapped"), "denominator",
-        F.round(F.col("mapped") / F.col("denominator"), 4).alias("coverage"),
+        round_exact(F.col("mapped") / F.col("denominator"), 4).alias("coverage"),
     )
 
 
@@ -32,7 +33,7 @@ def mapping_report(mapped: DataFrame) -> DataFrame:
     return mapped.agg(
         n.alias("postings_total"), hit.alias("mapped_postings"), (n - hit).alias("unmapped_postings"),
         F.count_if(F.col("reason") == "ambiguous_title_pattern").alias("ambiguous_postings"),
-        F.round(F.try_divide(hit, n), 4).alias("mapping_coverage"),
+        round_exact(F.try_divide(hit, n), 4).alias("mapping_coverage"),
     )
 
 
@@ -50,7 +51,7 @@ def extraction_report(enriched: DataFrame, input_price: float | None = None, out
     tokens_in, tokens_out = F.ceil(F.sum("input_chars") / 4), F.ceil(F.sum("output_chars") / 4)
     priced = input_price is not None and output_price is not None
     cost = (
-        F.round(tokens_in * F.lit(input_price) / 1e6 + tokens_out * F.lit(output_price) / 1e6, 6)
+        round_exact(tokens_in * F.lit(input_price) / 1e6 + tokens_out * F.lit(output_price) / 1e6, 6)
         if priced else F.lit(None).cast("double")
     )
     n = F.count(F.lit(1))
@@ -58,11 +59,11 @@ def extraction_report(enriched: DataFrame, input_price: float | None = None, out
         n.alias("postings_total"),
         F.count_if("low_signal").alias("low_signal_postings"),
         F.count_if(F.size("skills") == 0).alias("zero_skill_postings"),
-        F.round(F.coalesce(F.avg(F.size("skills")), F.lit(0.0)), 3).alias("average_skills_per_posting"),
+        round_exact(F.coalesce(F.avg(F.size("skills")), F.lit(0.0)), 3).alias("average_skills_per_posting"),
         F.sum(F.size("new_skills")).cast("long").alias("new_skill_candidates"),
         *[F.count_if(F.col("status") == s).alias(f"status_{s}") for s in ("not_needed", "dictionary_fallback", "cache_hit", "success")],
         tokens_in.cast("long").alias("estimated_input_tokens"), tokens_out.cast("long").alias("estimated_output_tokens"),
-        cost.alias("estimated_cost_usd"), F.round(F.try_divide(cost * 1000, n), 6).alias("estimated_cost_per_1k_usd"),
+        cost.alias("estimated_cost_usd"), round_exact(F.try_divide(cost * 1000, n), 6).alias("estimated_cost_per_1k_usd"),
     )
 
 
@@ -88,8 +89,8 @@ def manifest_counts(postings: DataFrame) -> DataFrame:
     level = F.element_at(F.array(*[F.lit(x) for x in ("source_region", "source", "region", "total")]), F.col("level").cast("int") + 1)
     return sums.select(
         level.alias("level"), "source", "region", "n", "with_salary", "with_experience", "entry", "mid", "senior", "unknown",
-        F.round(F.col("with_salary") / F.col("n") * 100, 2).alias("salary_pct"),
-        F.round(F.col("with_experience") / F.col("n") * 100, 2).alias("experience_pct"),
+        round_exact(F.col("with_salary") / F.col("n") * 100, 2).alias("salary_pct"),
+        round_exact(F.col("with_experience") / F.col("n") * 100, 2).alias("experience_pct"),
     )
 
 
@@ -99,7 +100,7 @@ def drop_rate(raw: DataFrame, processed: DataFrame) -> DataFrame:
     gone = F.col("raw_total") - F.col("normalized_total")
     return both.select(
         "raw_total", "normalized_total", gone.alias("dropped_or_deduped"),
-        F.round(F.coalesce(F.try_divide(gone, F.col("raw_total")), F.lit(0.0)) * 100, 2).alias("dedupe_rate_pct"),
+        round_exact(F.coalesce(F.try_divide(gone, F.col("raw_total")), F.lit(0.0)) * 100, 2).alias("dedupe_rate_pct"),
     )
 
 
@@ -107,7 +108,7 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     """Counts with their share in percent; the share is taken over the few counted rows."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(
-        F.lit(column).alias("field"), "value", "n", F.round(F.col("n") / F.sum("n").over(W.partitionBy()) * 100, 1).alias("pct")
+        F.lit(column).alias("field"), "value", "n", round_exact(F.col("n") / F.sum("n").over(W.partitionBy()) * 100, 1).alias("pct")
     )
 
 
@@ -120,7 +121,7 @@ def normalization_report(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_loaded"), F.count_if(F.col("reject_reason") == "invalid").alias("dropped_invalid"),
         F.count_if(F.col("reject_reason") == "short").alias("dropped_short"), n.alias("kept"),
         F.count_if(pay).alias("with_salary"), F.count_if(ok & F.col("experience_min_years").isNotNull()).alias("with_experience"),
-        F.round(F.coalesce(F.try_divide(F.count_if(pay) * 100, n), F.lit(0.0)), 1).alias("salary_pct"),
+        round_exact(F.coalesce(F.try_divide(F.count_if(pay) * 100, n), F.lit(0.0)), 1).alias("salary_pct"),
     )
 
 
@@ -167,8 +168,8 @@ def insights(postings: DataFrame, group_careers: list[str]) -> DataFrame:
     joined = sums.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k")
     den = F.when(F.col("insight") == "group_share", F.col("mapped")).when(F.col("insight") == "region_share", F.col("total")).otherwise(F.col("den"))
     return joined.select(
-        "insight", "item", F.round("num", 1).alias("numerator"), den.cast("long").alias("denominator"),
-        F.round(F.try_divide(F.col("num"), den) * F.when(F.col("insight") == "mean_salary", 1).otherwise(100), 1).alias("value"),
+        "insight", "item", round_exact(F.col("num"), 1).alias("numerator"), den.cast("long").alias("denominator"),
+        round_exact(F.try_divide(F.col("num"), den) * F.when(F.col("insight") == "mean_salary", 1).otherwise(100), 1).alias("value"),
     )
 
 
@@ -189,7 +190,7 @@ def qa_errors(sample: DataFrame) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("errors")) for k in flags],
                     F.struct(F.lit("seniority_error").alias("check"), F.lit(0).cast("long").alias("errors")))
     return counts.select("n", F.explode(pairs).alias("p")).select(
-        "p.check", "p.errors", "n", F.round(F.coalesce(F.try_divide(F.col("p.errors"), F.col("n")), F.lit(0.0)) * 100, 1).alias("error_pct")
+        "p.check", "p.errors", "n", round_exact(F.coalesce(F.try_divide(F.col("p.errors"), F.col("n")), F.lit(0.0)) * 100, 1).alias("error_pct")
     )
 
 
@@ -242,7 +243,7 @@ def profile_fields(df: DataFrame, by: str, fields: list[str]) -> DataFrame:
     sums = scoped.groupBy(by).agg(F.sum("n").alias("n"), *[F.sum(f).alias(f) for f in fields])
     long = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("filled")) for f in fields])
     return sums.select(by, "n", F.explode(long).alias("f")).select(
-        by, "f.field", "f.filled", "n", F.round(F.col("f.filled") / F.col("n") * 100, 2).alias("filled_pct")
+        by, "f.field", "f.filled", "n", round_exact(F.col("f.filled") / F.col("n") * 100, 2).alias("filled_pct")
     )
 
 
