@@ -153,14 +153,6 @@ def external_results(spark, sf):
 # ---------------------------------------------------------------- duplicates
 
 
-def dated_documents(spark, sf):
-    """Documents as postings: text copies meet inside a source within thirty days."""
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int"))
-    return table(spark, sf, "documents").select(
-        F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 2000000).alias("title"), F.col("source").alias("company"),
-        day.alias("posted_date"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("crawled_at"))
-
-
 @query("""SELECT max(o_orderkey) AS newest, c_mktsegment AS company, o_orderpriority AS title, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL""")
 def exact_duplicates(spark, sf):
     orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer")
@@ -186,7 +178,7 @@ def fuzzy_duplicates_removed(spark, sf):
 
 @query()
 def similar_title_pairs(spark, sf):
-    nodes = dedupe.exact_key_dedupe(_title_postings(spark, sf)).withColumn("_anchor", F.col("_company")).withColumn("_bucket", F.lit(0))
+    nodes = dedupe.with_blocks(dedupe.exact_key_dedupe(_title_postings(spark, sf)))
     return dedupe.similar_names(nodes).where("ta <> tb").select("ta", "tb", "ca", "ab", "ba")
 
 

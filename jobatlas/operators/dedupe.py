@@ -50,6 +50,11 @@ def _keyed(postings: DataFrame) -> DataFrame:
     )
 
 
+def with_blocks(nodes: DataFrame) -> DataFrame:
+    """Add the company anchor and the thirty-day bucket duplicates must share or neighbour."""
+    return nodes.withColumn("_anchor", company_anchor(F.col("_company"))).withColumn("_bucket", date_bucket(F.col("posted_date")))
+
+
 def title_signatures(title: Column) -> Column:
     """Lossless blocking keys of a title.
 
@@ -155,10 +160,7 @@ def greedy_removed(edges: DataFrame) -> DataFrame:
 
 def deduplicate_postings(postings: DataFrame) -> DataFrame:
     """Postings without near-duplicates; undated postings are never duplicates."""
-    nodes = exact_key_dedupe(postings).withColumn("_anchor", company_anchor(F.col("_company"))).withColumn(
-        "_bucket", date_bucket(F.col("posted_date"))
-    )
-    nodes = cut_lineage(nodes)
+    nodes = cut_lineage(with_blocks(exact_key_dedupe(postings)))
     removed = greedy_removed(duplicate_edges(nodes))
     survivors = nodes.select("id").join(removed, "id", "left_anti")
     undated = postings.where(F.col("posted_date").cast("date").isNull())

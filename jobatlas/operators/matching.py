@@ -1,7 +1,8 @@
 """Dictionary joins between text and small dimensions: skills in text, titles to careers.
 
-Both joins prune by first token: the distinct tokens of a text meet the first token of
-each alias in an equi-join, so no text is ever compared with the whole dictionary.
+Both joins prune by leading tokens: the distinct tokens and neighbouring token pairs of a
+text meet the leading token or pair of each alias in an equi-join, so no text is ever
+compared with the whole dictionary.
 """
 
 from __future__ import annotations
@@ -10,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from jobatlas.functions.let import let
 from jobatlas.functions.parsing import relevant_description
 from jobatlas.functions.text import norm_match, word_tokens
 from jobatlas.operators.packs import meet, pack
 
 UNMAPPED = "unmapped"
-TOKEN_FILTER_LIMIT = 20_000
+KEY_FILTER_LIMIT = 20_000
 
 # Negation right before or right after a skill.
 NEGATED_BEFORE = (
@@ -30,8 +32,19 @@ def boundary_pattern(phrase: Column) -> Column:
     return F.concat(F.lit(r"(?U)(?<!\w)\Q"), phrase, F.lit(r"\E(?!\w)"))
 
 
-def first_token(phrase: Column) -> Column:
-    return F.coalesce(F.get(word_tokens(phrase), F.lit(0)), F.lit(""))
+def leading_key(phrase: Column) -> Column:
+    """First two tokens of a phrase, its only token, or nothing when it has no word character."""
+    return F.array_join(F.slice(word_tokens(phrase), 1, 2), " ")
+
+
+def text_keys(text: Column) -> Column:
+    """Every key an alias found in the text can have."""
+    def keys(tokens: Column) -> Column:
+        n = F.greatest(F.size(tokens) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+        return F.array_distinct(F.concat(tokens, pairs, F.array(F.lit(""))))
+
+    return let(word_tokens(text), keys)
 
 
 def alias_table(taxonomy: DataFrame) -> DataFrame:
@@ -41,22 +54,24 @@ def alias_table(taxonomy: DataFrame) -> DataFrame:
     )
     return taxonomy.select(
         F.col("name").alias("skill"), "taxonomy_order", F.explode(names).alias("alias")
-    ).withColumn("first_token", first_token(F.col("alias")))
+    ).withColumn("alias_key", leading_key(F.col("alias")))
 
 
 def _candidates(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
-    """(key, text, alias row) pairs that share the alias' first token.
+    """(key, text, alias row) pairs that share the alias' leading key.
 
-    While the dictionary is small its first tokens are folded into the scan as a set
-    test, so texts without any of them produce no rows at all.  A larger dictionary
-    takes the plain equi-join, whose strategy is left to the optimizer.
+    While the dictionary is small its keys are folded into the scan as a set test, so
+    texts without any of them produce no rows at all.  A larger dictionary takes the
+    plain equi-join, whose strategy is left to the optimizer.
     """
-    firsts = [r[0] for r in aliases.select("first_token").distinct().limit(TOKEN_FILTER_LIMIT + 1).collect()]
-    tokens = F.concat(F.array_distinct(word_tokens(F.col(text))), F.array(F.lit("")))
-    if len(firsts) <= TOKEN_FILTER_LIMIT:
-        tokens = F.filter(tokens, lambda t: t.isin(firsts))
-    exploded = texts.select(key, text, F.explode(tokens).alias("first_token"))
-    return exploded.join(aliases, "first_token")
+    known = [r[0] for r in aliases.select("alias_key").distinct().limit(KEY_FILTER_LIMIT + 1).collect()]
+    keyed = texts.select(key, text, text_keys(F.col(text)).alias("_keys"))
+    found = F.col("_keys")
+    if len(known) <= KEY_FILTER_LIMIT:
+        literals = ",".join("'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'" for k in known) or "''"
+        found = F.expr(f"filter(_keys, k -> k IN ({literals}))")
+    exploded = keyed.select(key, text, F.explode(found).alias("alias_key"))
+    return exploded.join(aliases, "alias_key")
 
 
 def posting_text(title: Column, description: Column) -> Column:
@@ -138,7 +153,7 @@ def pattern_table(careers: DataFrame) -> DataFrame:
     """One row per normalized title pattern from ``career_id, title_patterns``."""
     patterns = F.array_distinct(F.transform(F.col("title_patterns"), norm_match))
     return careers.select("career_id", F.explode(patterns).alias("alias")).withColumn(
-        "first_token", first_token(F.col("alias"))
+        "alias_key", leading_key(F.col("alias"))
     )
 
 

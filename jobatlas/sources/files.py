@@ -15,10 +15,10 @@ def read_strict(spark: SparkSession, path, schema: str) -> DataFrame:
 
 def read_tolerant(spark: SparkSession, path, schema: str) -> DataFrame:
     """JSON lines with a corrupt-record column and the file each row came from."""
-    reader = spark.read.schema(f"{schema}, {CORRUPT} string").option("mode", "PERMISSIVE")
-    return reader.option("columnNameOfCorruptRecord", CORRUPT).json(path).withColumn(
-        "file_name", F.col("_metadata.file_name")
-    )
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file_name")).where(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = F.from_json("value", f"{schema}, {CORRUPT} string", options)
+    return lines.select(parsed.alias("r"), "file_name").select("r.*", "file_name")
 
 
 def split_rejects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -19,13 +19,16 @@ DAY_MS = 24 * 60 * 60 * 1000
 
 
 class SessionProfile(StatefulProcessor):
-    """Profile state of one session; erased on request and expired after a day without events."""
+    """Profile state of one session; erased on request and, with a TTL, expired without events."""
 
-    def __init__(self, ttl_ms: int = DAY_MS) -> None:
+    def __init__(self, ttl_ms: int | None = DAY_MS) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("profile", STATE, ttlDurationMs=self.ttl_ms)
+        if self.ttl_ms is None:
+            self.state = handle.getValueState("profile", STATE)
+        else:
+            self.state = handle.getValueState("profile", STATE, ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         state = json.loads(self.state.get()[0]) if self.state.exists() else None
@@ -49,13 +52,14 @@ class SessionProfile(StatefulProcessor):
         pass
 
 
-def session_profiles(events: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
+def session_profiles(events: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
     """Streaming snapshots of ``session_id, seq, journey_mode, text, patch, erase`` events.
 
     One micro-batch of one session is ordered by ``seq``; its size is bounded by the
-    source's trigger limits.  Needs the RocksDB state store provider.
+    source's trigger limits.  Needs the RocksDB state store provider.  A TTL keeps
+    processing time running, so catch-up runs that should end pass ``ttl_ms=None``.
     """
     signals = turn_signals(events).select(*EVENT_COLUMNS, F.coalesce("erase", F.lit(False)).alias("erase"))
     return signals.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=SessionProfile(ttl_ms), outputStructType=SNAPSHOT, outputMode="Append", timeMode="ProcessingTime",
+        statefulProcessor=SessionProfile(ttl_ms), outputStructType=SNAPSHOT, outputMode="Append", timeMode="None" if ttl_ms is None else "ProcessingTime",
     )
