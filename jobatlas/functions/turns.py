@@ -175,7 +175,7 @@ def interest_matches_removed(candidate: Column, removed: Column) -> Column:
 def compact_interest(text: Column) -> Column:
     """Short interest label: the first clause with an activity, else the first with a liking cue."""
     raw = squeeze(F.coalesce(text, F.lit("")))
-    clauses = F.filter(F.transform(F.split(raw, r"[.!?,;]"), F.trim), lambda c: c != "")
+    clauses = F.filter(F.transform(F.split(raw, r"[.!?,;]"), lambda c: F.trim(c)), lambda c: c != "")
 
     def describe(c: Column) -> Column:
         f = fold(c)
