@@ -130,7 +130,8 @@ def payload_segments(html: Column) -> Column:
     )
     payload = F.array_join(F.array_compact(chunks), "")
     keys = F.regexp_extract_all(payload, F.lit(SEGMENT_KEY), F.lit(1))
-    bodies = F.slice(F.split(payload, SEGMENT_KEY.replace("(", "(?:", 2).replace("(?:?:", "(?:")), 2, 2147483647)
+    pieces = F.split(payload, SEGMENT_KEY, -1)
+    bodies = F.slice(pieces, F.lit(2), F.size(pieces))
     return F.zip_with(keys, bodies, lambda k, b: F.struct(k.alias("key"), F.trim(b).alias("body")))
 
 
@@ -152,7 +153,7 @@ def _resolve(segments: Column, value: Column) -> Column:
 
 def payload_postings(pages: DataFrame, source: str, as_of: Column, crawled_at: Column) -> DataFrame:
     """Raw postings from pages that carry a framework payload with a job object."""
-    hinted = pages.where(F.col("html").contains("__next_f.push") & F.col("html").contains("jobTitle"))
+    hinted = pages.where(F.col("html").contains("self.__next_f.push("))
     parsed = hinted.select("url", payload_segments(F.col("html")).alias("seg"))
     seg = F.col("seg")
     jobs = F.filter(

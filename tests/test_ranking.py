@@ -17,7 +17,7 @@ def profile(sid, d, skills=(), interests=(), mode="explore", region=None, exps=(
 
 
 CAREERS = [
-    (f"c{i}", f"Career {i}", "", [f"career {i}"], None, dims(*[1.0 if j == i % 5 else 0.2 for j in range(5)]), [("university", "Uni", "", ["x"])], []) for i in range(8)
+    (f"c{i}", "Career " + "ABCDEFGH"[i], "", [f"career {i}"], None, dims(*[1.0 if j == i % 5 else 0.2 for j in range(5)]), [("university", "Uni", "", ["x"])], []) for i in range(8)
 ]
 PEOPLE = [
     profile("p1", dims(0.8, 0.1, 0, 0, 0), [("Python", "đã làm"), ("C", "")], ["vẽ"]),
