@@ -223,9 +223,9 @@ def raw_postings(spark, sf):
 
 NORM = """SELECT id, source, CASE r_name WHEN 'AFRICA' THEN 'hanoi' WHEN 'AMERICA' THEN 'hcm' WHEN 'ASIA' THEN 'danang' WHEN 'EUROPE' THEN 'hcm' ELSE 'other' END AS region,
     CASE o_orderpriority WHEN '2-HIGH' THEN million + 0.5 WHEN '3-MEDIUM' THEN million
-      WHEN '4-NOT SPECIFIED' THEN round((CASE WHEN million * 100 >= 100000 THEN million * 100 / 1e6 ELSE million * 100 END) * 25500 / 1e6, 1) END AS salary_min_trieu,
+      WHEN '4-NOT SPECIFIED' THEN CAST(format('{:.1f}', (CASE WHEN million * 100 >= 100000 THEN million * 100 / 1e6 ELSE million * 100 END) * 25500 / 1e6) AS DOUBLE) END AS salary_min_trieu,
     CASE o_orderpriority WHEN '1-URGENT' THEN million WHEN '3-MEDIUM' THEN (CASE WHEN million = 0 THEN 500000 ELSE million * 1000000 + 500000 END) / 1e6
-      WHEN '4-NOT SPECIFIED' THEN round(CAST(CAST(CAST(million AS INT) AS VARCHAR) || '50' AS DOUBLE) * 25500 / 1e6, 1) END AS salary_max_trieu,
+      WHEN '4-NOT SPECIFIED' THEN CAST(format('{:.1f}', CAST(CAST(CAST(million AS INT) AS VARCHAR) || '50' AS DOUBLE) * 25500 / 1e6) AS DOUBLE) END AS salary_max_trieu,
     CASE o_orderstatus WHEN 'F' THEN CAST(left(CAST(CAST(million AS INT) AS VARCHAR), 1) AS INT) WHEN 'O' THEN 0 END AS experience_min_years,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'senior' WHEN '2-HIGH' THEN 'entry' WHEN '3-MEDIUM' THEN 'mid' ELSE
       CASE o_orderstatus WHEN 'O' THEN 'entry' WHEN 'F' THEN CASE WHEN left(CAST(CAST(million AS INT) AS VARCHAR), 1) = '0' THEN 'entry' WHEN CAST(left(CAST(CAST(million AS INT) AS VARCHAR), 1) AS INT) >= 3 THEN 'senior' ELSE 'mid' END ELSE 'unknown' END END AS seniority,

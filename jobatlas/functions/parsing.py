@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jobatlas.functions.let import let
 from jobatlas.functions.numbers import round_exact
 from jobatlas.functions.text import ascii_tokens, contains_any, nfc, norm_match, norm_region, squeeze, strip_space
 
@@ -70,7 +71,10 @@ JOB_FAMILIES = {
 
 def parse_salary(raw: Column) -> Column:
     """Salary text to ``struct<salary_min, salary_max>`` in millions of VND."""
-    text = strip_space(F.lower(F.coalesce(raw, F.lit(""))))
+    return let(strip_space(F.lower(F.coalesce(raw, F.lit("")))), _salary_of)
+
+
+def _salary_of(text: Column) -> Column:
     usd = text.contains("$") | text.contains("usd")
     plain = F.regexp_replace(text, r"(?U)(\d+),(\d+)(?=\s*(?:triệu|tr|trieu|usd|\$))", "$1.$2")
     plain = F.replace(plain, F.lit(","), F.lit(""))
@@ -80,14 +84,18 @@ def parse_salary(raw: Column) -> Column:
         F.regexp_extract_all(plain, F.lit(r"(\d+\.\d+|\d+)"), F.lit(1)),
         lambda t: _to_million(t.cast("double"), usd),
     )
-    first, second = F.get(amounts, F.lit(0)), F.get(amounts, F.lit(1))
-    low = F.when(contains_any(text, SALARY_UP_TO), F.lit(None).cast("double")).otherwise(first)
-    high = (
-        F.when(contains_any(text, SALARY_UP_TO), first)
-        .when(contains_any(text, SALARY_FROM), F.lit(None).cast("double"))
-        .otherwise(F.coalesce(second, first))
-    )
-    return F.struct(low.alias("salary_min"), high.alias("salary_max"))
+    kind = F.when(contains_any(text, SALARY_UP_TO), "up").when(contains_any(text, SALARY_FROM), "from").otherwise("range")
+
+    def bounds(v: Column) -> Column:
+        first, second = F.get(v.amounts, F.lit(0)), F.get(v.amounts, F.lit(1))
+        return F.struct(
+            F.when(v.kind != "up", first).alias("salary_min"),
+            F.when(v.kind == "up", first).when(v.kind == "range", F.coalesce(second, first)).alias("salary_max"),
+        )
+
+    empty = F.array().cast("array<double>")
+    found = F.when(plain.rlike(r"\d"), amounts).otherwise(empty)
+    return let(F.struct(found.alias("amounts"), kind.alias("kind")), bounds)
 
 
 def _to_million(amount: Column, usd: Column) -> Column:
@@ -96,11 +104,13 @@ def _to_million(amount: Column, usd: Column) -> Column:
 
 
 def map_region(raw: Column) -> Column:
-    text = norm_region(F.coalesce(raw, F.lit("")))
-    chain = F.when(text == "", "other")
-    for key, region in REGION_KEYS:
-        chain = chain.when(text.contains(key), region)
-    return chain.otherwise("other")
+    def first_key(text: Column) -> Column:
+        chain = F.when(text == "", "other")
+        for key, region in REGION_KEYS:
+            chain = chain.when(text.contains(key), region)
+        return chain.otherwise("other")
+
+    return let(norm_region(F.coalesce(raw, F.lit(""))), first_key)
 
 
 def parse_experience(raw: Column) -> Column:
@@ -136,8 +146,11 @@ def crawl_date(crawled_at: Column, as_of: Column) -> Column:
 
 def parse_posted_date(raw: Column, crawled_at: Column, as_of: Column) -> Column:
     """Absolute posting date; deadlines, future dates and invalid dates give the crawl date."""
-    text = strip_space(F.lower(F.coalesce(raw, F.lit(""))))
     crawled = crawl_date(crawled_at, as_of)
+    return let(strip_space(F.lower(F.coalesce(raw, F.lit("")))), lambda text: _posted_on(text, crawled))
+
+
+def _posted_on(text: Column, crawled: Column) -> Column:
     days = F.regexp_extract(text, r"(?U)(\d+)\s+ngày\s+trước", 1).try_cast("int")
     dmy, ymd = r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})", r"(\d{4})[/-](\d{1,2})[/-](\d{1,2})"
 

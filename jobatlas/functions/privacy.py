@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jobatlas.functions.let import let
 from jobatlas.functions.text import contains_any, squeeze, strip_space
 
 # Patterns and markers.
@@ -53,13 +54,25 @@ PROTECTED_TERMS = (
 )
 
 
+# Order of the rules, and plain substrings without which a rule cannot match; most texts
+# have none of them and skip the regular expressions.
+REDACTIONS = (
+    (EMAIL, EMAIL_MARK, ("@",)),
+    (PHONE, PHONE_MARK, ("0", "84")),
+    (SECRET, SECRET_MARK, ("sk-",)),
+    (GPA_VALUE, " ", ("gpa", "điểm", "diem")),
+    (ADDRESS, " ", ("chỉ", "chi")),
+    (SELF_NAME, " ", ("tên", "ten")),
+    (PROTECTED, " ", ("giới", "con", "là", "la", "gpa", "bách", "neu", "ftu", "rmit", "trường")),
+)
+
+
 def redact(text: Column) -> Column:
     """Contact data and secrets become markers; grades, addresses, names and protected terms go."""
     out = F.coalesce(text, F.lit(""))
-    for pattern, mark in ((EMAIL, EMAIL_MARK), (PHONE, PHONE_MARK), (SECRET, SECRET_MARK)):
-        out = F.regexp_replace(out, pattern, mark)
-    for pattern in (GPA_VALUE, ADDRESS, SELF_NAME, PROTECTED):
-        out = F.regexp_replace(out, pattern, " ")
+    for pattern, mark, hints in REDACTIONS:
+        out = let(out, lambda t, p=pattern, m=mark, h=hints: F.when(
+            contains_any(F.lower(t), h), F.regexp_replace(t, p, m)).otherwise(t))
     return squeeze(out)
 
 

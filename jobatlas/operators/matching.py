@@ -29,7 +29,9 @@ NEGATED_AFTER = r"(?U)^\s*(?:(?:là\s+)?(?:không|chưa)\s+(?:bắt buộc|cần
 
 def boundary_pattern(phrase: Column) -> Column:
     """Regular expression of a literal phrase on Unicode word boundaries."""
-    return F.concat(F.lit(r"(?U)(?<!\w)\Q"), phrase, F.lit(r"\E(?!\w)"))
+    # The literal comes first so that the scan can skip ahead to it; the look-behind then
+    # checks the character in front of the literal just matched.
+    return F.concat(F.lit(r"(?U)\Q"), phrase, F.lit(r"\E(?<!\w\Q"), phrase, F.lit(r"\E)(?!\w)"))
 
 
 def leading_key(phrase: Column) -> Column:
@@ -80,16 +82,18 @@ def posting_text(title: Column, description: Column) -> Column:
 
 def alias_mentions(texts: DataFrame, aliases: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """Every boundary-safe, not negated occurrence of every alias.  ``text`` is normalized."""
-    pieces = F.split(F.col(text), boundary_pattern(F.col("alias")), -1)
-    lengths = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.length)
     width = F.length("alias")
-    ends = F.aggregate(
-        lengths,
-        F.array().cast("array<int>"),
-        lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n + width)),
-    )
-    hits = _candidates(texts, key, text, aliases).where(F.size(pieces) > 1)
-    found = hits.select(
+
+    def ends_of(pieces: Column) -> Column:
+        return F.aggregate(
+            F.slice(pieces, F.lit(1), F.size(pieces) - 1),
+            F.array().cast("array<int>"),
+            lambda acc, p: F.concat(
+                acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(p) + width)),
+        )
+
+    ends = let(F.split(F.col(text), boundary_pattern(F.col("alias")), -1), ends_of)
+    found = _candidates(texts, key, text, aliases).select(
         key, text, "skill", "taxonomy_order", "alias", F.explode(ends).alias("end")
     ).withColumn("start", F.col("end") - F.length("alias"))
     before = F.substring(F.col(text), F.greatest(F.col("start") - 54, F.lit(1)), F.least(F.col("start"), F.lit(55)))
