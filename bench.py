@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
     "career_market_stats", "skill_demand_stats", "market_overview", "moving_90_day_demand", "normalized_postings", "redacted_documents",
-    "dictionary_skill_tags", "career_title_mapping", "exact_duplicates", "fuzzy_duplicates_removed", "top_careers_per_profile",
+    "dictionary_skill_tags", "career_title_mapping", "exact_duplicates", "top_careers_per_profile",
     "what_if_added_skill", "skill_gap_and_readiness", "recommendation_rows", "micro_precision_recall", "manifest_counts",
     "traceability_audit", "session_profile_fold", "streamed_daily_demand",
 )

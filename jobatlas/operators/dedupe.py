@@ -8,6 +8,7 @@ set is found in parallel rounds, so one huge company is spread over many tasks.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -142,20 +143,23 @@ def greedy_removed(edges: DataFrame) -> DataFrame:
     """Ids the newest-first rule removes, found in rounds over the shrinking edge set.
 
     A node without newer neighbours is kept, its older neighbours go, and edges of both
-    disappear.  Every round is checkpointed to the shared folder.
+    disappear.  Each round writes one table: the edges left and, with no newer end, the
+    ids it removed.
     """
-    left = cut_lineage(edges)
-    removed = left.select(F.col("older").alias("id")).limit(0)
-    while not left.isEmpty():
-        kept = left.select(F.col("newer").alias("id")).distinct().join(
-            left.select(F.col("older").alias("id")).distinct(), "id", "left_anti"
-        )
-        gone = cut_lineage(left.join(kept, left["newer"] == kept["id"], "left_semi").select(F.col("older").alias("id")).distinct())
-        removed = cut_lineage(removed.unionByName(gone))
-        left = cut_lineage(
-            left.join(gone, left["older"] == gone["id"], "left_anti").join(gone, F.col("newer") == gone["id"], "left_anti")
-        )
-    return removed
+    state = cut_lineage(edges)
+    removed: list[DataFrame] = [state.where(F.col("newer").isNull()).select(F.col("older").alias("id"))]
+    while True:
+        left = state.where(F.col("newer").isNotNull())
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, removed)
+        outranked = left.select(F.col("older").alias("id")).distinct()
+        kept_edges = left.join(outranked, left["newer"] == outranked["id"], "left_anti")
+        gone = kept_edges.select(F.col("older").alias("id")).distinct()
+        rest = left.join(gone, left["older"] == gone["id"], "left_anti").join(gone, F.col("newer") == gone["id"], "left_anti")
+        state = cut_lineage(rest.unionByName(gone.select(F.lit(None).cast(left.schema["newer"].dataType).alias("newer"), F.col("id").alias("older"))))
+        removed.append(state.where(F.col("newer").isNull()).select(F.col("older").alias("id")))
+        if len(removed) >= 20:
+            removed = [cut_lineage(reduce(DataFrame.unionByName, removed))]
 
 
 def deduplicate_postings(postings: DataFrame) -> DataFrame:
