@@ -31,7 +31,7 @@ def test_fold(spark):
     assert {s["name"] for s in a["skills"]} == {"Photoshop", "Excel"}
     assert "em thích vẽ tranh" not in a["interests"] and a["interests"]
     assert a["dimensions"]["sang_tao"] == 0.15 and a["turn"] == 7
-    assert b["journey_mode"] == "launch" and b["education_stage"] == "final_year" and b["job_goal"] == "việc dữ liệu / phân tích entry-level"
+    assert b["journey_mode"] == "launch" and b["education_stage"] == "final_year" and b["job_goal"] == "em chưa có thực tập"
     assert [s["name"] for s in b["skills"]] == ["Excel", "SQL", "Python"] and b["experiences"][0]["title"] == "Dashboard"
     assert "chưa có thực tập" in b["constraints"]["notes"] and b["dimensions"]["ky_thuat"] == 0.0
     assert c["skills"] == [] and c["dimensions"]["phan_tich"] == 0.0
