@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobatlas.llm.common import map_batches, prefix_hashes, read_table, release, save, span_hashes, text_bytes
+from jobatlas.llm.common import map_batches, powers, prefix_hashes, read_table, release, save, span_hashes, text_bytes
 
 #: Bytes of an anchor string.
 GRAM = 60
@@ -32,33 +32,62 @@ def _sliding(values: np.ndarray, width: int, low: bool) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(prefix: np.ndarray, length: int) -> np.ndarray:
-    """Positions that are the least hash of some string of ``length`` bytes."""
-    n = len(prefix) - 1
+def anchors(data: np.ndarray, prefix: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """Positions that are the least hash of some string of ``length`` bytes, in texts laid end to end.
+
+    ``ends`` are the places where texts end; no string crosses them.
+    """
+    n = len(data)
     if n < length:
         return np.zeros(0, dtype=np.int64)
-    at = np.arange(n - GRAM + 1)
-    grams = span_hashes(prefix, at, at + GRAM)
+    grams = (prefix[GRAM:] - prefix[:-GRAM]) * powers("down", n - GRAM + 1)
+    grams ^= grams >> np.uint64(29)
+    grams *= np.uint64(0xBF58476D1CE4E5B9)
+    grams ^= grams >> np.uint64(32)
     width = length - GRAM + 1
-    least = _sliding(grams, width, True)
-    pad = np.zeros(width - 1, dtype=np.uint64)
-    return np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, False) == grams)
+    least = np.zeros(n - length + 1 + 2 * (width - 1), dtype=np.uint64)
+    least[width - 1 : len(least) - width + 1] = _sliding(grams, width, True)
+    for end in ends:
+        # Strings that would run over the end of their text do not count.
+        least[max(0, end - length + 1) + width - 1 : end + width - 1] = 0
+    return np.flatnonzero(_sliding(least, width, False) == grams)
+
+
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column end to end, and where each value starts (one more than values)."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    whole = column.buffers()[2]
+    data = np.frombuffer(whole, dtype=np.uint8)[offsets[0] : offsets[-1]] if whole is not None else np.zeros(0, dtype=np.uint8)
+    return data, offsets - offsets[0]
+
+
+def _pieces(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Runs of successive values of about ``size`` bytes, so that work stays in the processor's cache."""
+    out, first = [], 0
+    for i in range(1, len(starts)):
+        if starts[i] - starts[first] >= size or i == len(starts) - 1:
+            out.append((first, i))
+            first = i
+    return out
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     reach = length - GRAM
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, body = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        data, starts = _joined(batch.column(1))
         cols: list[list[np.ndarray]] = [[], [], [], []]
-        for key, text in zip(keys, body, strict=True):
-            prefix = prefix_hashes(np.frombuffer(text, dtype=np.uint8))
-            at = anchors(prefix, length)
-            left, right = np.maximum(at - reach, 0), np.minimum(at + length, len(text))
+        for lo, hi in _pieces(starts, 1 << 17):
+            own, at0 = data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo]
+            prefix = prefix_hashes(own)
+            at = anchors(own, prefix, at0[1:-1], length)
+            doc = np.searchsorted(at0, at, "right") - 1
+            left, right = np.maximum(at - reach, at0[doc]), np.minimum(at + length, at0[doc + 1])
             around = span_hashes(prefix, left, right) ^ ((at - left) * 1024 + (right - at)).astype(np.uint64)
-            for col, x in zip(cols, (np.full(len(at), key), at, span_hashes(prefix, at, at + GRAM).view(np.int64), around.view(np.int64)), strict=True):
+            for col, x in zip(cols, (keys[lo + doc], at - at0[doc], span_hashes(prefix, at, at + GRAM).view(np.int64), around.view(np.int64)), strict=True):
                 col.append(x)
-        flat = [np.concatenate(c).astype(np.int64) for c in cols]
+        flat = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, dtype=np.int64) for c in cols]
         zero = np.zeros(len(flat[0]), dtype=np.int32)
         return pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1].astype(np.int32)), pa.array(zero), pa.array(flat[2]), pa.array(flat[3])], ["text_key", "at", "first", "inner", "outer"])
 
@@ -93,29 +122,28 @@ def _ranges(contexts: DataFrame, span: int, parent: int, length: int) -> DataFra
     reach = length - GRAM
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list[np.ndarray]] = [[], [], [], [], []]
-        opened = batch.column("opened").to_pylist() if "opened" in batch.schema.names else None
-        rows = zip(*(batch.column(c).to_pylist() for c in ("text_key", "at", "before", "context")), strict=True)
-        for i, (key, at, before, context) in enumerate(rows):
-            prefix = prefix_hashes(np.frombuffer(context, dtype=np.uint8))
-            heads = np.zeros(1, dtype=np.int64) if opened is None else np.array(opened[i], dtype=np.int64)
-            first = (heads[:, None] + np.arange(0, parent, span)[None, :]).ravel()
-            last = np.minimum(first + span - 1, reach)
-            # A start lies `back` bytes before the anchor; it is one if it is in the text and `length` bytes follow.
-            least = max(0, before + length - len(context))
-            keep = (first <= last) & (np.minimum(last, before) >= np.maximum(first, least))
-            first, last = first[keep], last[keep]
-            # The place of the anchor in the string belongs to the rank.
-            place = (first * 1024 + last).astype(np.uint64) * np.uint64(2)
-            inner = span_hashes(prefix, before - first, before - last + length) ^ place
-            whole = (last <= before) & (before - first + length <= len(context))
-            outer = np.zeros(len(first), dtype=np.uint64)
-            outer[whole] = span_hashes(prefix, (before - last)[whole], (before - first + length)[whole]) ^ place[whole]
-            for col, x in zip(cols, (np.full(len(first), key), np.full(len(first), at), first, inner.view(np.int64), outer.view(np.int64)), strict=True):
-                col.append(x)
-        flat = [np.concatenate(c).astype(np.int64) for c in cols]
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()).cast(k) for x, k in zip(flat, kinds, strict=True)], ["text_key", "at", "first", "inner", "outer"])
+        keys, ats, befores = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("text_key", "at", "before"))
+        data, starts = _joined(batch.column("context"))
+        prefix = prefix_hashes(data)
+        if "opened" in batch.schema.names:
+            heads = batch.column("opened")
+            row, heads = np.repeat(np.arange(len(keys)), heads.value_lengths().to_numpy()), heads.flatten().to_numpy().astype(np.int64)
+        else:
+            row, heads = np.arange(len(keys)), np.zeros(len(keys), dtype=np.int64)
+        steps = np.arange(0, parent, span)
+        first, row = (heads[:, None] + steps[None, :]).ravel(), np.repeat(row, len(steps))
+        last, before, size = np.minimum(first + span - 1, reach), befores[row], np.diff(starts)[row]
+        # A start lies so many bytes before the anchor; it is one if it is in the text and `length` bytes follow.
+        keep = (first <= last) & (np.minimum(last, before) >= np.maximum(first, before + length - size))
+        first, last, before, size, row = first[keep], last[keep], before[keep], size[keep], row[keep]
+        # The place of the anchor in the string belongs to the rank.
+        place, at = (first * 1024 + last).astype(np.uint64) * np.uint64(2), starts[row] + before
+        inner = span_hashes(prefix, at - first, at - last + length) ^ place
+        whole = (last <= before) & (before - first + length <= size)
+        outer = np.zeros(len(first), dtype=np.uint64)
+        outer[whole] = span_hashes(prefix, (at - last)[whole], (at - first + length)[whole]) ^ place[whole]
+        arrays = [pa.array(keys[row]), pa.array(ats[row].astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(inner.view(np.int64)), pa.array(outer.view(np.int64))]
+        return pa.RecordBatch.from_arrays(arrays, ["text_key", "at", "first", "inner", "outer"])
 
     return map_batches(contexts, run, "text_key long, at int, first int, inner long, outer long")
 
@@ -124,11 +152,14 @@ def _rerank(rows: DataFrame) -> DataFrame:
     """Positions whose inner rank repeats: (text_key, at, first, settled, open).
 
     Settled: the outer rank repeats as well.  Open: to be ranked over smaller ranges; of positions with one outer rank a
-    single one stays open, as witness for the others, and none if no other outer rank has the inner one.  Counts come
-    from partial sums, so a hot rank is never held together.
+    single one stays open, as witness for the others, and none if no other outer rank has the inner one.  Most ranks are
+    unique; they drop out first, on a count of the ranks alone.  Counts come from partial sums, so a hot rank is never
+    held together.
     """
+    again = rows.groupBy("inner").agg(F.count("*").alias("n")).where("n > 1").select("inner")
+    rows = save(rows.join(again, "inner", "left_semi"))
+    release(rows.sparkSession)
     groups = rows.groupBy("inner", "outer").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "at", "first")).alias("one"))
-    groups = save(groups)
     inner = groups.groupBy("inner").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max(F.col("outer") == 0).alias("cut"))
     inner = inner.where("total > 1").select("inner", (F.expr("kinds > 1 or cut")).alias("more"))
     known = groups.join(inner, "inner").where("n > 1 or more").select("inner", "outer", "n", "one", "more")
@@ -205,3 +236,21 @@ def op9_suffix_dedup(spark, sf_dir) -> DataFrame:
     """The contract query over all documents."""
     out = remove_repeated(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), w AS (
+  SELECT k, unnest(range(0, length(h) // 2 - 199)) AS i, unnest([md5(substr(h, 2 * j + 1, 400)) FOR j IN range(0, length(h) // 2 - 199)]) AS m
+  FROM d WHERE length(h) >= 400
+), r AS (SELECT k, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)), g AS (
+  SELECT k, i, CASE WHEN i > lag(i) OVER (PARTITION BY k ORDER BY i) + 200 THEN 1 ELSE 0 END AS fresh FROM r
+), a AS (SELECT k, i, sum(fresh) OVER (PARTITION BY k ORDER BY i) AS run FROM g), u AS (
+  SELECT k, min(i) AS lo, max(i) + 200 AS hi FROM a GROUP BY k, run
+), q AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY k ORDER BY lo), 0) AS was FROM u), x AS (
+  SELECT k, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(substr(h, 2 * was + 1, 2 * (lo - was)), '' ORDER BY lo) AS pieces
+  FROM q JOIN d USING (k) GROUP BY k
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(pieces || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN x USING (k)
+"""
