@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from jobatlas.llm.common import map_batches, read_table, save, text_bytes
 
 #: Words of a window, words of an index block, free positions between documents, query items matched in one pass.
-WIDTH, BLOCK_WORDS, GAP, ITEMS_PER_PASS = 10, 1_000_000, 64, 2_000
+WIDTH, BLOCK_WORDS, GAP, ITEMS_PER_PASS = 10, 500_000, 64, 2_000
 #: A-Z become a-z; every other ASCII byte that is no letter or digit parts words; other bytes belong to words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 

@@ -107,8 +107,8 @@ class Parser:
     def __init__(self, automata: dict[str, SuffixAutomaton]) -> None:
         self.names = list(automata)
         self.weight = [math.log2(max(2, a.size)) for a in automata.values()]
-        self.runs = Memo(lambda w: sum(a.phrases(f" {w} ") << (LANE * i) for i, a in enumerate(automata.values())))
-        self.words = Memo(self._word)
+        self.runs = Memo(lambda w: sum(a.phrases(f" {w} ") << (LANE * i) for i, a in enumerate(automata.values())), 100_000)
+        self.words = Memo(self._word, 100_000)
 
     def _word(self, word: bytes) -> int:
         return sum(map(self.runs.__getitem__, _RUNS.findall(word.decode("utf-8", "replace").lower())))

@@ -38,7 +38,7 @@ class WordTokenizer:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in own]
         self.visible = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.pieces, self.words = Memo(self._piece), Memo(self._word)
+        self.pieces, self.words = Memo(self._piece, 100_000), Memo(self._word, 100_000)
 
     def _piece(self, piece: str) -> bytes:
         text = piece.encode().decode("latin-1").translate(self.visible)
