@@ -165,3 +165,24 @@ def jaccard_classes(docs: DataFrame, width: int = 3) -> DataFrame:
 def op2_jaccard_join(spark, sf_dir) -> DataFrame:
     """The contract query over all documents."""
     return jaccard_classes(read_table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT k, g FROM (
+    SELECT k, unnest(CASE WHEN len(ws) >= 3 THEN [array_to_string(ws[i : i + 2], ' ') FOR i IN range(1, len(ws) - 1)]
+      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM d
+  )
+), n AS (SELECT k, count(*) AS n FROM s GROUP BY k), p AS (
+  SELECT a.k AS x, b.k AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.k < b.k GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.k = x JOIN n b ON b.k = y WHERE 100 * i >= 90 * (a.n + b.n - i)
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), r AS (
+  SELECT k AS a, k AS b FROM d UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b
+), c AS (SELECT r.a AS k, min(d.doc_id) AS component_id FROM r JOIN d ON d.k = r.b GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d JOIN c USING (k) LEFT JOIN n USING (k)
+"""

@@ -16,6 +16,9 @@ QUERIES = {
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
+    "op2_jaccard_join": jaccard_join.OP2_SQL,
+    "op3_secret_scan": secret_scan.OP3_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op8_warc": warc.OP8_SQL,
+    "op9_suffix_dedup": suffix_dedup.OP9_SQL,
 }

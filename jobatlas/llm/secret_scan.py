@@ -152,3 +152,45 @@ def op3_secret_scan(spark, sf_dir) -> DataFrame:
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans")
     )
+
+
+def _oracle() -> str:
+    """The contract query for an engine whose patterns know no look-around and give no places."""
+    patterns = {k.name: k.pattern for k in KINDS} | {"key": "[A-Za-z0-9+/=_-]+"}
+    found = " UNION ALL ".join(
+        f"SELECT k, t, '{name}' AS kind, {_ORDER[name]} AS rank, regexp_extract_all(t, '{p.replace(chr(39), chr(39) * 2)}') AS ms FROM d" for name, p in patterns.items()
+    )
+    value = f"regexp_extract(m, '{ASSIGN.replace(chr(39), chr(39) * 2)}', 2)"
+    names = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+    needs = " OR ".join(
+        f"(w.kind = '{k.name}' AND " + " AND ".join(f"count(*) FILTER (o.kind IN {names(n)}) > 0" for n in k.needs) + ")" for k in WEAK
+    )
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}), p AS (
+  SELECT k, t, kind, rank, ms, 1 AS i, instr(t, ms[1]) AS s FROM f WHERE len(ms) > 0
+  UNION ALL
+  SELECT k, t, kind, rank, ms, i + 1, s + length(ms[i]) - 1 + instr(substr(t, s + length(ms[i])), ms[i + 1]) FROM p WHERE i < len(ms)
+), a AS (SELECT k, kind, rank, ms[i] AS m, s - 1 AS lo, s - 1 + length(ms[i]) AS hi FROM p), strong AS (
+  SELECT k, kind, rank, lo, hi FROM a
+  WHERE kind = 'assign' AND length({value}) >= 8 OR kind = 'access' AND length(m) >= 16 OR kind = 'hex' AND length(m) >= 32
+), weak AS (
+  SELECT k, kind, rank, lo, hi FROM a
+  WHERE (kind = 'login' OR kind = 'endpoint' AND length(m) >= 8 OR kind = 'key' AND regexp_full_match(m, '[A-Za-z0-9+/]{{40}}'))
+    AND NOT EXISTS (FROM strong s WHERE s.k = a.k AND s.lo < a.hi AND a.lo < s.hi)
+), o AS (FROM strong UNION ALL FROM weak), linked AS (
+  SELECT w.k, w.kind, w.rank, w.lo, w.hi FROM weak w JOIN o ON o.k = w.k AND o.lo <= w.hi + {SCOPE} AND o.hi >= w.lo - {SCOPE}
+  WHERE w.k IN (SELECT k FROM strong UNION SELECT k FROM weak)
+  GROUP BY ALL HAVING {needs}
+), every AS (FROM strong UNION ALL FROM linked), g AS (
+  SELECT k, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || lo || ':' || hi, ',' ORDER BY lo, rank) FILTER (rank < {len(BASE)}) AS base,
+    string_agg(kind || ':' || lo || ':' || hi, ',' ORDER BY lo, rank) AS spans
+  FROM every GROUP BY k
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (k)
+"""
+
+
+OP3_SQL = _oracle()
