@@ -179,7 +179,20 @@ def fuzzy_duplicates_removed(spark, sf):
 @query()
 def similar_title_pairs(spark, sf):
     nodes = dedupe.with_blocks(dedupe.exact_key_dedupe(_title_postings(spark, sf)))
-    return dedupe.similar_names(nodes).where("ta <> tb").select("ta", "tb", "ca", "ab", "ba")
+    return dedupe.similar_names(nodes.select("_title", "_company", "_anchor").distinct()).select("ta", "tb", "ca", "ab", "ba")
+
+
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT o_orderpriority AS title, c_mktsegment AS company, CAST(o_orderdate AS DATE) AS d FROM orders JOIN customer ON o_custkey = c_custkey),
+    k AS (SELECT title, company, max(d) AS d FROM n GROUP BY ALL
+    UNION ALL SELECT title, company, d FROM (SELECT n.title, n.company, n.d, row_number() OVER (PARTITION BY n.title, n.company ORDER BY n.d DESC) AS r FROM k JOIN n ON n.title = k.title AND n.company = k.company AND n.d < k.d - 30) WHERE r = 1)
+    SELECT title, company, CAST(d AS VARCHAR) AS day FROM k""")
+def reposted_priorities_removed(spark, sf):
+    """Titles so far apart that only equal ones are similar; ids repeat: the order rule alone decides."""
+    orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer")
+    rows = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).select(
+        F.col("o_custkey").alias("id"), F.to_date("o_orderdate").cast("string").alias("crawled_at"), F.col("o_orderpriority").alias("title"),
+        F.col("c_mktsegment").alias("company"), F.to_date("o_orderdate").alias("posted_date"))
+    return dedupe.deduplicate_postings(rows).select("title", "company", F.col("posted_date").cast("string").alias("day"))
 
 
 # ---------------------------------------------------------------- samples

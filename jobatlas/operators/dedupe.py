@@ -1,14 +1,15 @@
 """Near-duplicate removal: newest first, a posting goes when a kept one is close enough.
 
-The rule is order dependent, yet it equals a fixed set on the similarity graph: keep a
-posting when no newer similar posting is kept.  The graph is built from joins and the
-set is found in parallel rounds, so one huge company is spread over many tasks.
+The rule is order dependent: keep a posting when no newer similar posting is kept.
+Similarity is decided once per pair of distinct names.  Names fall into components, and
+every component is swept once, newest first, in one sorted stream.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from jobatlas.functions.parsing import company_anchor, date_bucket
 from jobatlas.functions.text import strip_space
+from jobatlas.operators.graph import connected_components
 from jobatlas.session import cut_lineage
 
 THRESHOLD = 0.85
@@ -95,78 +97,91 @@ def _similar(title_a: pd.Series, company_a: pd.Series, title_b: pd.Series, compa
     return pd.Series([[close(ta, tb) and close(ca, cb), close(tb, ta) and close(cb, ca)] for ta, ca, tb, cb in rows])
 
 
-def similar_names(nodes: DataFrame) -> DataFrame:
-    """Pairs of distinct (title, company) that pass the ratio test, each with both directions."""
-    names = nodes.select("_title", "_company", "_anchor", "_bucket").distinct()
+def similar_names(names: DataFrame) -> DataFrame:
+    """Pairs of distinct (title, company) of one anchor that pass the ratio test, each with both directions.
+
+    ``names`` has one row per ``_title, _company, _anchor``; the size of the posting table does not matter here.
+    """
     keyed = names.withColumn("_sig", F.explode(title_signatures(F.col("_title")))).withColumn("_len", F.length("_title"))
-    left = keyed.select(
-        "_anchor", "_bucket", "_sig", F.col("_title").alias("ta"), F.col("_company").alias("ca"), F.col("_len").alias("la")
-    )
-    right = keyed.select(
-        "_anchor", F.explode(F.array(F.col("_bucket") - 1, F.col("_bucket"), F.col("_bucket") + 1)).alias("_bucket"), "_sig",
-        F.col("_title").alias("tb"), F.col("_company").alias("cb"), F.col("_len").alias("lb"),
-    )
+    left = keyed.select("_anchor", "_sig", F.col("_title").alias("ta"), F.col("_company").alias("ca"), F.col("_len").alias("la"))
+    right = keyed.select("_anchor", "_sig", F.col("_title").alias("tb"), F.col("_company").alias("cb"), F.col("_len").alias("lb"))
     sized = F.least("la", "lb") >= F.greatest("la", "lb") * MIN_SHARE
     before = F.struct("ta", "ca") < F.struct(F.col("tb").alias("ta"), F.col("cb").alias("ca"))
-    candidates = left.join(right, ["_anchor", "_bucket", "_sig"]).where(before & sized).select("ta", "ca", "tb", "cb").distinct()
+    candidates = left.join(right, ["_anchor", "_sig"]).where(before & sized).select("ta", "ca", "tb", "cb").distinct()
     tested = candidates.withColumn("_s", _similar("ta", "ca", "tb", "cb"))
-    found = tested.select("ta", "ca", "tb", "cb", F.col("_s")[0].alias("ab"), F.col("_s")[1].alias("ba"))
-    same = names.select("_title", "_company").distinct().select(
-        F.col("_title").alias("ta"), F.col("_company").alias("ca"), F.col("_title").alias("tb"), F.col("_company").alias("cb"),
-        F.lit(True).alias("ab"), F.lit(True).alias("ba"),
-    )
-    return found.where("ab or ba").unionByName(same)
+    return tested.select("ta", "ca", "tb", "cb", F.col("_s")[0].alias("ab"), F.col("_s")[1].alias("ba")).where("ab or ba")
+
 
+def name_table(nodes: DataFrame) -> DataFrame:
+    """Distinct names of the nodes with their component and the names whose kept posting removes one of theirs.
 
-def duplicate_edges(nodes: DataFrame) -> DataFrame:
-    """``newer, older`` ids of similar postings at most thirty days apart."""
-    names = similar_names(nodes)
-    a = nodes.select(
-        F.col("_title").alias("ta"), F.col("_company").alias("ca"), "_bucket", F.col("id").alias("ia"),
-        F.col("_order").alias("oa"), F.col("posted_date").alias("da"),
+    Rows ``_title, _company, _name, _component, _removers``; a name always removes its own older postings.
+    """
+    names = nodes.select("_title", "_company", "_anchor", "_name").distinct()
+    pairs = similar_names(names).select(
+        F.xxhash64("ta", "ca").alias("a"), F.xxhash64("tb", "cb").alias("b"), "ab", "ba",
     )
-    b = nodes.select(
-        F.col("_title").alias("tb"), F.col("_company").alias("cb"),
-        F.explode(F.array(F.col("_bucket") - 1, F.col("_bucket"), F.col("_bucket") + 1)).alias("_bucket"),
-        F.col("id").alias("ib"), F.col("_order").alias("ob"), F.col("posted_date").alias("db"),
+    pairs = cut_lineage(pairs)
+    removers = pairs.where("ab").select(F.col("a").alias("_name"), F.col("b").alias("r")).unionByName(
+        pairs.where("ba").select(F.col("b").alias("_name"), F.col("a").alias("r"))
+    ).groupBy("_name").agg(F.array_sort(F.collect_set("r")).alias("_removers"))
+    parts = connected_components(pairs).select(F.col("id").alias("_name"), F.col("component").alias("_component"))
+    return names.join(parts, "_name", "left").join(removers, "_name", "left").select(
+        "_title", "_company", "_name", F.coalesce("_component", "_name").alias("_component"), "_removers"
     )
-    near = F.abs(F.datediff("da", "db")) <= WINDOW_DAYS
-    met = a.join(names, ["ta", "ca"]).join(b, ["tb", "cb", "_bucket"]).where(near & (F.col("ia") != F.col("ib")))
-    a_newer = F.struct(F.col("oa").alias("o"), F.col("ia").alias("i")) > F.struct(F.col("ob").alias("o"), F.col("ib").alias("i"))
-    return met.where((a_newer & F.col("ba")) | (~a_newer & F.col("ab"))).select(
-        F.when(a_newer, F.col("ia")).otherwise(F.col("ib")).alias("newer"),
-        F.when(a_newer, F.col("ib")).otherwise(F.col("ia")).alias("older"),
-    ).distinct()
 
 
-def greedy_removed(edges: DataFrame) -> DataFrame:
-    """Ids the newest-first rule removes, found in rounds over the shrinking edge set.
+def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keep rows that arrive by component, newest first, unless a kept remover lies within the window.
 
-    A node without newer neighbours is kept, its older neighbours go, and edges of both
-    disappear.  Each round writes one table: the edges left and, with no newer end, the
-    ids it removed.
+    Only the kept days of the component at hand are held.
     """
-    state = cut_lineage(edges)
-    removed: list[DataFrame] = [state.where(F.col("newer").isNull()).select(F.col("older").alias("id"))]
-    while True:
-        left = state.where(F.col("newer").isNotNull())
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, removed)
-        outranked = left.select(F.col("older").alias("id")).distinct()
-        kept_edges = left.join(outranked, left["newer"] == outranked["id"], "left_anti")
-        gone = kept_edges.select(F.col("older").alias("id")).distinct()
-        rest = left.join(gone, left["older"] == gone["id"], "left_anti").join(gone, F.col("newer") == gone["id"], "left_anti")
-        state = cut_lineage(rest.unionByName(gone.select(F.lit(None).cast(left.schema["newer"].dataType).alias("newer"), F.col("id").alias("older"))))
-        removed.append(state.where(F.col("newer").isNull()).select(F.col("older").alias("id")))
-        if len(removed) >= 20:
-            removed = [cut_lineage(reduce(DataFrame.unionByName, removed))]
+    current, kept = None, {}
+    for batch in batches:
+        keep = []
+        for component, name, day, removers in zip(batch["_component"], batch["_name"], batch["_day"], batch["_removers"], strict=True):
+            if component != current:
+                current, kept = component, {}
+            free = True
+            for other in (name, *(removers if removers is not None else ())):
+                days = kept.get(other, ())
+                at = bisect_left(days, day - WINDOW_DAYS)
+                if at < len(days) and days[at] <= day + WINDOW_DAYS:
+                    free = False
+                    break
+            if free:
+                insort(kept.setdefault(name, []), day)
+            keep.append(free)
+        yield batch.loc[keep, ["_name", "_day"]]
 
 
 def deduplicate_postings(postings: DataFrame) -> DataFrame:
-    """Postings without near-duplicates; undated postings are never duplicates."""
-    nodes = cut_lineage(with_blocks(exact_key_dedupe(postings)))
-    removed = greedy_removed(duplicate_edges(nodes))
-    survivors = nodes.select("id").join(removed, "id", "left_anti")
-    undated = postings.where(F.col("posted_date").cast("date").isNull())
-    dated = postings.where(F.col("posted_date").cast("date").isNotNull())
-    return dated.join(survivors, "id", "left_semi").unionByName(undated)
+    """Postings without near-duplicates; undated postings are never duplicates.
+
+    A node is one (title, company, day) with its newest row, whatever the ids are, so repeated ids are handled like any
+    others.  Nodes of one name component meet in one ordered pass; no rounds, no edges between postings.  Rows that tie
+    in all of title, company, day, order and id count as one.
+    """
+    nodes = exact_key_dedupe(postings).withColumn("_name", F.xxhash64("_title", "_company"))
+    nodes = cut_lineage(nodes.withColumn("_anchor", company_anchor(F.col("_company"))).withColumn("_day", F.datediff("posted_date", F.lit("1970-01-01").cast("date"))))
+    names = name_table(nodes)
+    rows = nodes.join(names.select("_title", "_company", "_component", "_removers"), ["_title", "_company"])
+    newest = [F.desc("_order"), F.desc("id"), F.desc("_day"), F.desc("_title"), F.desc("_company")]
+    kept = (
+        rows.select("_component", "_name", "_day", "_removers", "_order", "id", "_title", "_company")
+        .repartition("_component").sortWithinPartitions("_component", *newest)
+        .mapInPandas(_sweep, "_name long, _day int")
+    )
+    survivors = nodes.join(kept, ["_name", "_day"], "left_semi").select(
+        F.col("_title").alias("t"), F.col("_company").alias("c"), F.col("posted_date").alias("d"), F.col("_order").alias("o"), F.col("id").alias("i")
+    )
+    order = F.coalesce(F.col("crawled_at").cast("string"), F.lit(""))
+    day = F.col("posted_date").cast("date")
+    title, company = (strip_space(F.lower(F.coalesce(F.col(c), F.lit("")))) for c in ("title", "company"))
+    dated = postings.where(day.isNotNull()).withColumn("_t", title).withColumn("_c", company).withColumn("_d", day)
+    met = dated.join(
+        survivors,
+        (F.col("_t") == F.col("t")) & (F.col("_c") == F.col("c")) & (F.col("_d") == F.col("d")) & (order == F.col("o")) & dated["id"].eqNullSafe(F.col("i")),
+        "left_semi",
+    ).dropDuplicates(["_t", "_c", "_d"])
+    return met.select(*postings.columns).unionByName(postings.where(day.isNull()))

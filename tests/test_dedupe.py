@@ -55,3 +55,21 @@ def test_random_hot_company_equals_brute_force(spark):
         rows.append((f"p{i:03d}", title, company, day, f"2026-06-{rng.randint(1, 28):02d}"))
     rows.append(("undated", "qa", "Beta", None, "2026-06-30"))
     check(spark, rows)
+
+
+def test_repeated_ids_and_uneven_titles_equal_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        title = rng.choice(["nhân viên kinh doanh", "chuyên viên phân tích dữ liệu cao cấp", "data analyst senior hanoi"]) + rng.choice(["", " 1", " hcm", " toàn quốc"])
+        day = dt.date(2026, 1, 1) + dt.timedelta(days=rng.randint(0, 90))
+        rows.append((f"p{rng.randint(0, 30):03d}", title, rng.choice(["Acme Group", "Acme Groupe"]), day, f"2026-06-{i % 28 + 1:02d}T{i:03d}"))
+    check(spark, rows)
+
+
+def test_rows_with_one_id_keep_one(spark):
+    d = dt.date(2026, 7, 1)
+    rows = [("a", "Kế toán", "VNG", d, "2026-07-03"), ("a", "Kế toán", "VNG", d, "2026-07-03"), ("a", "Kế toán", "VNG", d - dt.timedelta(days=3), "2026-07-01"), ("a", "Kế toán", "VNG", None, None)]
+    got = dedupe.deduplicate_postings(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["id"], r["posted_date"] == d) for r in got) == [("a", False), ("a", True)]
+    assert dedupe.deduplicate_postings(spark.createDataFrame([], SCHEMA)).count() == 0
