@@ -55,15 +55,19 @@ def ascii_blocking_tokens(spark, sf):
 STRIPPED = "html"
 for _pattern in ("(?is)<!--.*?-->", "(?is)<script\\b.*?</script\\s*>", "(?is)<style\\b.*?</style\\s*>", "(?is)<template\\b.*?</template\\s*>", "<[^>]+>"):
     STRIPPED = f"regexp_replace({STRIPPED}, '{_pattern}', ' ', 'g')"
-for _entity, _char in parsing.ENTITIES:
-    STRIPPED = f"replace({STRIPPED}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
-CLEAN = squeeze_sql(STRIPPED)
+# The references that the given pages hold, each as it reads; the ampersand last.
+REFERENCES = (("&copy;?", "©"), ("&middot;?", "·"), ("&quot;?", '"'), ("&amp;?", "&"))
+for _entity, _char in REFERENCES:
+    STRIPPED = f"regexp_replace({STRIPPED}, '{_entity}', '{_char}', 'g')"
+CLEAN = squeeze_sql(f"'Kỹ sư à á ế < ' || {STRIPPED}")
 
 
 @query(f"SELECT page_id, md5({CLEAN}) AS body, left({CLEAN}, 180) AS head FROM pages")
 def html_to_text(spark, sf):
+    """Pages with named, decimal and hexadecimal references put before them."""
+    body = F.concat(F.lit("<b>K&#7929;</b> s&#432; &agrave; &aacute; &#x1EBF; &lt; "), "html")
     return pages(spark, sf).select(
-        "page_id", F.md5(parsing.clean_html(F.col("html"))).alias("body"), parsing.clean_text(F.col("html"), 180).alias("head"))
+        "page_id", F.md5(parsing.clean_html(body)).alias("body"), parsing.clean_text(body, 180).alias("head"))
 
 
 HOST = "regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^[^@]*@', '')), ':[0-9]*$', ''), '[.]+$', '')"
@@ -218,6 +222,8 @@ def raw_postings(spark, sf):
         region.alias("region_raw"), F.when(price.isin("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED") | (status != "O"), salary).alias("salary_raw"),
         experience.alias("experience_raw"), posted.alias("posted_date_raw"), description.alias("description"),
         F.array().cast("array<string>").alias("skills"), F.concat(crawled, F.lit("T23:30:00+07:00")).alias("crawled_at"),
+        # Some low-priority records lack the salary key; others have it with a null value, which is no fault.
+        F.when((price == "5-LOW") & (F.col("o_orderkey") % 11 == 0), F.array(F.lit("salary_raw"))).alias("missing_keys"),
     )
 
 
@@ -230,7 +236,7 @@ NORM = """SELECT id, source, CASE r_name WHEN 'AFRICA' THEN 'hanoi' WHEN 'AMERIC
     CASE o_orderpriority WHEN '1-URGENT' THEN 'senior' WHEN '2-HIGH' THEN 'entry' WHEN '3-MEDIUM' THEN 'mid' ELSE
       CASE o_orderstatus WHEN 'O' THEN 'entry' WHEN 'F' THEN CASE WHEN left(CAST(CAST(million AS INT) AS VARCHAR), 1) = '0' THEN 'entry' WHEN CAST(left(CAST(CAST(million AS INT) AS VARCHAR), 1) AS INT) >= 3 THEN 'senior' ELSE 'mid' END ELSE 'unknown' END END AS seniority,
     CAST(CASE o_orderpriority WHEN '1-URGENT' THEN crawled - CAST(million AS INT) ELSE crawled END AS VARCHAR) AS posted_date,
-    CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'O' THEN 'invalid' WHEN o_orderstatus = 'P' THEN 'short' END AS reject_reason FROM raw"""
+    CASE WHEN o_orderpriority = '5-LOW' AND CAST(id AS BIGINT) % 11 = 0 THEN 'invalid' WHEN o_orderstatus = 'P' THEN 'short' END AS reject_reason FROM raw"""
 
 
 @query(with_ctes("SELECT * FROM norm", raw=RAW, norm=NORM))
@@ -328,8 +334,8 @@ def soft_label_match(spark, sf):
 
 
 TITLE = squeeze_sql("regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '<[^>]+>', ' ', 'g')")
-for _entity, _char in parsing.ENTITIES:
-    TITLE = f"replace({TITLE}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
+for _entity, _char in REFERENCES:
+    TITLE = f"regexp_replace({TITLE}, '{_entity}', '{_char}', 'g')"
 
 
 @query(with_ctes(f"""SELECT subject, card, url, domain, title, CASE WHEN domain LIKE '%.edu.vn' THEN 'education' WHEN domain LIKE '%.gov.vn' THEN 'official' ELSE 'other' END AS source_tier FROM (

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobatlas.functions.let import let
 from jobatlas.functions.numbers import round_exact
@@ -187,11 +191,15 @@ def stable_job_id(source: Column, url: Column) -> Column:
     return F.concat(source, F.lit("_"), F.substring(F.sha2(text, 256), 1, 16))
 
 
-# The entities job pages use.
-ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&"),
-)
+@F.pandas_udf(T.StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
+def decode_entities(text: Column) -> Column:
+    """All named and numeric character references; only texts with an ampersand leave the JVM."""
+    marked = text.contains("&")
+    return F.when(marked, _unescaped(F.when(marked, text))).otherwise(text)
 
 
 def clean_html(value: Column) -> Column:
@@ -199,9 +207,7 @@ def clean_html(value: Column) -> Column:
     text = F.regexp_replace(F.coalesce(value, F.lit("")), r"(?is)<!--.*?-->", " ")
     text = F.regexp_replace(text, r"(?is)<(script|style|template)\b.*?</\1\s*>", " ")
     text = F.regexp_replace(text, r"<[^>]+>", " ")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return squeeze(text)
+    return squeeze(decode_entities(text))
 
 
 def clean_text(value: Column, limit: int) -> Column:

@@ -13,6 +13,8 @@ from jobatlas.operators import market, matching
 from jobatlas.operators.dedupe import deduplicate_postings
 
 REQUIRED = ("id", "source", "url", "title", "company", "region_raw", "salary_raw", "description", "crawled_at")
+#: Required keys whose value may be null.
+NULLABLE = ("region_raw", "salary_raw")
 MIN_DESCRIPTION = 100
 EXTRACTION_VERSION = "skill-extraction-v1"
 MAPPING_VERSION = "career-mapping-v1"
@@ -24,10 +26,16 @@ POSTING_COLUMNS = (
 
 
 def tag_normalized(raw: DataFrame, as_of: Column) -> DataFrame:
-    """Every raw posting with its normalized fields and a ``reject_reason`` (null when kept)."""
+    """Every raw posting with its normalized fields and a ``reject_reason`` (null when kept).
+
+    A column ``missing_keys`` of the scan names keys that a record lacks; a null value of a NULLABLE key is no fault.
+    """
     present = F.lit(True)
     for field in REQUIRED:
-        present = present & F.col(field).isNotNull()
+        if field not in NULLABLE:
+            present = present & F.col(field).isNotNull()
+    if "missing_keys" in raw.columns:
+        present = present & ~F.arrays_overlap(F.coalesce("missing_keys", F.array().cast("array<string>")), F.array(*map(F.lit, REQUIRED)))
     reason = F.when(~present, "invalid").when(F.length("description") < MIN_DESCRIPTION, "short")
     step = raw.select(
         "*", reason.alias("reject_reason"), parse_salary(F.col("salary_raw")).alias("_pay"),

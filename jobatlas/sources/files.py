@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +15,19 @@ def read_strict(spark: SparkSession, path, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_tolerant(spark: SparkSession, path, schema: str) -> DataFrame:
-    """JSON lines with a corrupt-record column and the file each row came from."""
+def read_tolerant(spark: SparkSession, path, schema: str, required: Sequence[str] = ()) -> DataFrame:
+    """JSON lines with a corrupt-record column and the file each row came from.
+
+    With ``required`` keys, ``missing_keys`` lists those a record lacks; a key with a null value is there.
+    """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file_name")).where(F.trim("value") != "")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = F.from_json("value", f"{schema}, {CORRUPT} string", options)
-    return lines.select(parsed.alias("r"), "file_name").select("r.*", "file_name")
+    if not required:
+        return lines.select(parsed.alias("r"), "file_name").select("r.*", "file_name")
+    keys = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))
+    missing = F.array_except(F.array(*map(F.lit, required)), keys)
+    return lines.select(parsed.alias("r"), "file_name", missing.alias("missing_keys")).select("r.*", "file_name", "missing_keys")
 
 
 def split_rejects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
