@@ -1,13 +1,12 @@
 """Session profiles: the ordered merge of turn signals and explicit edits.
 
-``apply_event`` is the small state step shared by the batch fold and the stateful stream.
-It only merges values that Spark columns have already extracted from the text.
+``apply_event`` is the small state step shared by the batch fold and the stateful stream; the ledger module has its
+rules.  It only merges values that Spark columns have already extracted from the text.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,17 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from jobatlas.functions.scoring import DIMENSIONS
-from jobatlas.functions.text import py_fold
-from jobatlas.functions.turns import INTEREST_STOPWORDS, SIGNAL_COLUMNS, turn_signals
-
-# Fixed values.
-PHASES = ("warmup", "interests", "abilities", "constraints", "wrapup")
-MENTIONED = "đã đề cập"
-NO_EXPERIENCE_NOTE = "chưa có thực tập/project — explicit no experience"
-RESET_VALUE = 0.15
-MAX_EXPERIENCES = 3
-_STOP = frozenset(py_fold(w) for w in INTEREST_STOPWORDS)
+from jobatlas.functions.turns import SIGNAL_COLUMNS, turn_signals
+from jobatlas.operators.ledger import QUOTE_CHARS, completeness, edit_rows, new_ledger, notes_of, step_phase, turn_rows, write
 
 SNAPSHOT = (
     "session_id string, seq long, turn long, journey_mode string, phase string, done boolean, changed boolean, "
@@ -37,249 +27,41 @@ SNAPSHOT = (
 )
 
 
-def new_state(mode: str) -> dict:
-    return {
-        "mode": mode, "phase": "warmup", "turn": 0, "in_phase": 0, "done": False, "declined": False,
-        "education": None, "goal": None, "dims": dict.fromkeys(DIMENSIONS, 0.0), "skills": [], "interests": [],
-        "experiences": [], "region": None, "budget": None, "duration": None, "notes": "", "completeness": 0.0,
-        "removed_skills": [], "removed_interests": [], "removed_titles": [], "pinned": {}, "lock_education": False, "lock_goal": False,
-    }
-
-
-def _words(label: str) -> set[str]:
-    return {w for w in re.findall(r"[a-z]+", py_fold(label)) if w not in _STOP and len(w) >= 2}
-
-
-def _matches_removed(candidate: str, removed: str) -> bool:
-    gone = _words(removed)
-    return gone <= _words(candidate) if gone else py_fold(candidate).strip() == py_fold(removed).strip()
-
-
-def _lower(items) -> set[str]:
-    return {i.lower() for i in items}
-
-
-def _drop_removed(state: dict) -> None:
-    skills, interests = _lower(state["removed_skills"]), _lower(state["removed_interests"])
-    state["skills"] = [s for s in state["skills"] if s["name"].lower() not in skills]
-    state["interests"] = [i for i in state["interests"] if i.lower() not in interests]
-
-
-def detect_corrections(state: dict, sig: dict) -> dict | None:
-    """What a turn with a negation cue takes back from the profile so far."""
-    if not sig["negation"]:
-        return None
-    named, words = set(sig["skills_mentioned"]), set(sig["words"])
-    found = {
-        "skills": [s["name"] for s in state["skills"] if s["name"] in named],
-        "interests": [i for i in state["interests"] if _words(i) & words],
-        "dims": [d for d in sig["dims_mentioned"] if state["dims"].get(d, 0.0) > 0.0],
-    }
-    return found if any(found.values()) else None
-
-
-def turn_delta(state: dict, sig: dict, known: bool) -> dict:
-    """Partial update of one turn.  ``known`` tells whether the pass sees the profile so far."""
-    launch, phase = state["mode"] == "launch", state["phase"]
-    corrections = detect_corrections(state, sig) if known else None
-    quote = sig["text"][:240]
-    delta = {"corrections": corrections, "education": sig["education"], "goal": None, "notes": None, "experience": None,
-             "skills": [], "interest": None, "dims": {}, "region": sig["region"], "budget": sig["budget"]}
-    if launch:
-        if sig["goal"] and (phase != "abilities" or sig["goal_intent"]):
-            delta["goal"] = sig["goal"]
-        if sig["no_experience"]:
-            delta["notes"] = NO_EXPERIENCE_NOTE
-        elif sig["exp_title"]:
-            delta["experience"] = {
-                "title": sig["exp_title"], "kind": sig["exp_kind"], "description": sig["text"][:200],
-                "skills": list(sig["exp_tools"]), "source_quote": quote,
-            }
-            delta["skills"] = list(sig["exp_tools"])
-    delta["skills"] += [s for s in sig["tools"] if s not in delta["skills"]]
-    open_phase = phase in ("warmup", "interests", "constraints") or (phase == "abilities" and not sig["ability"])
-    if corrections is None and open_phase:
-        delta["interest"] = sig["label"]
-    if not sig["injection"]:
-        reset = set(corrections["dims"]) if corrections else set()
-        for d in sig["dims_hit"]:
-            if d not in reset:
-                current = state["dims"].get(d, 0.0) if known else 0.0
-                delta["dims"][d] = min(0.8, max(0.55, current + 0.15))
-    return delta
-
-
-def merge_delta(state: dict, delta: dict, sig: dict) -> None:
-    """Merge one delta; corrections first, then additions that no correction or lock forbids."""
-    c = delta["corrections"]
-    if c is not None:
-        state["removed_skills"] = sorted(set(state["removed_skills"]) | set(c["skills"]))
-        state["removed_interests"] = sorted(set(state["removed_interests"]) | set(c["interests"]))
-        for d in c["dims"]:
-            state["dims"][d] = RESET_VALUE
-            state["pinned"].pop(d, None)
-        _drop_removed(state)
-    for d, v in delta["dims"].items():
-        state["dims"][d] = max(state["dims"].get(d, 0.0), v)
-    state["dims"].update(state["pinned"])
-    label = (delta["interest"] or "").strip()
-    if label and not sig["injection"] and label.lower() not in _lower(state["interests"]) | _lower(state["removed_interests"]):
-        if not any(_matches_removed(label, r) for r in state["removed_interests"]):
-            state["interests"].append(label)
-    blocked, have = _lower(state["removed_skills"]), {s["name"].lower() for s in state["skills"]}
-    for name in delta["skills"]:
-        if name.lower() not in blocked | have and sig["text"].strip():
-            state["skills"].append({"name": name, "level": MENTIONED, "source_quote": sig["text"][:240]})
-            have.add(name.lower())
-    exp = delta["experience"]
-    if exp and len(state["experiences"]) < MAX_EXPERIENCES:
-        taken = {e["title"].lower() for e in state["experiences"]} | _lower(state["removed_titles"])
-        if exp["title"].lower() not in taken and exp["source_quote"].strip():
-            state["experiences"].append(exp)
-    state["region"] = delta["region"] or state["region"]
-    state["budget"] = delta["budget"] or state["budget"]
-    if delta["notes"]:
-        state["notes"] = f"{state['notes']}; {delta['notes']}" if state["notes"] else delta["notes"]
-    if not state["lock_education"] and delta["education"]:
-        state["education"] = delta["education"]
-    if not state["lock_goal"] and delta["goal"]:
-        state["goal"] = delta["goal"]
-
-
-def apply_patch(state: dict, patch: dict) -> None:
-    """Explicit user edit.  A key that is present counts even when its value is null."""
-    for d, v in (patch.get("dimensions") or {}).items():
-        if d in DIMENSIONS:
-            state["dims"][d] = state["pinned"][d] = max(0.0, min(1.0, float(v)))
-    if patch.get("remove_skills"):
-        state["removed_skills"] = sorted(set(state["removed_skills"]) | set(patch["remove_skills"]))
-        gone = _lower(patch["remove_skills"])
-        state["skills"] = [s for s in state["skills"] if s["name"].lower() not in gone]
-    for label in patch.get("add_interests") or []:
-        label = label.strip()
-        if label and label.lower() not in _lower(state["interests"]):
-            state["interests"].append(label)
-        state["removed_interests"] = [r for r in state["removed_interests"] if not _matches_removed(label, r)]
-    if patch.get("remove_interests"):
-        gone = _lower(i.strip() for i in patch["remove_interests"] if i.strip())
-        state["removed_interests"] = sorted(set(state["removed_interests"]) | set(patch["remove_interests"]))
-        state["interests"] = [i for i in state["interests"] if i.lower() not in gone]
-    if "education_stage" in patch:
-        state["education"], state["lock_education"] = patch["education_stage"], True
-    if "job_goal" in patch:
-        state["goal"], state["lock_goal"] = patch["job_goal"], True
-    if patch.get("remove_experience_titles"):
-        state["removed_titles"] = sorted(set(state["removed_titles"]) | set(patch["remove_experience_titles"]))
-        gone = _lower(patch["remove_experience_titles"])
-        state["experiences"] = [e for e in state["experiences"] if e["title"].lower() not in gone]
-    for exp in patch.get("add_experiences") or []:
-        if exp["title"].lower() in {e["title"].lower() for e in state["experiences"]}:
-            continue
-        if len(state["experiences"]) >= MAX_EXPERIENCES:
-            break
-        state["experiences"].append({
-            "title": exp["title"], "kind": exp.get("kind", "other"), "description": exp.get("description", ""),
-            "skills": list(exp.get("skills") or []), "source_quote": exp.get("source_quote", ""),
-        })
-        state["removed_titles"] = [t for t in state["removed_titles"] if t != exp["title"]]
-    state["completeness"] = completeness(state, False)
-
-
-def _sourced(state: dict) -> int:
-    return sum(1 for s in state["skills"] if s["source_quote"].strip())
-
-
-def _active(state: dict) -> int:
-    return sum(1 for v in state["dims"].values() if v > 0.05)
-
-
-def _constrained(state: dict, declined: bool) -> bool:
-    return bool(declined or state["region"] or state["budget"] or state["duration"] or state["notes"].strip())
-
-
-def completeness(state: dict, declined: bool) -> float:
-    skills, limits = min(1.0, _sourced(state) / 2), 1.0 if _constrained(state, declined) else 0.0
-    if state["mode"] == "launch":
-        none_yet = "chưa" in state["notes"].lower()
-        parts = [
-            1.0 if state["education"] else 0.0, 1.0 if state["goal"] or none_yet else 0.0,
-            1.0 if state["experiences"] else 0.5 if none_yet else 0.0, skills, limits,
-        ]
-    else:
-        parts = [min(1.0, len(state["interests"]) / 2), min(1.0, _active(state) / 2), skills, limits]
-    return round(sum(parts) / len(parts), 2)
-
-
-def goals_met(state: dict) -> bool:
-    phase, n = state["phase"], state["in_phase"]
-    if phase in ("warmup", "wrapup"):
-        return n >= 1
-    if phase == "interests":
-        if state["mode"] == "launch":
-            return n >= 1 and (bool(state["interests"]) or bool(state["goal"]) or n >= 2)
-        return n >= 1 and ((len(state["interests"]) >= 2 and _active(state) >= 1) or n >= 3)
-    if phase == "abilities":
-        return _sourced(state) >= 2 or n >= 3
-    return _constrained(state, state["declined"]) or n >= 2
-
-
-def advance(state: dict, force: bool) -> bool:
-    """Move through the phases whose goals are met; true once the profile is done."""
-    if state["phase"] == "wrapup" and (force or state["in_phase"] >= 1):
-        return True
-    while state["phase"] != "wrapup" and goals_met(state):
-        state["phase"] = PHASES[PHASES.index(state["phase"]) + 1]
-        state["in_phase"] = 0
-    return False
-
-
 def apply_event(state: dict | None, event: dict) -> tuple[dict, bool]:
-    """One event on the state: ``(state, changed)``.  The mode is locked by the first event."""
-    if state is None:
-        state = new_state(event["journey_mode"] or "explore")
+    """One event on the ledger: ``(ledger, changed)``.  The mode is that of the first event."""
+    ledger = new_ledger(event["journey_mode"] or "explore") if state is None else state
     if event.get("patch"):
-        apply_patch(state, json.loads(event["patch"]))
-        return state, True
-    if event["opening"]:
-        if state["turn"] > 0:
-            return state, False
-        state["turn"] = 1
-        state["completeness"] = completeness(state, state["declined"])
-        return state, True
-    if not event["meaningful"]:
-        return state, False
-    state["turn"] += 1
-    state["in_phase"] += 1
-    if state["phase"] == "constraints" and event["declines"]:
-        state["declined"] = True
-    blind, seeing = turn_delta(state, event, False), turn_delta(state, event, True)
-    merge_delta(state, blind, event)
-    merge_delta(state, seeing, event)
-    state["completeness"] = completeness(state, state["declined"])
-    force = state["phase"] == "wrapup" and event["wants_done"]
-    if not force and state["phase"] not in ("warmup", "wrapup") and event["wants_results"] and state["completeness"] >= 0.5:
-        force = True
-        state["phase"], state["in_phase"] = "wrapup", 0
-    if advance(state, force) or force:
-        state["done"], state["phase"] = True, "wrapup"
-    if state["turn"] >= 10 and state["phase"] in ("constraints", "wrapup"):
-        state["phase"] = "wrapup"
-        state["done"] = state["done"] or state["turn"] >= 12
-    return state, True
-
-
-def snapshot(session_id: str, seq: int, state: dict, event: dict, changed: bool) -> dict:
+        for row in edit_rows(json.loads(event["patch"])):
+            write(ledger, row)
+        ledger["completeness"] = completeness(ledger, False)
+        return ledger, True
+    opens = event["opening"]
+    if (opens and ledger["turn"] > 0) or not (opens or event["meaningful"]):
+        return ledger, False
+    ledger["turn"] += 1
+    if not opens:
+        ledger["in_phase"] += 1
+        ledger["declined"] |= bool(ledger["phase"] == "constraints" and event["declines"])
+        for row in turn_rows(ledger, event):
+            write(ledger, row)
+    ledger["completeness"] = completeness(ledger, ledger["declined"])
+    if not opens:
+        step_phase(ledger, bool(event["wants_results"]), bool(event["wants_done"]))
+    return ledger, True
+
+
+def snapshot(session_id: str, seq: int, ledger: dict, event: dict, changed: bool) -> dict:
+    """Profile after an event; the quote is that of an effective turn."""
     spoke = changed and not event.get("patch") and not event["opening"] and not event["injection"]
+    slot = {f: v[0] for f, v in ledger["slots"].items()}
+    items = {f: list(v.values()) for f, v in ledger["items"].items()}
     return {
-        "session_id": session_id, "seq": seq, "turn": state["turn"], "journey_mode": state["mode"], "phase": state["phase"],
-        "done": state["done"], "changed": changed, "education_stage": state["education"], "job_goal": state["goal"],
-        "dimensions": dict(state["dims"]), "skills": [dict(s) for s in state["skills"]], "interests": list(state["interests"]),
-        "experiences": [dict(e) for e in state["experiences"]],
-        "constraints": {"region_pref": state["region"], "study_budget": state["budget"],
-                        "study_duration_pref": state["duration"], "notes": state["notes"]},
-        "completeness": state["completeness"],
-        "quote": event["text"][:240] if spoke else None,
-        "mapped_to": (event["dims_hit"][0] if len(event["dims_hit"]) else "interests") if spoke else None,
+        "session_id": session_id, "seq": seq, "turn": ledger["turn"], "journey_mode": ledger["mode"], "phase": ledger["phase"],
+        "done": ledger["done"], "changed": changed, "education_stage": slot["education"], "job_goal": slot["goal"],
+        "dimensions": {d: v[0] for d, v in ledger["levels"].items()}, **items,
+        "constraints": {"region_pref": slot["region"], "study_budget": slot["budget"], "study_duration_pref": slot["duration"], "notes": notes_of(ledger)},
+        "completeness": ledger["completeness"], "quote": event["text"][:QUOTE_CHARS] if spoke else None,
+        "mapped_to": next(iter(event["dims_hit"]), "interests") if spoke else None,
     }
 
 
