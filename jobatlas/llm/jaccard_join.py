@@ -20,6 +20,8 @@ from jobatlas.llm.components import connected_components
 CLASS_RATIO = 1.5
 #: Parts beyond the least number, so that agreement in empty parts alone is rare.
 SPARE_PARTS = 1
+#: Places of a set's parity sketch.
+BITS = 512
 EMPTY = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -83,17 +85,36 @@ def set_table(docs: DataFrame, width: int = 3) -> DataFrame:
     return map_batches(rows, run, "doc_id long, text_key long, n_shingles long, set_id long, keys array<long>")
 
 
+def parity_bits(elements: np.ndarray) -> np.ndarray:
+    """Parity of the elements in each of BITS places; sets of difference d differ in at most d of them."""
+    spread = (mix(elements ^ np.uint64(0x27D4EB2F165667C5)) % np.uint64(BITS)).astype(np.int64)
+    return np.packbits((np.bincount(spread, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _elements(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(set_id, elements) of the wanted (set_id, doc_id, text_key), from one document each."""
+    """(set_id, elements, bits) of the wanted (set_id, doc_id, text_key), from one document each."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), lists(sets, pa.int64())], ["set_id", "elements"])
+        sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
+        arrays = [batch.column(0), lists([x.view(np.int64) for x in sets], pa.int64()), lists([parity_bits(x) for x in sets], pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, ["set_id", "elements", "bits"])
 
     rows = docs.select("doc_id", F.xxhash64(text_bytes()).alias("text_key"), text_bytes().alias("body")).alias("d")
     w = wanted.alias("w")
     met = rows.join(w, (F.col("d.text_key") == F.col("w.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-    return map_batches(met.select("w.set_id", "d.body"), run, "set_id long, elements array<long>").dropDuplicates(["set_id"])
+    return map_batches(met.select("w.set_id", "d.body"), run, "set_id long, elements array<long>, bits array<long>").dropDuplicates(["set_id"])
+
+
+def _traits(elements: DataFrame, ids: DataFrame) -> DataFrame:
+    """(set_id, bits, alone) of the sets named: ``alone`` counts elements that no other of these sets has.
+
+    Such elements of either set are in the difference of every pair, and a pair of sizes x and y is linked only if
+    19 times its difference is at most x + y.
+    """
+    own = elements.join(ids, "set_id", "left_semi")
+    each = own.select("set_id", F.explode("elements").alias("e")).groupBy("e").agg(F.min("set_id").alias("set_id"), F.count("*").alias("c"))
+    alone = each.where("c = 1").groupBy("set_id").agg(F.count("*").alias("alone"))
+    return save(own.select("set_id", "bits").join(alone, "set_id", "left").na.fill(0, ["alone"]))
 
 
 def _linked(pairs: DataFrame, elements: DataFrame) -> DataFrame:
@@ -138,14 +159,18 @@ def jaccard_classes(docs: DataFrame, width: int = 3) -> DataFrame:
             mixed = open_.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
             open_ = open_.join(mixed, "key")
         if step == "all":
-            head = open_.select("key", F.col("set_id").alias("h"), F.col("n").alias("hn"), F.col("class").alias("hc"))
+            open_ = open_.join(_traits(elements, open_.select("set_id").distinct()), "set_id").where("19 * alone <= n + floor(10 * n / 9)")
+            head = open_.select("key", F.col("set_id").alias("h"), F.col("n").alias("hn"), F.col("class").alias("hc"), F.col("bits").alias("hbits"), F.col("alone").alias("halone"))
         else:
             rank = F.col("set_id") if step == "first" else F.xxhash64("key", "set_id")
             head = open_.groupBy("key").agg(F.min_by(F.struct("set_id", "n", "class"), rank).alias("x"))
             head = head.select("key", F.col("x.set_id").alias("h"), F.col("x.n").alias("hn"), F.col("x.class").alias("hc"))
         near = (F.least("n", "hn") * 10 >= F.greatest("n", "hn") * 9) & (F.col("class") != F.col("hc"))
+        if step == "all":
+            apart = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("hbits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+            near = near & (F.col("set_id") < F.col("h")) & (19 * (F.col("alone") + F.col("halone")) <= F.col("n") + F.col("hn")) & (19 * apart <= F.col("n") + F.col("hn"))
         pairs = (
-            open_.join(head, "key").where(near & ((F.col("set_id") < F.col("h")) if step == "all" else F.lit(True)))
+            open_.join(head, "key").where(near)
             .select(F.least("set_id", "h").alias("a"), F.greatest("set_id", "h").alias("b")).distinct()
         )
         pairs = save(pairs.join(tested, ["a", "b"], "left_anti"))
