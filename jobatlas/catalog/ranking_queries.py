@@ -178,13 +178,15 @@ def profile_retrieval_text(spark, sf):
         F.col("dimensions"), F.col("skills"), F.col("interests"), F.col("experiences"), F.col("job_goal"), F.col("evidence_quotes")).alias("profile_text"))
 
 
-ROUTES = """SELECT p_brand AS career_id, list(t ORDER BY t) AS ts FROM (SELECT DISTINCT p_brand, CASE p_type WHEN 'ECONOMY' THEN 'university' WHEN 'SMALL' THEN 'college' WHEN 'MEDIUM' THEN 'certificate' ELSE 'university' END AS t
-    FROM part WHERE p_size >= 48) GROUP BY 1"""
+ROUTES = """SELECT career_id, list(t ORDER BY t) AS ts FROM (SELECT DISTINCT p_brand || '/' || p_size AS career_id, CASE p_type WHEN 'ECONOMY' THEN 'university' WHEN 'SMALL' THEN 'college' WHEN 'MEDIUM' THEN 'certificate' ELSE 'university' END AS t
+    FROM part) GROUP BY 1"""
 
 
-def _route_careers(spark, sf):
+def _route_careers(spark, sf, by_size=False):
+    """Routes of every brand, or of every brand and size, some of which have one route only."""
+    career = F.concat_ws("/", "p_brand", "p_size") if by_size else F.col("p_brand")
     kind = F.when(F.col("p_type") == "SMALL", "college").when(F.col("p_type") == "MEDIUM", "certificate").otherwise("university")
-    rows = table(spark, sf, "part").where(F.col("p_size") >= 48).select(F.col("p_brand").alias("career_id"), kind.alias("t")).distinct()
+    rows = table(spark, sf, "part").select(career.alias("career_id"), kind.alias("t")).distinct()
     route = F.struct(F.col("t").alias("type"), F.col("t").alias("label"), F.lit("").alias("detail"), F.array(F.lit("")).alias("first_steps"))
     return rows.groupBy("career_id").agg(F.array_sort(F.collect_list(route)).alias("routes"))
 
@@ -197,13 +199,13 @@ def completed_routes(spark, sf):
     def kinds(mode):
         return F.array_join(F.transform(guidance.ensure_routes(F.col("routes"), F.lit(mode)), lambda r: r.type), ",")
 
-    return _route_careers(spark, sf).select("career_id", kinds("explore").alias("explore_routes"), kinds("launch").alias("launch_routes"))
+    return _route_careers(spark, sf, True).select("career_id", kinds("explore").alias("explore_routes"), kinds("launch").alias("launch_routes"))
 
 
 @query(with_ctes("""SELECT 'fewer than two routes' AS rule, career_id AS item FROM rt WHERE len(ts) < 2
     UNION ALL SELECT 'no route outside university', career_id FROM rt WHERE len(list_filter(ts, lambda x: x <> 'university')) = 0""", rt=ROUTES))
 def route_violations(spark, sf):
-    return quality.route_violations(_route_careers(spark, sf))
+    return quality.route_violations(_route_careers(spark, sf, True))
 
 
 @query(with_ctes("""SELECT career_id, coalesce(string_agg(skill || ':' || CASE rank WHEN 1 THEN 'nen-hoc-truoc' ELSE 'hoc-trong-truong' END, ',' ORDER BY rank), '') AS roadmap FROM cfeat LEFT JOIN (SELECT * FROM tops WHERE rank <= 4) USING (career_id) GROUP BY career_id""",
@@ -227,7 +229,7 @@ def allowed_research_requests(spark, sf):
 def region_never_filters(spark, sf):
     features, _ = careers(spark, sf)
     people = profiles(spark, sf)
-    n = 10_000
+    n = features.count()
     with_region = ranking.rank_careers(people, features, n)
     without = ranking.rank_careers(
         people.withColumn("constraints", F.col("constraints").withField("region_pref", F.lit(None).cast("string"))), features, n, RankWeights())

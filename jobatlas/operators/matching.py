@@ -17,7 +17,6 @@ from jobatlas.functions.text import norm_match, word_tokens
 from jobatlas.operators.packs import meet, pack
 
 UNMAPPED = "unmapped"
-KEY_FILTER_LIMIT = 20_000
 
 # Negation right before or right after a skill.
 NEGATED_BEFORE = (
@@ -62,18 +61,11 @@ def alias_table(taxonomy: DataFrame) -> DataFrame:
 def _candidates(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
     """(key, text, alias row) pairs that share the alias' leading key.
 
-    While the dictionary is small its keys are folded into the scan as a set test, so
-    texts without any of them produce no rows at all.  A larger dictionary takes the
-    plain equi-join, whose strategy is left to the optimizer.
+    Only keys meet the dictionary, in one equi-join whatever its size; a text joins its own candidates afterwards, so
+    texts without any produce no rows.
     """
-    known = [r[0] for r in aliases.select("alias_key").distinct().limit(KEY_FILTER_LIMIT + 1).collect()]
-    keyed = texts.select(key, text, text_keys(F.col(text)).alias("_keys"))
-    found = F.col("_keys")
-    if len(known) <= KEY_FILTER_LIMIT:
-        literals = ",".join("'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'" for k in known) or "''"
-        found = F.expr(f"filter(_keys, k -> k IN ({literals}))")
-    exploded = keyed.select(key, text, F.explode(found).alias("alias_key"))
-    return exploded.join(aliases, "alias_key")
+    keyed = texts.select(key, F.explode(text_keys(F.col(text))).alias("alias_key"))
+    return keyed.join(aliases, "alias_key").join(texts.select(key, text), key)
 
 
 def posting_text(title: Column, description: Column) -> Column:
