@@ -137,7 +137,7 @@ def _matches(index: DataFrame, items: list[tuple[str, bytes]], width: int, slop:
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         total = np.zeros(len(terms), dtype=np.int64)
         for _, shard in _shards(batch):
-            total += [len(shard.postings(t)) for t in terms]
+            total += np.array([len(shard.postings(t)) for t in terms], dtype=np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms))), pa.array(total)], ["term", "n"])
 
     sums = map_batches(index.select("terms", "starts", "positions"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -219,7 +219,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
     rows = rows.select("block", F.col("place").cast("long").alias("place"), F.col("x.doc_ids").alias("doc_id"), F.col("x.sizes").alias("n_words"))
     none = F.expr("cast(array() as array<string>)")
     return rows.join(found, ["block", "place"], "left").select(
-        "doc_id", "n_words", "spans", F.coalesce("items", none).alias("items"), F.coalesce("near", none).alias("near")
+        "doc_id", "n_words", F.when(F.size("spans") > 0, F.col("spans")).alias("spans"), F.coalesce("items", none).alias("items"), F.coalesce("near", none).alias("near")
     )
 
 

@@ -124,10 +124,10 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def redact_secrets(docs: DataFrame, scope: int = SCOPE, marker: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span, overlapping ones as one, replaced by ``marker``; rows, order of columns and nulls stay."""
-    spans = spans_by_text(docs, scope)
+    spans = spans_by_text(docs, scope).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
     suspect = F.coalesce(F.col("text").rlike(_ANY), F.lit(False))
     flat = F.aggregate(
-        "spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
+        "__spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda a, x: F.when(x["end"] <= a["at"], a).otherwise(
             F.struct(
                 F.concat(
@@ -137,8 +137,8 @@ def redact_secrets(docs: DataFrame, scope: int = SCOPE, marker: str = "[SECRET]"
             )
         ),
     )
-    held = docs.where(suspect).withColumn("__key", F.md5("text")).join(spans.withColumnRenamed("key", "__key"), "__key", "left").withColumn("__cut", flat)
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat("__cut.out", F.col("text").substr((F.col("__cut.at") + 1).cast("int"), F.length("text"))))
+    held = docs.where(suspect).withColumn("__key", F.md5("text")).join(spans, "__key", "left").withColumn("__cut", flat)
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.concat("__cut.out", F.col("text").substr((F.col("__cut.at") + 1).cast("int"), F.length("text"))))
     held = held.withColumn("text", text).select(*docs.columns)
     return docs.where(~suspect).unionByName(held)
 
