@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies."""
-    classes = jaccard_classes(docs)
+    """The document with the smallest id of each class of near copies: five-word shingles, similarity 0.8 or more."""
+    classes = jaccard_classes(docs, width=5, percent=80)
     return _keep(docs, classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
 
 

@@ -8,18 +8,22 @@ compared with others only where the class of those is still open (answer skippin
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobatlas.llm.common import lists, map_batches, mix, ordered_hash, read_table, save, text_bytes, word_hashes
+from jobatlas.llm.common import lists, map_batches, mix, ordered_hash, read_table, release, save, text_bytes, word_hashes
 from jobatlas.operators.graph import connected_components
 
 #: Sets whose sizes lie in one class share a number of parts.
 CLASS_RATIO = 1.5
 #: Parts beyond the least number, so that agreement in empty parts alone is rare.
 SPARE_PARTS = 1
+#: Slices in which the index lists pass.
+SLICES = 4
 #: Places of a set's parity sketch.
 BITS = 512
 EMPTY = np.uint64(0xA5A5A5A5A5A5A5A5)
@@ -34,10 +38,10 @@ def shingles(text: bytes, width: int = 3) -> np.ndarray:
     return np.unique(ordered_hash([words[i : len(words) - width + 1 + i] for i in range(width)]))
 
 
-def class_limits(size: int) -> list[tuple[int, int, int]]:
-    """Classes (number, least, most size) that a set of ``size`` must be listed in, for 0.9."""
+def class_limits(size: int, percent: int = 90) -> list[tuple[int, int, int]]:
+    """Classes (number, least, most size) that a set of ``size`` must be listed in, for the given similarity."""
     low, k, out = 1, 0, []
-    least = -(-9 * size // 10)
+    least = -(-percent * size // 100)
     while low <= size:
         most = max(low + 1, int(low * CLASS_RATIO)) - 1
         if most >= least:
@@ -46,28 +50,30 @@ def class_limits(size: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def part_keys(elements: np.ndarray) -> np.ndarray:
+def part_keys(elements: np.ndarray, percent: int = 90) -> np.ndarray:
     """Keys of the index lists of a set: one per size class and non-empty part.
 
-    With x the smaller size, linked sets differ in at most x // 9 elements, so in as many parts.  A class whose largest
-    size is u has u // 9 + 1 + SPARE_PARTS parts.  A set lists its empty parts too where these alone might agree.
+    With x the smaller size and t the similarity, linked sets differ in at most d = x (1 - t) / t elements, so in as
+    many parts.  A class has 1 + SPARE_PARTS parts more than d is for its largest size.  A set lists its empty parts
+    too where these alone might agree.
     """
     n, out = len(elements), []
+    differ = n * (100 - percent) // percent
     spread, content = mix(elements ^ np.uint64(0x5851F42D4C957F2D)), mix(elements ^ np.uint64(0x14057B7EF767814F))
-    for k, _, most in class_limits(n):
-        parts = most // 9 + 1 + SPARE_PARTS
+    for k, _, most in class_limits(n, percent):
+        parts = most * (100 - percent) // percent + 1 + SPARE_PARTS
         part = (spread % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         own, first = np.unique(part[order], return_index=True)
         sums = np.add.reduceat(content[order], first)
-        if parts - len(own) >= parts - n // 9:
+        if parts - len(own) >= parts - differ:
             gone = np.setdiff1d(np.arange(parts), own)
             own, sums = np.concatenate([own, gone]), np.concatenate([sums, np.full(len(gone), EMPTY)])
         out.append(mix(sums ^ mix(own.astype(np.uint64) + np.uint64(k << 40))))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def set_table(docs: DataFrame, width: int = 3) -> DataFrame:
+def set_table(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, text_key, n_shingles, set_id, keys): size, identity and index keys of every document's set."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -76,7 +82,7 @@ def set_table(docs: DataFrame, width: int = 3) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()),
-                lists([part_keys(s).view(np.int64) for s in sets], pa.int64()),
+                lists([part_keys(s, percent).view(np.int64) for s in sets], pa.int64()),
             ],
             ["doc_id", "text_key", "n_shingles", "set_id", "keys"],
         )
@@ -109,7 +115,7 @@ def _traits(elements: DataFrame, ids: DataFrame) -> DataFrame:
     """(set_id, bits, alone) of the sets named: ``alone`` counts elements that no other of these sets has.
 
     Such elements of either set are in the difference of every pair, and a pair of sizes x and y is linked only if
-    19 times its difference is at most x + y.
+    (1 + t) times its difference is at most (1 - t) (x + y).
     """
     own = elements.join(ids, "set_id", "left_semi")
     each = own.select("set_id", F.explode("elements").alias("e")).groupBy("e").agg(F.min("set_id").alias("set_id"), F.count("*").alias("c"))
@@ -117,35 +123,48 @@ def _traits(elements: DataFrame, ids: DataFrame) -> DataFrame:
     return save(own.select("set_id", "bits").join(alone, "set_id", "left").na.fill(0, ["alone"]))
 
 
-def _linked(pairs: DataFrame, elements: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     a = elements.select(F.col("set_id").alias("a"), F.col("elements").alias("ea"))
     b = elements.select(F.col("set_id").alias("b"), F.col("elements").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
     return (
         pairs.join(a, "a").join(b, "b")
-        .where(100 * both >= 90 * (F.size("ea") + F.size("eb") - both))
+        .where(100 * both >= percent * (F.size("ea") + F.size("eb") - both))
         .select("a", "b")
     )
 
 
-def jaccard_classes(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text, ...): classes of sets linked at 0.9.
+def _members(table: DataFrame) -> DataFrame:
+    """(key, set_id, n) of the lists that more than one set is in; keys pass in slices, which bounds the disk in use."""
+    parts = []
+    for k in range(SLICES):
+        entries = table.where("set_id is not null").select(
+            "set_id", F.col("n_shingles").alias("n"), F.explode(F.expr(f"filter(keys, x -> pmod(x, {SLICES}) = {k})")).alias("key")
+        )
+        shared = entries.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo != hi").select("key")
+        parts.append(save(entries.join(shared, "key").distinct()))
+        release(table.sparkSession)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text, ...): classes of linked sets.
 
-    A component is named by its smallest doc_id.  Null and empty texts have no set and link with nothing; a null
-    doc_id is never a name unless all ids of a class are null.  Equal sets are one set; repeated rows stay.
+    Sets of ``width``-word shingles are linked at a similarity of ``percent`` or more.  A component is named by its
+    smallest doc_id.  Null and empty texts have no set and link with nothing; a null doc_id is never a name unless all
+    ids of a class are null.  Equal sets are one set; repeated rows stay.
     """
     spark = docs.sparkSession
-    table = save(set_table(docs, width))
-    entries = table.where("set_id is not null").select("set_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo != hi").select("key")
-    members = save(entries.join(shared, "key").distinct())
+    table = save(set_table(docs, width, percent))
+    members = _members(table)
     wanted = (
         table.join(members.select("set_id").distinct(), "set_id")
         .groupBy("set_id").agg(F.min(F.struct("doc_id", "text_key")).alias("one"))
         .select("set_id", "one.doc_id", "one.text_key")
     )
     elements = save(_elements(docs, wanted, width))
+    release(spark)
     links = spark.createDataFrame([], "a long, b long")
     tested = links
     classes = None
@@ -158,27 +177,27 @@ def jaccard_classes(docs: DataFrame, width: int = 3) -> DataFrame:
             )
             mixed = open_.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
             open_ = open_.join(mixed, "key")
+        near = (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent) & (F.col("class") != F.col("hc"))
         if step == "all":
-            open_ = open_.join(_traits(elements, open_.select("set_id").distinct()), "set_id").where("19 * alone <= n + floor(10 * n / 9)")
-            head = open_.select("key", F.col("set_id").alias("h"), F.col("n").alias("hn"), F.col("class").alias("hc"), F.col("bits").alias("hbits"), F.col("alone").alias("halone"))
+            apart = lambda difference: (100 + percent) * difference <= (100 - percent) * (F.col("n") + F.col("hn"))
+            open_ = save(open_.join(_traits(elements, open_.select("set_id").distinct()), "set_id").where(
+                (100 + percent) * F.col("alone") <= (100 - percent) * (F.col("n") + F.floor(100 * F.col("n") / percent))
+            ))
+            head = open_.select("key", *(F.col(c).alias(h) for c, h in (("set_id", "h"), ("n", "hn"), ("class", "hc"), ("bits", "hbits"), ("alone", "halone"))))
+            sketch = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("hbits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+            near = near & (F.col("set_id") < F.col("h")) & apart(F.col("alone") + F.col("halone")) & apart(sketch)
         else:
             rank = F.col("set_id") if step == "first" else F.xxhash64("key", "set_id")
             head = open_.groupBy("key").agg(F.min_by(F.struct("set_id", "n", "class"), rank).alias("x"))
             head = head.select("key", F.col("x.set_id").alias("h"), F.col("x.n").alias("hn"), F.col("x.class").alias("hc"))
-        near = (F.least("n", "hn") * 10 >= F.greatest("n", "hn") * 9) & (F.col("class") != F.col("hc"))
-        if step == "all":
-            apart = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("hbits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-            near = near & (F.col("set_id") < F.col("h")) & (19 * (F.col("alone") + F.col("halone")) <= F.col("n") + F.col("hn")) & (19 * apart <= F.col("n") + F.col("hn"))
-        pairs = (
-            open_.join(head, "key").where(near)
-            .select(F.least("set_id", "h").alias("a"), F.greatest("set_id", "h").alias("b")).distinct()
-        )
+        pairs = open_.join(head, "key").where(near).select(F.least("set_id", "h").alias("a"), F.greatest("set_id", "h").alias("b")).distinct()
         pairs = save(pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
-        found = save(_linked(pairs, elements))
+        found = save(_linked(pairs, elements, percent))
         links, tested = links.unionByName(found), tested.unionByName(pairs)
         classes = save(connected_components(links))
+        release(spark)
     named = table.join(classes, table.set_id == classes.id, "left") if classes is not None else table.withColumn("component", F.lit(None).cast("long"))
     named = named.select("doc_id", "n_shingles", "set_id", F.coalesce("component", "set_id").alias("class"))
     names = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("name"))

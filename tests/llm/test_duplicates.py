@@ -11,17 +11,17 @@ from jobatlas.operators.graph import connected_components
 from messy import prose, rows
 
 
-def sets_of(texts):
+def sets_of(texts, width=3):
     out = []
     for t in texts:
         w = (t or "").encode().lower().split()
-        k = min(3, len(w))
+        k = min(width, len(w))
         out.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
     return out
 
 
-def classes(ids, texts):
-    sets, up = sets_of(texts), list(range(len(ids)))
+def classes(ids, texts, width=3, percent=90):
+    sets, up = sets_of(texts, width), list(range(len(ids)))
 
     def top(x):
         while up[x] != x:
@@ -31,7 +31,7 @@ def classes(ids, texts):
     for x, a in enumerate(sets):
         for y in range(x):
             i = len(a & sets[y])
-            if a and 100 * i >= 90 * (len(a) + len(sets[y]) - i):
+            if a and 100 * i >= percent * (len(a) + len(sets[y]) - i):
                 up[top(x)] = top(y)
     names = {}
     for x, i in enumerate(ids):
@@ -40,10 +40,10 @@ def classes(ids, texts):
     return Counter((i, len(s), low[top(x)]) for x, (i, s) in enumerate(zip(ids, sets, strict=True)))
 
 
-def check(spark, pairs):
+def check(spark, pairs, width=3, percent=90):
     docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
-    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(docs).collect())
-    assert got == classes([p[0] for p in pairs], [p[1] for p in pairs])
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(docs, width, percent).collect())
+    assert got == classes([p[0] for p in pairs], [p[1] for p in pairs], width, percent)
 
 
 def test_classes_of_awkward_rows(spark, no_docs):
@@ -51,7 +51,8 @@ def test_classes_of_awkward_rows(spark, no_docs):
     assert jaccard_join.jaccard_classes(no_docs).count() == 0
 
 
-def test_chains_of_small_edits(spark):
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_chains_of_small_edits(spark, width, percent):
     rng, pairs = random.Random(3), []
     for n in (9, 10, 12, 30, 80, 300):
         for base in range(2):
@@ -61,20 +62,21 @@ def test_chains_of_small_edits(spark):
                 words[rng.randrange(n)] = f"w{n}x{base}x{step}"
             pairs.append((len(pairs), " ".join(words + ["one", "more"][: rng.randint(0, 2)])))
     rng.shuffle(pairs)
-    check(spark, pairs)
+    check(spark, pairs, width, percent)
 
 
-def test_linked_sets_share_a_key():
+@pytest.mark.parametrize("percent", [90, 80])
+def test_linked_sets_share_a_key(percent):
     rng = np.random.default_rng(1)
     for n in [*range(1, 60), 100, 250, 777]:
         for _ in range(20):
             a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
-            gone = int(rng.integers(0, n // 9 + 1))
-            more = int(rng.integers(0, n // 9 + 1))
+            gone = int(rng.integers(0, n // 4 + 1))
+            more = int(rng.integers(0, n // 4 + 1))
             b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 62, more, dtype=np.uint64)]))
             both = len(np.intersect1d(a, b))
-            if 100 * both >= 90 * (len(a) + len(b) - both):
-                assert np.intersect1d(jaccard_join.part_keys(a), jaccard_join.part_keys(b)).size
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                assert np.intersect1d(jaccard_join.part_keys(a, percent), jaccard_join.part_keys(b, percent)).size
 
 
 def test_components(spark):

@@ -41,7 +41,7 @@ def test_stages_decide_as_brute_force(spark, small):
             assert not bad & set(after) and len(good & set(after)) >= 0.98 * len(good)
         elif name == "near duplicates":
             own = sorted(before)
-            assert set(after) == {i for i, _, c in classes(own, [before[i] for i in own]) if i == c}
+            assert set(after) == {i for i, _, c in classes(own, [before[i] for i in own], 5, 80) if i == c}
         elif name == "decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
             assert set(after) == {i for i, t in before.items() if not matches(t, items)[1]}
