@@ -53,20 +53,26 @@ def sliding_demand(stream: DataFrame, length: str = "90 days", slide: str = "1 d
     )
 
 
+def current_results(spark: SparkSession, results_path: str, key: str = "id", before: int | None = None) -> DataFrame:
+    """The newest row of each key among the batches written so far (those before ``before``, if given)."""
+    rows = spark.read.option("basePath", results_path).parquet(f"{results_path}/batch=*")
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    body = F.struct(*[F.col(c) for c in rows.columns if c != key])
+    newest = rows.groupBy(key).agg(F.max_by(body, "batch").alias("_b"))
+    return newest.select(key, *[F.col(f"_b.{c}").alias(c) for c in rows.columns if c != key])
+
+
 def enrich_changed(results_path: str, stamps: list[str], compute: Callable[[DataFrame], DataFrame], key: str = "id"):
-    """``foreachBatch`` function that recomputes only rows whose stamps changed and appends them.
+    """``foreachBatch`` function that recomputes only rows whose stamps differ from their newest result.
 
-    Each batch writes its own folder, so a retried batch overwrites itself and stays exact.
+    Each batch writes its own folder, so a retried batch overwrites itself and stays exact; ``current_results`` reads
+    one row a key, so an older version of a changed row is no longer seen.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            previous = spark.read.option("recursiveFileLookup", True).parquet(results_path).where(F.col("batch") != batch_id)
-            _, stale = split_reusable(batch, previous, stamps, key)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            stale = batch
-        compute(stale).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{results_path}/run={batch_id}")
+        stale = batch
+        if batch_id > 0:
+            _, stale = split_reusable(batch, current_results(batch.sparkSession, results_path, key, batch_id), stamps, key)
+        compute(stale).write.mode("overwrite").parquet(f"{results_path}/batch={batch_id}")
 
     return run
