@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobatlas.session import cut_lineage
+from jobatlas.session import ensure_checkpoint_dir
 
 MASK = (1 << 64) - 1
 #: Odd base of the polynomial hashes, its inverse modulo 2**64, and one random odd code per byte value.
@@ -42,11 +43,22 @@ def id_bucket(column: str, modulus: int) -> Column:
 
 def save(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: cuts lineage, survives lost executors."""
-    return cut_lineage(df)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Let Spark drop shuffle files of finished steps, whose results stand in written tables.
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished steps, whose results stand in written tables."""
+    ``tables`` are saved tables that nothing later reads; they are deleted.
+    """
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.saved_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     jvm = getattr(spark, "_jvm", None)
     if jvm is not None:

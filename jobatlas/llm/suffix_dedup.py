@@ -19,7 +19,7 @@ from jobatlas.llm.common import map_batches, powers, prefix_hashes, read_table,
 #: Bytes of an anchor string.
 GRAM = 60
 #: Starts covered by one range, per round; each divides the one before, the last looks at single starts.
-SPANS = (28, 7, 1)
+SPANS = (72, 24, 8, 1)
 
 
 def _sliding(values: np.ndarray, width: int, low: bool) -> np.ndarray:
@@ -94,58 +94,51 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     return map_batches(docs, run, "text_key long, at int, first int, inner long, outer long")
 
 
-def _contexts(docs: DataFrame, points: DataFrame, length: int) -> DataFrame:
-    """(text_key, at, before, context) of open anchors: the bytes that any string through them can hold."""
-    reach = length - GRAM
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[], [], [], []]
-        for key, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            for at in places:
-                before = min(at, reach)
-                for col, x in zip(out, (key, at, before, text[at - before : at + length]), strict=True):
-                    col.append(x)
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["text_key", "at", "before", "context"])
-
-    places = points.groupBy("text_key").agg(F.collect_list("at").alias("places"))
-    met = docs.join(places, "text_key").select("text_key", "body", "places")
-    return map_batches(met, run, "text_key long, at int, before int, context binary").dropDuplicates(["text_key", "at"])
+def _bodies(docs: DataFrame, points: DataFrame) -> DataFrame:
+    """(text_key, body) of the texts with open anchors, one row a text."""
+    return docs.join(points.select("text_key").distinct(), "text_key", "left_semi").select("text_key", "body").dropDuplicates(["text_key"])
 
 
-def _ranges(contexts: DataFrame, span: int, parent: int, length: int) -> DataFrame:
+def _ranges(work: DataFrame, span: int, parent: int, length: int) -> DataFrame:
     """Ranks of every range of ``span`` starts below the open ones: (text_key, at, first, inner, outer).
 
-    ``inner`` ranks the string that all starts of the range share, ``outer`` the one that holds them all; the latter is
-    0 where the text ends too early.  ``first`` counts bytes from the nearest start to the anchor.
+    ``work`` has text_key, body and opened, a list of (at, first).  ``inner`` ranks the string that all starts of the
+    range share, ``outer`` the one that holds them all; the latter is 0 where the text ends too early.  ``first`` counts
+    bytes from the nearest start to the anchor.
     """
     reach = length - GRAM
+    steps = np.arange(0, parent, span)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, ats, befores = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("text_key", "at", "before"))
-        data, starts = _joined(batch.column("context"))
-        prefix = prefix_hashes(data)
-        if "opened" in batch.schema.names:
-            heads = batch.column("opened")
-            row, heads = np.repeat(np.arange(len(keys)), heads.value_lengths().to_numpy()), heads.flatten().to_numpy().astype(np.int64)
-        else:
-            row, heads = np.arange(len(keys)), np.zeros(len(keys), dtype=np.int64)
-        steps = np.arange(0, parent, span)
-        first, row = (heads[:, None] + steps[None, :]).ravel(), np.repeat(row, len(steps))
-        last, before, size = np.minimum(first + span - 1, reach), befores[row], np.diff(starts)[row]
-        # A start lies so many bytes before the anchor; it is one if it is in the text and `length` bytes follow.
-        keep = (first <= last) & (np.minimum(last, before) >= np.maximum(first, before + length - size))
-        first, last, before, size, row = first[keep], last[keep], before[keep], size[keep], row[keep]
-        # The place of the anchor in the string belongs to the rank.
-        place, at = (first * 1024 + last).astype(np.uint64) * np.uint64(2), starts[row] + before
-        inner = span_hashes(prefix, at - first, at - last + length) ^ place
-        whole = (last <= before) & (before - first + length <= size)
-        outer = np.zeros(len(first), dtype=np.uint64)
-        outer[whole] = span_hashes(prefix, (at - last)[whole], (at - first + length)[whole]) ^ place[whole]
-        arrays = [pa.array(keys[row]), pa.array(ats[row].astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(inner.view(np.int64)), pa.array(outer.view(np.int64))]
+        keys = batch.column("text_key").to_numpy(zero_copy_only=False)
+        data, starts = _joined(batch.column("body"))
+        opened = batch.column("opened")
+        counts = opened.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        places, heads = (opened.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "first"))
+        until = np.concatenate([[0], np.cumsum(counts)])
+        cols: list[list[np.ndarray]] = [[], [], [], [], []]
+        for lo, hi in _pieces(starts, 1 << 18):
+            prefix = prefix_hashes(data[starts[lo] : starts[hi]])
+            row = np.repeat(np.arange(lo, hi), counts[lo:hi] * len(steps))
+            at = np.repeat(places[until[lo] : until[hi]], len(steps))
+            first = (heads[until[lo] : until[hi], None] + steps[None, :]).ravel()
+            last, size = np.minimum(first + span - 1, reach), (starts[1:] - starts[:-1])[row]
+            # A start lies so many bytes before the anchor; it is one if it is in the text and `length` bytes follow.
+            keep = (first <= last) & (np.minimum(last, at) >= np.maximum(first, at + length - size))
+            first, last, at, size, row = first[keep], last[keep], at[keep], size[keep], row[keep]
+            # The place of the anchor in the string belongs to the rank.
+            place, here = (first * 1024 + last).astype(np.uint64) * np.uint64(2), starts[row] - starts[lo] + at
+            inner = span_hashes(prefix, here - first, here - last + length) ^ place
+            whole = (last <= at) & (at - first + length <= size)
+            outer = np.zeros(len(first), dtype=np.uint64)
+            outer[whole] = span_hashes(prefix, (here - last)[whole], (here - first + length)[whole]) ^ place[whole]
+            for col, x in zip(cols, (keys[row], at, first, inner.view(np.int64), outer.view(np.int64)), strict=True):
+                col.append(x)
+        flat = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, dtype=np.int64) for c in cols]
+        arrays = [pa.array(x.astype(np.int32) if i in (1, 2) else x) for i, x in enumerate(flat)]
         return pa.RecordBatch.from_arrays(arrays, ["text_key", "at", "first", "inner", "outer"])
 
-    return map_batches(contexts, run, "text_key long, at int, first int, inner long, outer long")
+    return map_batches(work, run, "text_key long, at int, first int, inner long, outer long")
 
 
 def _rerank(rows: DataFrame) -> DataFrame:
@@ -165,7 +158,10 @@ def _rerank(rows: DataFrame) -> DataFrame:
     known = groups.join(inner, "inner").where("n > 1 or more").select("inner", "outer", "n", "one", "more")
     settled = (F.col("n") > 1) & (F.col("outer") != 0)
     stays = F.col("more") & (~settled | (F.struct("text_key", "at", "first") == F.col("one")))
-    return rows.join(known, ["inner", "outer"]).select("text_key", "at", "first", settled.alias("settled"), stays.alias("open")).where("settled or open").distinct()
+    marked = rows.join(known, ["inner", "outer"]).select("text_key", "at", "first", settled.alias("settled"), stays.alias("open"))
+    marked = save(marked.where("settled or open").distinct())
+    release(rows.sparkSession, rows)
+    return marked
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -174,24 +170,24 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     ``docs`` has text_key (hash of the content) and body (bytes); equal texts are several occurrences of one key.
     """
     spark, reach = docs.sparkSession, length - GRAM
-    marked = save(_rerank(_anchor_rows(docs, length)))
-    release(spark)
+    marked = _rerank(_anchor_rows(docs, length))
     spans = [marked.where("settled").select("text_key", (F.col("at") - reach).alias("lo"), (F.col("at") + length).alias("hi"))]
-    contexts = save(_contexts(docs, marked.where("open"), length))
+    bodies = save(_bodies(docs, marked.where("open")))
     release(spark)
-    work, parent = contexts, reach + 1
+    parent = reach + 1
     for span in SPANS:
+        opened = marked.where("open").groupBy("text_key").agg(F.collect_list(F.struct("at", "first")).alias("opened"))
+        work = save(bodies.join(opened, "text_key"))
         ranks = _ranges(work, span, parent, length)
         if span == 1:
             again = ranks.groupBy("inner").agg(F.count("*").alias("n")).where("n > 1").select("inner")
             marked = ranks.join(again, "inner", "left_semi").withColumn("settled", F.lit(True))
         else:
-            marked = save(_rerank(ranks))
-            opened = marked.where("open").groupBy("text_key", "at").agg(F.collect_list("first").alias("opened"))
-            work, parent = save(contexts.join(opened, ["text_key", "at"])), span
-            release(spark)
+            marked, parent = _rerank(ranks), span
         lo = F.col("at") - F.least(F.col("first") + (span - 1), F.lit(reach))
-        spans.append(marked.where("settled").select("text_key", lo.alias("lo"), (F.col("at") - F.col("first") + length).alias("hi")))
+        found = marked.where("settled").select("text_key", lo.alias("lo"), (F.col("at") - F.col("first") + length).alias("hi"))
+        spans.append(save(found))
+        release(spark, work)
     every = spans[0]
     for s in spans[1:]:
         every = every.unionByName(s)
