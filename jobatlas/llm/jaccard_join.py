@@ -73,8 +73,14 @@ def part_keys(elements: np.ndarray, percent: int = 90) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
+def parity_bits(elements: np.ndarray) -> np.ndarray:
+    """Parity of the elements in each of BITS places; sets of difference d differ in at most d of them."""
+    spread = (mix(elements ^ np.uint64(0x27D4EB2F165667C5)) % np.uint64(BITS)).astype(np.int64)
+    return np.packbits((np.bincount(spread, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def set_table(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, text_key, n_shingles, set_id, keys): size, identity and index keys of every document's set."""
+    """(doc_id, text_key, n_shingles, set_id, bits, keys): size, identity, sketch and index keys of every document's set."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, width) for t in batch.column(2).to_pylist()]
@@ -82,61 +88,59 @@ def set_table(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()),
-                lists([part_keys(s, percent).view(np.int64) for s in sets], pa.int64()),
+                lists([parity_bits(s) for s in sets], pa.int64()), lists([part_keys(s, percent).view(np.int64) for s in sets], pa.int64()),
             ],
-            ["doc_id", "text_key", "n_shingles", "set_id", "keys"],
+            ["doc_id", "text_key", "n_shingles", "set_id", "bits", "keys"],
         )
 
     rows = docs.select("doc_id", F.xxhash64(text_bytes()).alias("text_key"), text_bytes().alias("body"))
-    return map_batches(rows, run, "doc_id long, text_key long, n_shingles long, set_id long, keys array<long>")
-
-
-def parity_bits(elements: np.ndarray) -> np.ndarray:
-    """Parity of the elements in each of BITS places; sets of difference d differ in at most d of them."""
-    spread = (mix(elements ^ np.uint64(0x27D4EB2F165667C5)) % np.uint64(BITS)).astype(np.int64)
-    return np.packbits((np.bincount(spread, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+    return map_batches(rows, run, "doc_id long, text_key long, n_shingles long, set_id long, bits array<long>, keys array<long>")
 
 
 def _elements(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(set_id, elements, bits) of the wanted (set_id, doc_id, text_key), from one document each."""
+    """(set_id, elements) of the wanted (set_id, doc_id, text_key), from one document each."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
-        arrays = [batch.column(0), lists([x.view(np.int64) for x in sets], pa.int64()), lists([parity_bits(x) for x in sets], pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, ["set_id", "elements", "bits"])
+        return pa.RecordBatch.from_arrays([batch.column(0), lists([x.view(np.int64) for x in sets], pa.int64())], ["set_id", "elements"])
 
     rows = docs.select("doc_id", F.xxhash64(text_bytes()).alias("text_key"), text_bytes().alias("body")).alias("d")
     w = wanted.alias("w")
     met = rows.join(w, (F.col("d.text_key") == F.col("w.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-    return map_batches(met.select("w.set_id", "d.body"), run, "set_id long, elements array<long>, bits array<long>").dropDuplicates(["set_id"])
+    return map_batches(met.select("w.set_id", "d.body"), run, "set_id long, elements array<long>").dropDuplicates(["set_id"])
 
 
-def _traits(elements: DataFrame, ids: DataFrame) -> DataFrame:
-    """(set_id, bits, alone) of the sets named: ``alone`` counts elements that no other of these sets has.
+def _linked(docs: DataFrame, table: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The saved pairs (a, b) whose sets reach the threshold; the sets are read again for the ids in ``pairs`` alone."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    wanted = table.join(ids, "set_id").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_key")).alias("one"))
+    elements = save(_elements(docs, wanted.select("set_id", "one.doc_id", "one.text_key"), width))
+    release(docs.sparkSession)
+    a = elements.select(F.col("set_id").alias("a"), F.col("elements").alias("ea"))
+    b = elements.select(F.col("set_id").alias("b"), F.col("elements").alias("eb"))
+    both = F.size(F.array_intersect("ea", "eb"))
+    met = pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("ea") + F.size("eb") - both))
+    links = save(met.select("a", "b"))
+    release(docs.sparkSession, elements)
+    return links
 
-    Such elements of either set are in the difference of every pair, and a pair of sizes x and y is linked only if
-    (1 + t) times its difference is at most (1 - t) (x + y).
+
+def _close(percent: int):
+    """Condition on two listed sets that every linked pair meets: by size, and by the difference of their sketches.
+
+    With t the similarity, (1 + t) times the difference of linked sets is at most (1 - t) times the sum of their sizes.
     """
-    own = elements.join(ids, "set_id", "left_semi")
-    each = own.select("set_id", F.explode("elements").alias("e")).groupBy("e").agg(F.min("set_id").alias("set_id"), F.count("*").alias("c"))
-    alone = each.where("c = 1").groupBy("set_id").agg(F.count("*").alias("alone"))
-    return save(own.select("set_id", "bits").join(alone, "set_id", "left").na.fill(0, ["alone"]))
+    sketch = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("hbits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    sized = F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent
+    return sized & (F.col("set_id") != F.col("h")) & ((100 + percent) * sketch <= (100 - percent) * (F.col("n") + F.col("hn")))
 
 
-def _linked(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
-    a = elements.select(F.col("set_id").alias("a"), F.col("elements").alias("ea"))
-    b = elements.select(F.col("set_id").alias("b"), F.col("elements").alias("eb"))
-    both = F.size(F.array_intersect("ea", "eb"))
-    return (
-        pairs.join(a, "a").join(b, "b")
-        .where(100 * both >= percent * (F.size("ea") + F.size("eb") - both))
-        .select("a", "b")
-    )
+def _pair(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("set_id", "h").alias("a"), F.greatest("set_id", "h").alias("b")).distinct()
 
 
-def _members(table: DataFrame) -> DataFrame:
-    """(key, set_id, n) of the lists that more than one set is in; keys pass in slices, which bounds the disk in use."""
+def _members(table: DataFrame) -> list[DataFrame]:
+    """Saved (key, set_id, n) of the lists that more than one set is in; keys pass in slices, which bounds the disk in use."""
     parts = []
     for k in range(SLICES):
         entries = table.where("set_id is not null").select(
@@ -145,7 +149,27 @@ def _members(table: DataFrame) -> DataFrame:
         shared = entries.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo != hi").select("key")
         parts.append(save(entries.join(shared, "key").distinct()))
         release(table.sparkSession)
-    return reduce(DataFrame.unionByName, parts)
+    return parts
+
+
+def _star_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Every listed set with two others of its list: the one with the smallest id, and one that differs from list to list."""
+    rows = members.join(sketches, "set_id")
+    body = F.struct("set_id", "n", "bits")
+    heads = rows.groupBy("key").agg(F.array_distinct(F.array(F.min_by(body, "set_id"), F.min_by(body, F.xxhash64("key", "set_id")))).alias("x"))
+    heads = heads.select("key", F.explode("x").alias("x")).select("key", F.col("x.set_id").alias("h"), F.col("x.n").alias("hn"), F.col("x.bits").alias("hbits"))
+    return save(_pair(rows.join(heads, "key").where(_close(percent))))
+
+
+def _open_pairs(members: DataFrame, classes: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Close pairs of the lists whose sets are not all in one class: what the stars may have missed."""
+    rows = members.join(classes, members.set_id == classes.id, "left").select("key", "set_id", "n", F.coalesce("component", "set_id").alias("class"))
+    mixed = rows.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
+    rows = save(rows.join(mixed, "key").join(sketches, "set_id"))
+    head = rows.select("key", *(F.col(c).alias(h) for c, h in (("set_id", "h"), ("n", "hn"), ("class", "hc"), ("bits", "hbits"))))
+    pairs = save(_pair(rows.join(head, "key").where((F.col("set_id") < F.col("h")) & (F.col("class") != F.col("hc")) & _close(percent))))
+    release(members.sparkSession, rows)
+    return pairs
 
 
 def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -157,48 +181,18 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     """
     spark = docs.sparkSession
     table = save(set_table(docs, width, percent))
+    sketches = save(table.where("set_id is not null").select("set_id", "bits").dropDuplicates(["set_id"]))
     members = _members(table)
-    wanted = (
-        table.join(members.select("set_id").distinct(), "set_id")
-        .groupBy("set_id").agg(F.min(F.struct("doc_id", "text_key")).alias("one"))
-        .select("set_id", "one.doc_id", "one.text_key")
-    )
-    elements = save(_elements(docs, wanted, width))
-    release(spark)
-    links = spark.createDataFrame([], "a long, b long")
-    tested = links
-    classes = None
-    for step in ("first", "spread", "all"):
-        if classes is None:
-            open_ = members.withColumn("class", F.col("set_id"))
-        else:
-            open_ = members.join(classes, members.set_id == classes.id, "left").select(
-                "key", "set_id", "n", F.coalesce("component", "set_id").alias("class")
-            )
-            mixed = open_.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
-            open_ = open_.join(mixed, "key")
-        near = (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent) & (F.col("class") != F.col("hc"))
-        if step == "all":
-            apart = lambda difference: (100 + percent) * difference <= (100 - percent) * (F.col("n") + F.col("hn"))
-            open_ = save(open_.join(_traits(elements, open_.select("set_id").distinct()), "set_id").where(
-                (100 + percent) * F.col("alone") <= (100 - percent) * (F.col("n") + F.floor(100 * F.col("n") / percent))
-            ))
-            head = open_.select("key", *(F.col(c).alias(h) for c, h in (("set_id", "h"), ("n", "hn"), ("class", "hc"), ("bits", "hbits"), ("alone", "halone"))))
-            sketch = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("hbits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-            near = near & (F.col("set_id") < F.col("h")) & apart(F.col("alone") + F.col("halone")) & apart(sketch)
-        else:
-            rank = F.col("set_id") if step == "first" else F.xxhash64("key", "set_id")
-            head = open_.groupBy("key").agg(F.min_by(F.struct("set_id", "n", "class"), rank).alias("x"))
-            head = head.select("key", F.col("x.set_id").alias("h"), F.col("x.n").alias("hn"), F.col("x.class").alias("hc"))
-        pairs = open_.join(head, "key").where(near).select(F.least("set_id", "h").alias("a"), F.greatest("set_id", "h").alias("b")).distinct()
-        pairs = save(pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        found = save(_linked(pairs, elements, percent))
-        links, tested = links.unionByName(found), tested.unionByName(pairs)
-        classes = save(connected_components(links))
-        release(spark)
-    named = table.join(classes, table.set_id == classes.id, "left") if classes is not None else table.withColumn("component", F.lit(None).cast("long"))
+    stars = reduce(DataFrame.unionByName, [_star_pairs(m, sketches, percent) for m in members]).distinct()
+    stars = save(stars)
+    links = _linked(docs, table, stars, width, percent)
+    classes = save(connected_components(links))
+    left = reduce(DataFrame.unionByName, [_open_pairs(m, classes, sketches, percent) for m in members]).distinct()
+    left = save(left.join(stars, ["a", "b"], "left_anti"))
+    release(spark, sketches, *members)
+    if not left.isEmpty():
+        classes = save(connected_components(links.unionByName(_linked(docs, table, left, width, percent))))
+    named = table.join(classes, table.set_id == classes.id, "left")
     named = named.select("doc_id", "n_shingles", "set_id", F.coalesce("component", "set_id").alias("class"))
     names = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("name"))
     out = named.where("class is not null").join(names, "class").select("doc_id", "n_shingles", F.col("name").alias("component_id"))
