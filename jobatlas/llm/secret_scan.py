@@ -156,7 +156,7 @@ def op3_secret_scan(spark, sf_dir) -> DataFrame:
 
 def _oracle() -> str:
     """The contract query for an engine whose patterns know no look-around and give no places."""
-    patterns = {k.name: k.pattern for k in KINDS} | {"key": "[A-Za-z0-9+/=_-]+"}
+    patterns = {k.name: k.pattern for k in KINDS} | {"key": "[A-Za-z0-9+/=_-]{40,}", "hex": "[0-9a-f]{32,}"}
     found = " UNION ALL ".join(
         f"SELECT k, t, '{name}' AS kind, {_ORDER[name]} AS rank, regexp_extract_all(t, '{p.replace(chr(39), chr(39) * 2)}') AS ms FROM d" for name, p in patterns.items()
     )

@@ -236,7 +236,7 @@ def op9_suffix_dedup(spark, sf_dir) -> DataFrame:
 
 OP9_SQL = """
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), w AS (
-  SELECT k, unnest(range(0, length(h) // 2 - 199)) AS i, unnest([md5(substr(h, 2 * j + 1, 400)) FOR j IN range(0, length(h) // 2 - 199)]) AS m
+  SELECT k, unnest(range(0, length(h) // 2 - 199)) AS i, unnest([hash(substr(h, 2 * j + 1, 400)) FOR j IN range(0, length(h) // 2 - 199)]) AS m
   FROM d WHERE length(h) >= 400
 ), r AS (SELECT k, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)), g AS (
   SELECT k, i, CASE WHEN i > lag(i) OVER (PARTITION BY k ORDER BY i) + 200 THEN 1 ELSE 0 END AS fresh FROM r
