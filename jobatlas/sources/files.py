@@ -57,7 +57,10 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def write_atomic(df: DataFrame, path: str, fmt: str = "json", partition_by=()) -> str:
-    """Write to a staging folder next to the target, then swap: readers never see a partial table."""
+    """Write to a staging folder next to the target, then swap: readers never see a partial table.
+
+    Between the two renames the target is missing for a moment; if the second fails the former table is put back.
+    """
     spark = df.sparkSession
     staging, old = f"{path}.staging", f"{path}.old"
     df.write.mode("overwrite").partitionBy(*partition_by).format(fmt).save(staging)
@@ -66,6 +69,8 @@ def write_atomic(df: DataFrame, path: str, fmt: str = "json", partition_by=()) -
     if fs.exists(hpath(path)):
         fs.rename(hpath(path), hpath(old))
     if not fs.rename(hpath(staging), hpath(path)):
+        if fs.exists(hpath(old)):
+            fs.rename(hpath(old), hpath(path))
         raise OSError(f"cannot move {staging} to {path}")
     fs.delete(hpath(old), True)
     return path
