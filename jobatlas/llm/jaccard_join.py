@@ -24,8 +24,8 @@ CLASS_RATIO = 1.5
 SPARE_PARTS = 1
 #: Slices in which the index lists pass.
 SLICES = 4
-#: Places of a set's parity sketch.
-BITS = 512
+#: Places of a set's parity sketch, of the wide one, and the sizes that have a wide one.
+BITS, WIDE_BITS, WIDE_FROM = 512, 16384, 1000
 EMPTY = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -73,28 +73,33 @@ def part_keys(elements: np.ndarray, percent: int = 90) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def parity_bits(elements: np.ndarray) -> np.ndarray:
-    """Parity of the elements in each of BITS places; sets of difference d differ in at most d of them."""
-    spread = (mix(elements ^ np.uint64(0x27D4EB2F165667C5)) % np.uint64(BITS)).astype(np.int64)
-    return np.packbits((np.bincount(spread, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+def parity_bits(elements: np.ndarray, places: int = BITS) -> np.ndarray:
+    """Parity of the elements in each of so many places; sets of difference d differ in at most d of them."""
+    spread = (mix(elements ^ np.uint64(0x27D4EB2F165667C5)) % np.uint64(places)).astype(np.int64)
+    return np.packbits((np.bincount(spread, minlength=places) & 1).astype(np.uint8)).view(np.int64)
 
 
 def set_table(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, text_key, n_shingles, set_id, bits, keys): size, identity, sketch and index keys of every document's set."""
+    """(doc_id, text_key, n_shingles, set_id, bits, wide, keys): size, identity, sketches and index keys of every set.
+
+    Sets of WIDE_FROM elements or more have a wide sketch besides, which lists do not carry; for others it is empty.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        none = np.zeros(0, dtype=np.int64)
         sets = [shingles(t, width) for t in batch.column(2).to_pylist()]
         ids = [int(mix(s.sum(keepdims=True, dtype=np.uint64) ^ np.uint64(len(s)))[0].astype(np.int64)) if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()),
-                lists([parity_bits(s) for s in sets], pa.int64()), lists([part_keys(s, percent).view(np.int64) for s in sets], pa.int64()),
+                lists([parity_bits(s) for s in sets], pa.int64()),
+                lists([parity_bits(s, WIDE_BITS) if len(s) >= WIDE_FROM else none for s in sets], pa.int64()), lists([part_keys(s, percent).view(np.int64) for s in sets], pa.int64()),
             ],
-            ["doc_id", "text_key", "n_shingles", "set_id", "bits", "keys"],
+            ["doc_id", "text_key", "n_shingles", "set_id", "bits", "wide", "keys"],
         )
 
     rows = docs.select("doc_id", F.xxhash64(text_bytes()).alias("text_key"), text_bytes().alias("body"))
-    return map_batches(rows, run, "doc_id long, text_key long, n_shingles long, set_id long, bits array<long>, keys array<long>")
+    return map_batches(rows, run, "doc_id long, text_key long, n_shingles long, set_id long, bits array<long>, wide array<long>, keys array<long>")
 
 
 def _elements(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -136,7 +141,18 @@ def _close(percent: int):
 
 
 def _pair(rows: DataFrame) -> DataFrame:
-    return rows.select(F.least("set_id", "h").alias("a"), F.greatest("set_id", "h").alias("b")).distinct()
+    return rows.select(F.least("set_id", "h").alias("a"), F.greatest("set_id", "h").alias("b"), (F.col("n") + F.col("hn")).alias("n")).distinct()
+
+
+def _narrowed(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Saved (a, b) of the pairs (a, b, n) that the wide sketches of large sets allow as well."""
+    wide = sketches.where(F.size("wide") > 0)
+    a = wide.select(F.col("set_id").alias("a"), F.col("wide").alias("wa"))
+    b = wide.select(F.col("set_id").alias("b"), F.col("wide").alias("wb"))
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    small = F.col("wa").isNull() | F.col("wb").isNull()
+    met = pairs.join(a, "a", "left").join(b, "b", "left")
+    return save(met.where(small | ((100 + percent) * apart <= (100 - percent) * F.col("n"))).select("a", "b"))
 
 
 def _members(table: DataFrame) -> list[DataFrame]:
@@ -152,22 +168,30 @@ def _members(table: DataFrame) -> list[DataFrame]:
     return parts
 
 
-def _star_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Every listed set with two others of its list: the one with the smallest id, and one that differs from list to list."""
-    rows = members.join(sketches, "set_id")
-    body = F.struct("set_id", "n", "bits")
-    heads = rows.groupBy("key").agg(F.array_distinct(F.array(F.min_by(body, "set_id"), F.min_by(body, F.xxhash64("key", "set_id")))).alias("x"))
-    heads = heads.select("key", F.explode("x").alias("x")).select("key", F.col("x.set_id").alias("h"), F.col("x.n").alias("hn"), F.col("x.bits").alias("hbits"))
-    return save(_pair(rows.join(heads, "key").where(_close(percent))))
-
-
-def _open_pairs(members: DataFrame, classes: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Close pairs of the lists whose sets are not all in one class: what the stars may have missed."""
+def _open(members: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """(key, set_id, n, class) of the lists whose sets are not all in one class."""
+    if classes is None:
+        return members.withColumn("class", F.col("set_id"))
     rows = members.join(classes, members.set_id == classes.id, "left").select("key", "set_id", "n", F.coalesce("component", "set_id").alias("class"))
     mixed = rows.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
-    rows = save(rows.join(mixed, "key").join(sketches, "set_id"))
-    head = rows.select("key", *(F.col(c).alias(h) for c, h in (("set_id", "h"), ("n", "hn"), ("class", "hc"), ("bits", "hbits"))))
-    pairs = save(_pair(rows.join(head, "key").where((F.col("set_id") < F.col("h")) & (F.col("class") != F.col("hc")) & _close(percent))))
+    return rows.join(mixed, "key")
+
+
+def _close_pairs(members: DataFrame, classes: DataFrame | None, sketches: DataFrame, percent: int, step: str) -> DataFrame:
+    """Saved close pairs of different classes in the open lists of one slice.
+
+    ``first``: every set with the smallest of its list; ``spread``: with one that differs from list to list; ``all``:
+    with every other.
+    """
+    rows = save(_open(members, classes).join(sketches.select("set_id", "bits"), "set_id"))
+    names = (("set_id", "h"), ("n", "hn"), ("class", "hc"), ("bits", "hbits"))
+    if step == "all":
+        head, once = rows.select("key", *(F.col(c).alias(h) for c, h in names)), F.col("set_id") < F.col("h")
+    else:
+        rank = F.col("set_id") if step == "first" else F.xxhash64("key", "set_id")
+        head = rows.groupBy("key").agg(F.min_by(F.struct(*(c for c, _ in names)), rank).alias("x"))
+        head, once = head.select("key", *(F.col(f"x.{c}").alias(h) for c, h in names)), F.lit(True)
+    pairs = save(_pair(rows.join(head, "key").where(once & (F.col("class") != F.col("hc")) & _close(percent))))
     release(members.sparkSession, rows)
     return pairs
 
@@ -181,17 +205,22 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     """
     spark = docs.sparkSession
     table = save(set_table(docs, width, percent))
-    sketches = save(table.where("set_id is not null").select("set_id", "bits").dropDuplicates(["set_id"]))
+    sketches = save(table.where("set_id is not null").select("set_id", "bits", "wide").dropDuplicates(["set_id"]))
     members = _members(table)
-    stars = reduce(DataFrame.unionByName, [_star_pairs(m, sketches, percent) for m in members]).distinct()
-    stars = save(stars)
-    links = _linked(docs, table, stars, width, percent)
-    classes = save(connected_components(links))
-    left = reduce(DataFrame.unionByName, [_open_pairs(m, classes, sketches, percent) for m in members]).distinct()
-    left = save(left.join(stars, ["a", "b"], "left_anti"))
+    tested = links = spark.createDataFrame([], "a long, b long")
+    classes = None
+    for step in ("first", "spread", "all"):
+        parts = [_close_pairs(m, classes, sketches, percent, step) for m in members]
+        pairs = reduce(DataFrame.unionByName, parts).distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = _narrowed(pairs, sketches, percent)
+        release(spark, *parts)
+        if pairs.isEmpty():
+            continue
+        tested, links = tested.unionByName(pairs), links.unionByName(_linked(docs, table, pairs, width, percent))
+        classes = save(connected_components(links))
     release(spark, sketches, *members)
-    if not left.isEmpty():
-        classes = save(connected_components(links.unionByName(_linked(docs, table, left, width, percent))))
+    if classes is None:
+        classes = spark.createDataFrame([], "id long, component long")
     named = table.join(classes, table.set_id == classes.id, "left")
     named = named.select("doc_id", "n_shingles", "set_id", F.coalesce("component", "set_id").alias("class"))
     names = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("name"))
