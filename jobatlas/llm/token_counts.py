@@ -82,11 +82,11 @@ def scan_separators(files: DataFrame, block_tokens: int = BLOCK_TOKENS, end: int
     found = save(blocks.repartition("file", "at").mapInArrow(run, "file string, at long, ends array<long>"))
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     stitched = found.select(
-        "file", "at",
+        "file", "ends",
         F.coalesce(F.last(F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1), ignorenulls=True).over(before), F.lit(-1)).alias("carry"),
         F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("done"),
     )
-    each = found.join(stitched, ["file", "at"]).select("file", "done", "carry", "ends", F.posexplode("ends").alias("i", "last"))
+    each = stitched.select("file", "done", "carry", "ends", F.posexplode("ends").alias("i", "last"))
     start = F.when(F.col("i") == 0, F.col("carry")).otherwise(F.get("ends", F.col("i") - 1))
     return each.select("file", (F.col("done") + F.col("i")).alias("ordinal"), (F.col("last") - start - 1).alias("n_tokens"))
 
