@@ -34,8 +34,8 @@ WEAK = (
     Kind("endpoint", r"""(?i:(?:https?|s3|ftp|amqps?|redis|mongodb|mysql|postgres(?:ql)?))://[^\s"'<>]+""", 8, 0, (IDS, SECRETS)),
 )
 KINDS = BASE + WEAK
-#: One pass tells texts in which no kind can occur.
-_ANY = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
+#: One pass tells texts in which no kind can occur: what each base kind holds at least, and every weak pattern.
+_ANY = "|".join([r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{12}|[0-9a-f]{32}", *(k.pattern for k in WEAK)])
 _ORDER = {k.name: i for i, k in enumerate(KINDS)}
 
 

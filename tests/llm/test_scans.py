@@ -50,6 +50,15 @@ def test_weak_parts_need_their_complements(spark):
     assert kinds[13] == ["access"] and kinds[14] == ["access", "key"]
 
 
+def test_weak_parts_link_without_any_base_kind(spark):
+    key, url = "A1b2" * 10, "https://example.com/x"
+    texts = [CASES[9], f"{key} at {url}", f"{url} user=bob {key}", f"user=bob {url}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {i: [k for k, _, _ in s] for i, s in scan(frame)} == {0: ["login", "key"], 1: ["key"], 2: ["endpoint", "login", "key"], 3: []}
+    hidden = {r.doc_id: r.text for r in secret_scan.redact_secrets(frame).collect()}
+    assert hidden == {0: "[SECRET] [SECRET] tail", 1: f"[SECRET] at {url}", 2: "[SECRET] [SECRET] [SECRET]", 3: texts[3]}
+
+
 def test_redaction_hides_spans_and_leaves_the_rest(spark, docs):
     got = {r.doc_id: r.text for r in secret_scan.redact_secrets(spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string")).collect()}
     assert got[0] is None and got[1] == "" and got[3] == CASES[3] and got[2] == '[SECRET]"'
