@@ -30,7 +30,7 @@ BASE = (Kind("assign", ASSIGN, 8, 2), Kind("access", r"AKIA[A-Z0-9]+", 16), Kind
 IDS, SECRETS, ENDS = ("access", "login"), ("assign", "hex", "key"), ("endpoint",)
 WEAK = (
     Kind("login", r"""(?i:(?:access_key_id|client_id|account_id|user(?:name)?|login))["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", 3, 0, (SECRETS,)),
-    Kind("key", r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", 40, 0, (IDS + ENDS,)),
+    Kind("key", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", 40, 0, (IDS + ENDS,)),
     Kind("endpoint", r"""(?i:(?:https?|s3|ftp|amqps?|redis|mongodb|mysql|postgres(?:ql)?))://[^\s"'<>]+""", 8, 0, (IDS, SECRETS)),
 )
 KINDS = BASE + WEAK

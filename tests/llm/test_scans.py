@@ -59,6 +59,17 @@ def test_weak_parts_link_without_any_base_kind(spark):
     assert hidden == {0: "[SECRET] [SECRET] tail", 1: f"[SECRET] at {url}", 2: "[SECRET] [SECRET] [SECRET]", 3: texts[3]}
 
 
+def test_key_directly_after_an_equals_sign(spark):
+    key = "A1b2" * 10
+    texts = [f"AWS_ACCESS_KEY_ID=AKIA0123456789AB\nAWS_SECRET_ACCESS_KEY={key}", f"AKIA0123456789AB {key}=", f"x={key}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {i: [(k, texts[i][a:b]) for k, a, b in s] for i, s in scan(frame)}
+    access = ("access", "AKIA0123456789AB")
+    assert found == {0: [access, ("key", key)], 1: [access], 2: []}
+    hidden = {r.doc_id: r.text for r in secret_scan.redact_secrets(frame).collect()}
+    assert hidden[0] == "AWS_ACCESS_KEY_ID=[SECRET]\nAWS_SECRET_ACCESS_KEY=[SECRET]" and hidden[2] == texts[2]
+
+
 def test_redaction_hides_spans_and_leaves_the_rest(spark, docs):
     got = {r.doc_id: r.text for r in secret_scan.redact_secrets(spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string")).collect()}
     assert got[0] is None and got[1] == "" and got[3] == CASES[3] and got[2] == '[SECRET]"'
