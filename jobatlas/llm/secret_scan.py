@@ -68,15 +68,14 @@ def _matches(texts: DataFrame, kind: Kind) -> DataFrame:
 def _linked(strong: DataFrame, weak: DataFrame, scope: int) -> DataFrame:
     """Weak spans that have a part of every needed set within ``scope``: an interval join on text and stretch.
 
-    Every part is filed under the stretches of ``scope`` characters that its surroundings touch, each weak span under
-    its own first one, so a pair meets once; spans of one kind do not overlap, so a stretch holds few.
+    Every part is filed under the stretches of ``scope`` characters that it touches, each weak span under those that
+    its surroundings touch, so spans of any length meet where one reaches the other's surroundings; a pair that meets
+    in several stretches counts once in the set.  Spans of one kind do not overlap, so a stretch holds few.
     """
     parts = strong.unionByName(weak)
-    filed = parts.select(
-        "key", F.col("kind").alias("other"), F.col("start").alias("lo"), F.col("end").alias("hi"),
-        F.explode(F.sequence(F.floor(F.greatest(F.col("start") - 2 * scope, F.lit(0)) / scope), F.floor((F.col("end") + scope) / scope))).alias("stretch"),
-    )
-    own = weak.withColumn("stretch", F.floor(F.col("start") / scope))
+    stretches = lambda lo, hi: F.explode(F.sequence(F.floor(F.greatest(lo, F.lit(0)) / scope), F.floor(hi / scope))).alias("stretch")
+    filed = parts.select("key", F.col("kind").alias("other"), F.col("start").alias("lo"), F.col("end").alias("hi"), stretches(F.col("start"), F.col("end")))
+    own = weak.select("*", stretches(F.col("start") - scope, F.col("end") + scope))
     near = (F.col("lo") <= F.col("end") + scope) & (F.col("hi") >= F.col("start") - scope)
     met = own.join(filed, ["key", "stretch"]).where(near).groupBy("key", "kind", "start", "end").agg(F.collect_set("other").alias("others"))
     good = F.lit(False)

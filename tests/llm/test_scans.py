@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from jobatlas.llm import decontaminate, secret_scan
 from messy import rows
@@ -70,6 +71,22 @@ def test_key_directly_after_an_equals_sign(spark):
     assert hidden[0] == "AWS_ACCESS_KEY_ID=[SECRET]\nAWS_SECRET_ACCESS_KEY=[SECRET]" and hidden[2] == texts[2]
 
 
+def test_long_endpoints_link_at_both_ends(spark):
+    long = "https://example.com/?q=" + "ab-" * (secret_scan.SCOPE * 3 // 2)
+    near, far = ("x " * n for n in ((secret_scan.SCOPE - 10) // 2, (secret_scan.SCOPE - 8) // 2))  # the token 200 and 202 characters away
+    texts = [f"{long} user=bob token=abcdefgh", f"{long} {near}user=bob token=abcdefgh", f"{long} {far}user=bob token=abcdefgh", f"user=bob token=abcdefgh {long}"]
+    texts += [f"user=bob {long} token=abcdefgh", f"user=bob {'x ' * 20}{long} {'x ' * 300} token=abcdefgh"]
+    assert len(long) > 3 * secret_scan.SCOPE
+    got = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    three = {"endpoint", "login", "assign"}
+    assert {i: {k for k, _, _ in s} for i, s in got} == {0: three, 1: three, 2: three - {"endpoint"}, 3: three, 4: {"endpoint", "assign"}, 5: {"assign"}}
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    twin = {r[0]: r[1] for r in con.sql(f"select doc_id, spans from ({secret_scan.OP3_SQL})").fetchall()}
+    assert {i: ",".join(f"{k}:{a}:{b}" for k, a, b in s) for i, s in got} == twin
+
+
 def test_redaction_hides_spans_and_leaves_the_rest(spark, docs):
     got = {r.doc_id: r.text for r in secret_scan.redact_secrets(spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string")).collect()}
     assert got[0] is None and got[1] == "" and got[3] == CASES[3] and got[2] == '[SECRET]"'
