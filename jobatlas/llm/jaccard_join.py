@@ -229,6 +229,42 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     return out.unionByName(alone)
 
 
+def _pairs(docs: DataFrame, table: DataFrame, width: int, percent: int) -> DataFrame:
+    """Saved (a, b), a < b: every two different sets of the saved ``table`` that reach the threshold.
+
+    All sets of a list meet, whatever their classes; sizes and sketches bound their difference, then they are verified.
+    """
+    sketches = save(table.where("set_id is not null").select("set_id", "bits", "wide").dropDuplicates(["set_id"]))
+    members = _members(table)
+    parts = [_close_pairs(m, None, sketches, percent, "all") for m in members]
+    pairs = _narrowed(reduce(DataFrame.unionByName, parts).distinct(), sketches, percent)
+    release(docs.sparkSession, sketches, *members, *parts)
+    return _linked(docs, table, pairs, width, percent)
+
+
+def jaccard_pairs(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """(a, b), a < b: ids of every two different sets of ``docs`` with a similarity of ``percent`` or more.
+
+    Unlike the classes, the pairs are all links, also those within a class; their number may grow with its square.
+    Ids of sets are those of ``set_table``.
+    """
+    return _pairs(docs, save(set_table(docs, width, percent)), width, percent)
+
+
+def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, n_links) of every row of ``docs``: how many other rows have an equal or linked set.
+
+    Rows without a set have no links.
+    """
+    table = save(set_table(docs, width, percent))
+    pairs = _pairs(docs, table, width, percent)
+    rows = table.where("set_id is not null").groupBy("set_id").agg(F.count("*").alias("rows"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    met = both.join(rows, F.col("b") == F.col("set_id")).groupBy(F.col("a").alias("id")).agg(F.sum("rows").alias("others"))
+    links = rows.join(met, F.col("set_id") == F.col("id"), "left").select("set_id", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return table.join(links, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
 def op2_jaccard_join(spark, sf_dir) -> DataFrame:
     """The contract query over all documents."""
     return jaccard_classes(read_table(spark, sf_dir, "documents"))

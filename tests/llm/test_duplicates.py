@@ -65,6 +65,23 @@ def test_chains_of_small_edits(spark, width, percent):
     check(spark, pairs, width, percent)
 
 
+def test_links_within_a_class_are_all_returned(spark):
+    rng, pairs = random.Random(4), [(r[0], r[1]) for r in rows()]
+    for n in (12, 60, 300):
+        words = prose(rng, n).split()
+        for step in range(6):
+            pairs += [(len(pairs), " ".join(words))] * (1 + step % 2)
+            words[rng.randrange(n)] = f"w{n}x{step}"
+    sets = sets_of([t for _, t in pairs], 5)
+    alike = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    distinct = {frozenset(s) for s in sets if s}
+    docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    found = jaccard_join.jaccard_pairs(docs, 5, 80).collect()
+    assert len(found) == len(set(found)) == sum(alike(a, b) for a in distinct for b in distinct if a != b) // 2
+    got = Counter((r.doc_id, r.n_shingles, r.n_links) for r in jaccard_join.jaccard_links(docs, 5, 80).collect())
+    assert got == Counter((i, len(a), sum(alike(a, b) for b in sets) - bool(a)) for (i, _), a in zip(pairs, sets, strict=True))
+
+
 @pytest.mark.parametrize("percent", [90, 80])
 def test_linked_sets_share_a_key(percent):
     rng = np.random.default_rng(1)
