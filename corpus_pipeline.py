@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobatlas.llm.common import read_table, save
+from jobatlas.llm.common import read_table, row_key, save
 from jobatlas.llm.decontaminate import benchmark_matches
-from jobatlas.llm.jaccard_join import jaccard_classes
+from jobatlas.llm.jaccard_join import jaccard_keepers
 from jobatlas.llm.packing import pack
 from jobatlas.llm.quality_classifier import quality_scores
 from jobatlas.llm.secret_scan import redact_secrets
@@ -21,20 +21,22 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good."""
-    scores = quality_scores(docs, read_table(spark, sf_dir, "labels"))
-    return _keep(docs, scores.where("predicted = 1").select("doc_id"))
+    scores = quality_scores(docs.withColumn("row", row_key()), read_table(spark, sf_dir, "labels"), carry=("row",))
+    return _keep(docs, scores.where("predicted = 1").select("row"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies: five-word shingles, similarity 0.8 or more."""
-    classes = jaccard_classes(docs, width=5, percent=80)
-    return _keep(docs, classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    """One row of each class of near copies, that of the smallest id: five-word shingles, similarity 0.8 or more."""
+    keepers = jaccard_keepers(docs, width=5, percent=80)
+    keepers = save(keepers.select(row_key(F.col("text_key")).alias("row"), "copies"))
+    repeated = _keep(docs, keepers.where("copies > 1").select("row")).dropDuplicates(["doc_id", "text"])
+    return _keep(docs, keepers.where("copies = 1").select("row")).unionByName(repeated)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark passage."""
-    found = benchmark_matches(docs, read_table(spark, sf_dir, "benchmark"))
-    return _keep(docs, found.where("spans is null").select("doc_id"))
+    found = benchmark_matches(docs.select(row_key().alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    return _keep(docs, found.where("spans is null").select(F.col("doc_id").alias("row")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +49,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is among ``ids``; ids of a stage's input are its key."""
-    wanted = ids.distinct().withColumnRenamed("doc_id", "__id")
-    return docs.join(wanted, docs.doc_id.eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS)
+def _keep(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose key of id and text is among ``rows``; ids may be null or repeated."""
+    return docs.withColumn("row", row_key()).join(rows.distinct(), "row", "left_semi").select(*COLUMNS)
 
 
 STAGES: list[tuple[str, Stage]] = [

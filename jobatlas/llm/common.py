@@ -36,6 +36,16 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
+def text_key() -> Column:
+    """64-bit hash of the text's bytes."""
+    return F.xxhash64(text_bytes())
+
+
+def row_key(key: Column | None = None) -> Column:
+    """64-bit hash of id and text (or of the id and the given text key); null ids are told apart by their texts."""
+    return F.xxhash64(F.col("doc_id"), text_key() if key is None else key)
+
+
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids get null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

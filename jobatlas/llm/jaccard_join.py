@@ -196,13 +196,8 @@ def _close_pairs(members: DataFrame, classes: DataFrame | None, sketches: DataFr
     return pairs
 
 
-def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text, ...): classes of linked sets.
-
-    Sets of ``width``-word shingles are linked at a similarity of ``percent`` or more.  A component is named by its
-    smallest doc_id.  Null and empty texts have no set and link with nothing; a null doc_id is never a name unless all
-    ids of a class are null.  Equal sets are one set; repeated rows stay.
-    """
+def _classed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, text_key, n_shingles, class) of every row of ``docs``; rows without a set have no class."""
     spark = docs.sparkSession
     table = save(set_table(docs, width, percent))
     sketches = save(table.where("set_id is not null").select("set_id", "bits", "wide").dropDuplicates(["set_id"]))
@@ -222,13 +217,36 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     if classes is None:
         classes = spark.createDataFrame([], "id long, component long")
     named = table.join(classes, table.set_id == classes.id, "left")
-    named = named.select("doc_id", "n_shingles", "set_id", F.coalesce("component", "set_id").alias("class"))
+    return named.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "set_id").alias("class"))
+
+
+def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text, ...): classes of linked sets.
+
+    Sets of ``width``-word shingles are linked at a similarity of ``percent`` or more.  A component is named by its
+    smallest doc_id.  Null and empty texts have no set and link with nothing; a null doc_id is never a name unless all
+    ids of a class are null.  Equal sets are one set; repeated rows stay.
+    """
+    named = _classed(docs, width, percent)
     names = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("name"))
     out = named.where("class is not null").join(names, "class").select("doc_id", "n_shingles", F.col("name").alias("component_id"))
     alone = named.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 
 
+def jaccard_keepers(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, text_key, copies): the row to keep of each class, and every row without a set.
+
+    That is the row of the smallest id, of a null id only if the class has no other, of the smallest key among equal
+    ids; ``copies`` counts its repetitions in ``docs`` (1 without a set: those link with nothing).
+    """
+    named = _classed(docs, width, percent)
+    rows = named.where("class is not null").groupBy("class", "doc_id", "text_key").agg(F.count("*").alias("copies"))
+    kept = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "copies")).alias("one"))
+    alone = named.where("class is null").select("doc_id", "text_key", F.lit(1).cast("long").alias("copies")).distinct()
+    return kept.select("one.doc_id", "one.text_key", "one.copies").unionByName(alone)
+
+
 def _pairs(docs: DataFrame, table: DataFrame, width: int, percent: int) -> DataFrame:
     """Saved (a, b), a < b: every two different sets of the saved ``table`` that reach the threshold.
 

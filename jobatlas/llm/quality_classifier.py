@@ -30,15 +30,16 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def feature_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): statistics of every row."""
+def feature_table(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, x, *carry): statistics of every row; ``carry`` names whole-number columns that go through."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.array([statistics(t) for t in batch.column(1).to_pylist()], dtype=np.float64)
         offsets = np.arange(len(x) + 1, dtype=np.int32) * FEATURES
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.ravel()))], ["doc_id", "x"])
+        values = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.ravel())), *batch.columns[2:]]
+        return pa.RecordBatch.from_arrays(values, ["doc_id", "x", *carry])
 
-    return map_batches(docs.select("doc_id", text_bytes().alias("body")), run, "doc_id long, x array<double>")
+    return map_batches(docs.select("doc_id", text_bytes().alias("body"), *carry), run, "doc_id long, x array<double>" + "".join(f", {c} long" for c in carry))
 
 
 @dataclass
@@ -134,14 +135,14 @@ def fit(labelled: DataFrame, seed: int = 11) -> Model:
     return model
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, held_out_bucket: int = 1, buckets: int = 3) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text, ...).
+def quality_scores(docs: DataFrame, labels: DataFrame, held_out_bucket: int = 1, buckets: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted, *carry) of every row of ``docs`` (doc_id, text, ...).
 
     Labels are (doc_id, quality); rows whose id bucket is ``held_out_bucket`` are never learnt from, nor are null ids or
     null labels; an id with several labels counts with their mean.  Null and empty texts are scored by their (zero)
     statistics.  A null id is not held out.
     """
-    features = save(feature_table(docs))
+    features = save(feature_table(docs, carry))
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label"))
     known = known.where(id_bucket("doc_id", buckets) != held_out_bucket)
     labelled = save(features.join(known, "doc_id").select("x", "label"))
@@ -149,11 +150,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out_bucket: int = 1,
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         score = model.score(_matrix(batch))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+        values = [batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), *batch.columns[2:]]
+        return pa.RecordBatch.from_arrays(values, ["doc_id", "score", "predicted", *carry])
 
-    scored = map_batches(features, run, "doc_id long, score double, predicted int")
+    scored = map_batches(features, run, "doc_id long, score double, predicted int" + "".join(f", {c} long" for c in carry))
     held = F.coalesce(id_bucket("doc_id", buckets) == held_out_bucket, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted", *carry)
 
 
 def op10_quality_classifier(spark, sf_dir) -> DataFrame:

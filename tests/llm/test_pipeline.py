@@ -1,12 +1,15 @@
 """Registered queries against their SQL twins, and the pipeline against brute force."""
 
+import random
 import re
+from collections import Counter
 
 import corpus_pipeline
 import duckdb
 import pytest
 from jobatlas.llm.queries import ORACLES, QUERIES
-from test_duplicates import classes
+from messy import prose, rows
+from test_duplicates import classes, sets_of
 from test_scans import matches
 
 
@@ -58,3 +61,40 @@ def test_stages_decide_as_brute_force(spark, small):
 def test_run_equals_the_stages(spark, small):
     got = corpus_pipeline.run(spark, small)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 0
+
+
+def test_stages_decide_each_row_of_the_messy_table(spark, docs, monkeypatch):
+    shared, lone = rows()[6][1], " ".join(f"w{i}" for i in range(40))
+    more = [(None, lone), (None, lone + " end"), (None, lone), (300, lone + " x"), (301, "k " * 30 + lone), (301, shared)]
+    more += [(None, " ".join(f"v{i}" for i in range(40)) + " tail" * k) for k in (0, 1)] + [(400 + i, prose(random.Random(i), 60)) for i in range(40)] + [(500 + i, None) for i in range(40)]
+    table = docs.select(*corpus_pipeline.COLUMNS).unionByName(spark.createDataFrame([(i, t, None, None, None) for i, t in more], docs.select(*corpus_pipeline.COLUMNS).schema))
+    own = [(r[0], r[1]) for r in rows()] + more
+    tables = {
+        "labels": spark.createDataFrame([(400 + i, 1) for i in range(40)] + [(500 + i, 0) for i in range(40)], "doc_id long, quality int"),
+        "benchmark": spark.createDataFrame([(1, " ".join(shared.split()[3:16]))], "item_id long, text string"),
+    }
+    monkeypatch.setattr(corpus_pipeline, "read_table", lambda spark, sf_dir, name: tables[name])
+    got = {name: Counter((r[0], r[1]) for r in stage(spark, table, "").select(*corpus_pipeline.COLUMNS[:2]).collect()) for name, stage in corpus_pipeline.STAGES[:-1]}
+
+    kept = got["quality classifier"]
+    assert kept[6, shared] == 2 and kept[None, shared] == 1 and not kept[0, None] and not kept[None, None]
+    items = [(1, tables["benchmark"].first().text)]
+    assert got["decontamination"] == Counter(p for p in own if not matches(p[1], items)[1])
+    assert got["decontamination"][None, None] == 1 and not got["decontamination"][None, shared]
+    sets, classed = sets_of([t for _, t in own], 5), {}
+    up = list(range(len(own)))
+    for x, a in enumerate(sets):
+        for y in range(x):
+            if a and 100 * len(a & sets[y]) >= 80 * len(a | sets[y]):
+                up = [up[x] if u == up[y] else u for u in up]
+    for x, top in enumerate(up):
+        classed.setdefault(top, []).append(own[x])
+    kept = got["near duplicates"]
+    assert sum(kept.values()) == len(classed)
+    for group in classed.values():
+        low = min((i for i, _ in group if i is not None), default=None)
+        assert any(kept[i, t] for i, t in group if i == low)
+    assert kept[6, shared] == 1 and not kept[None, shared] and sum(n for (i, t), n in kept.items() if i is None and t) == 1
+    assert Counter(i for i, _ in got["secret redaction"].elements()) == Counter(i for i, _ in own)
+    packed = corpus_pipeline.packing(spark, table, "").select("doc_id").distinct().collect()
+    assert {r.doc_id for r in packed} == {i for i, _ in own}
