@@ -1,6 +1,6 @@
 """Queries over the given tables and the SQL twins of those that SQL can express."""
 
-from jobatlas.llm import decontaminate, jaccard_join, language_id, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts, warc
+from jobatlas.llm import bpe_automaton, decontaminate, jaccard_join, language_id, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op13_bpe_codec": bpe_automaton.op13_bpe_codec,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
