@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobatlas.llm.common import Memo, read_table, save, text_bytes
+from jobatlas.llm.word_batches import Words, slices
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 2048, 0
@@ -44,14 +45,14 @@ class WordTokenizer:
         text = piece.encode().decode("latin-1").translate(self.visible)
         return np.array([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes()
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
+    def _word(self, text: str) -> bytes:
         if "<|" in text or not _PLAIN.fullmatch(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
 
     def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))
+        """Ids of one text."""
+        return b"".join(self.words[w.decode("utf-8", "replace")] for w in text.split())
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -75,20 +76,29 @@ def piece_table(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | Non
 
     def run(batches):
         tokenizer = word_tokenizer(path)
-        task, seen = TaskContext.get().partitionId(), defaultdict(int)
+        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         end = np.array([END], dtype="<u4").tobytes()
         for batch in batches:
-            rows: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tokenizer.ids(text) + end
-                for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[lo : lo + 4 * capacity]
-                    size = len(own) // 4
-                    rows.append((key, k, lo // 4, size, zlib.crc32(own), task, seen[size]))
-                    seen[size] += 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
+            for part in slices(batch, "body"):
+                flat, ends = Words(part.column("body")).gather(tokenizer.words.__getitem__, end)
+                ends //= 4
+                sizes = np.diff(ends, prepend=0)
+                pieces = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(sizes)), pieces)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = place * capacity
+                length = np.minimum(sizes[row] - start, capacity)
+                low = (ends - sizes)[row] + start
+                buffer = memoryview(flat)
+                crcs = [zlib.crc32(buffer[lo : lo + n]) for lo, n in zip((4 * low).tolist(), (4 * length).tolist(), strict=True)]
+                # Number among the equally long pieces of this task.
+                order = np.argsort(length, kind="stable")
+                run_starts = np.searchsorted(length[order], length[order])
+                among = np.empty(len(row), dtype=np.int64)
+                among[order] = np.arange(len(row)) - run_starts + seen[length[order]]
+                seen += np.bincount(length, minlength=capacity + 1)
+                columns = [part.column("doc_id").take(pa.array(row)), pa.array(place, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(np.full(len(row), task), pa.int32()), pa.array(among)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"
     return save(docs.select("doc_id", text_bytes().alias("body")).mapInArrow(run, schema))

@@ -13,15 +13,24 @@ from pyspark.sql import functions as F
 from jobatlas.llm.common import lists, read_table, save, text_bytes
 from jobatlas.llm.packing import default_vocabulary, word_tokenizer
 from jobatlas.llm.shared_files import new_folder, open_output, read_range
+from jobatlas.llm.word_batches import Words, slices
 
 #: Bytes of a token, tokens after which a task begins another file, tokens of a block that is scanned at once.
 WIDTH, FILE_TOKENS, BLOCK_TOKENS = 2, 64 << 20, 1 << 20
-#: The vocabulary's <|endoftext|>; the text of that token itself is never encoded as it.
-END = 49407
+#: Separator: the largest 16-bit number, which is no id of the vocabulary, so every token of a text is kept.
+END = 65535
 #: Documents of one manifest row.
 MANIFEST_DOCS = 4096
 
 
+def _ids(tokenizer, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """16-bit ids of each text of a batch (doc_id, body), END after each."""
+    end = np.array([END], dtype="<u4").tobytes()
+    for part in slices(batch, "body"):
+        flat, ends = Words(part.column("body")).gather(tokenizer.words.__getitem__, end)
+        yield from np.split(flat.view("<u4").astype("<u2"), ends[:-1] // 4)
+
+
 def write_token_files(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Write the tokens of ``docs`` (doc_id, text, ...) end to end, END after each document.
 
@@ -41,12 +50,10 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None) -> DataFra
             )
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, own in zip(batch.column(0).to_pylist(), _ids(tokenizer, batch), strict=True):
                 if out is None:
                     uri, size, first = f"{folder}/{uuid.uuid4().hex}.bin", 0, 0
                     out = open_output(uri)
-                own = np.frombuffer(tokenizer.ids(text), dtype="<u4")
-                own = np.append(own[own != END], END).astype("<u2")
                 out.write(own.tobytes())
                 size, written = size + len(own), written + len(own)
                 ids.append(key)
