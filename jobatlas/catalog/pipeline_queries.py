@@ -15,13 +15,12 @@ from jobatlas.plans import normalize
 
 
 def benchmark_taxonomy(spark, sf):
-    """Skills are the longer words of the benchmark texts and their neighbouring pairs."""
+    """Skills are all words of the benchmark texts and all pairs of neighbouring ones, in alphabetical order."""
     words = table(spark, sf, "benchmark").select(word_tokens(norm_match(F.col("text"))).alias("w"))
-    single = words.select(F.explode("w").alias("name")).where(F.length("name") >= 6)
-    pairs = words.select(F.explode(F.expr("transform(sequence(1, size(w) - 1), i -> concat_ws(' ', w[i - 1], w[i]))")).alias("name"))
-    names = single.union(pairs.where(F.length("name") >= 12)).distinct()
-    return names.select(
-        "name", F.array().cast("array<string>").alias("aliases"), F.row_number().over(W.orderBy("name")).alias("taxonomy_order"))
+    single = words.select(F.explode("w").alias("name"))
+    pairs = words.where(F.size("w") > 1).select(F.explode(F.expr("transform(sequence(1, size(w) - 1), i -> concat_ws(' ', w[i - 1], w[i]))")).alias("name"))
+    names = single.union(pairs).distinct().orderBy("name")
+    return names.select("name", F.array().cast("array<string>").alias("aliases"), F.monotonically_increasing_id().alias("taxonomy_order"))
 
 
 def normalized_documents(spark, sf):
@@ -30,17 +29,34 @@ def normalized_documents(spark, sf):
 
 NORM_DOC = r"trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+', ' ', 'g'))"
 WORDS = r"'[\pL\pN\pM_]+'"
+PIECES = r"'[\pL\pN\pM_]+|[^\pL\pN\pM_]+'"
+BENCH = {
+    "bw": f"SELECT item_id, regexp_extract_all({NORM_DOC}, {WORDS}) AS w FROM benchmark",
+    "bench": """SELECT DISTINCT name FROM (SELECT unnest(w) AS name FROM bw
+        UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM bw)""",
+    "nd": f"SELECT doc_id, {NORM_DOC} AS text FROM documents",
+    "pc": f"SELECT doc_id, unnest(regexp_extract_all(text, {PIECES})) AS p, generate_subscripts(regexp_extract_all(text, {PIECES}), 1) AS i FROM nd",
+    "tk": """SELECT doc_id, i, p, sum(length(p)) OVER w - length(p) AS start, lead(p) OVER w AS gap, lead(p, 2) OVER w AS later FROM pc WINDOW w AS (PARTITION BY doc_id ORDER BY i)""",
+    "cand": """SELECT doc_id, start, p AS name FROM tk WHERE EXISTS (FROM bench WHERE name = p)
+        UNION ALL SELECT doc_id, start, p || ' ' || later FROM tk WHERE gap = ' ' AND EXISTS (FROM bench WHERE name = p || ' ' || later)""",
+}
 
 
-@query(with_ctes("""SELECT t.doc_id, b.w AS skill FROM (SELECT DISTINCT doc_id, w FROM dt) t JOIN bench b ON b.w = t.w""",
-    dt=f"SELECT doc_id, unnest(regexp_extract_all({NORM_DOC}, {WORDS})) AS w FROM documents",
-    bench=f"SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all({NORM_DOC}, {WORDS})) AS w FROM benchmark) WHERE len(w) >= 6"))
+@query(with_ctes("SELECT DISTINCT doc_id, name AS skill FROM cand", **BENCH))
 def dictionary_skill_presence(spark, sf):
-    words = benchmark_taxonomy(spark, sf).where(~F.col("name").contains(" "))
-    return matching.find_skills(normalized_documents(spark, sf), matching.alias_table(words), "doc_id").select("doc_id", "skill")
-
-
-@query()
+    return matching.find_skills(normalized_documents(spark, sf), matching.alias_table(benchmark_taxonomy(spark, sf)), "doc_id").select("doc_id", "skill")
+
+
+@query("WITH RECURSIVE " + ", ".join(f"{k} AS ({v})" for k, v in BENCH.items()) + r""",
+    free AS (SELECT c.*, start + length(name) AS stop FROM cand c JOIN nd USING (doc_id)
+        WHERE NOT regexp_matches(substr(text, greatest(start - 54, 1)::bigint, least(start, 55)::bigint), '((không|chưa)\s+(yêu cầu|bắt buộc|cần)(\s+(ứng viên|phải|biết|sử dụng|thành thạo)){0,4}\s*|(not|required no|without)\s+)$')
+          AND NOT regexp_matches(substr(text, (start + length(name) + 1)::bigint, 35), '^\s*((là\s+)?(không|chưa)\s+(bắt buộc|cần thiết|yêu cầu)|(is\s+)?not\s+required)')),
+    fresh AS (SELECT *, coalesce(start >= max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::int AS f FROM free),
+    clusters AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY start, stop) AS k FROM fresh),
+    step AS (SELECT doc_id, k, list({'r': start - stop, 'start': start, 'name': name, 'stop': stop} ORDER BY start - stop, start, name) AS rest, [] ::varchar[] AS kept FROM clusters GROUP BY doc_id, k
+        UNION ALL SELECT doc_id, k, list_filter(rest, lambda x: x.start >= rest[1].stop OR x.stop <= rest[1].start), list_append(kept, rest[1].name) FROM step WHERE len(rest) > 0),
+    got AS (SELECT DISTINCT doc_id, unnest(kept) AS name FROM step WHERE len(rest) = 0)
+    SELECT doc_id, count(*) AS n_skills, md5(string_agg(name, '|' ORDER BY name)) AS skills FROM got GROUP BY doc_id""")
 def dictionary_skill_tags(spark, sf):
     tagged = matching.tag_skills(normalized_documents(spark, sf), matching.alias_table(benchmark_taxonomy(spark, sf)), "doc_id")
     return tagged.select("doc_id", F.size("skills").cast("long").alias("n_skills"), F.md5(F.array_join("skills", "|")).alias("skills"))

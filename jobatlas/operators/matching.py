@@ -23,6 +23,7 @@ NEGATED_BEFORE = (
     r"(?U)(?:(?:không|chưa)\s+(?:yêu cầu|bắt buộc|cần)"
     r"(?:\s+(?:ứng viên|phải|biết|sử dụng|thành thạo)){0,4}\s*|(?:not|required no|without)\s+)$"
 )
+NEGATION_WORDS = ("không", "chưa", "not ", "required no ", "without ")
 NEGATED_AFTER = r"(?U)^\s*(?:(?:là\s+)?(?:không|chưa)\s+(?:bắt buộc|cần thiết|yêu cầu)|(?:is\s+)?not\s+required)"
 
 
@@ -49,13 +50,35 @@ def text_keys(text: Column) -> Column:
 
 
 def alias_table(taxonomy: DataFrame) -> DataFrame:
-    """One row per normalized alias (canonical name included) from ``name, aliases, taxonomy_order``."""
+    """One row per normalized alias (canonical name included) from ``name, aliases, taxonomy_order``.
+
+    An alias is cut into what stands before its first word, its words with the gaps between them, and what follows the
+    last word.  ``alias_key`` are its first one or two words as they stand; ``settled`` tells that nothing else is left to
+    compare where the key occurs.
+    """
     names = F.array_distinct(
         F.transform(F.concat(F.array(F.col("name")), F.col("aliases")), norm_match)
     )
-    return taxonomy.select(
-        F.col("name").alias("skill"), "taxonomy_order", F.explode(names).alias("alias")
-    ).withColumn("alias_key", leading_key(F.col("alias")))
+    rows = taxonomy.select(F.col("name").alias("skill"), "taxonomy_order", F.explode(names).alias("alias")).where("alias <> ''")
+    parts = pieces(F.col("alias"))
+    rows = rows.withColumn("_p", parts).withColumn("_first", _first_word(F.col("_p")))
+    words = F.ceil((F.size("_p") - F.col("_first") + 1) / 2).cast("int")
+    last = F.col("_first") + 2 * F.col("n_words") - 2
+    rows = rows.withColumn("n_words", F.greatest(words, F.lit(0))).withColumn("_last", last)
+    some = F.col("n_words") > 0
+    rows = rows.withColumn("head", F.when(some & (F.col("_first") == 2), F.get("_p", F.lit(0))).otherwise("")).withColumn(
+        "tail", F.when(some & (F.size("_p") > F.col("_last")), F.get("_p", F.col("_last"))).otherwise(""))
+    middle = F.array_join(F.slice("_p", F.col("_first"), F.greatest(2 * F.col("n_words") - 1, F.lit(0))), "")
+    key = F.array_join(F.slice("_p", F.col("_first"), F.least(2 * F.col("n_words") - 1, F.lit(3))), "")
+    rows = rows.withColumn("middle", F.when(some, middle).otherwise("")).withColumn("alias_key", F.when(some, key).otherwise(""))
+    # Only a border between words lets an alias begin again before it has ended.
+    size = F.length("alias")
+    apart = lambda at: ~F.substring(F.col("alias"), at, F.lit(1)).rlike(r"(?U)\w")
+    borders = F.exists(F.sequence(F.lit(1), size), lambda n: (n < size) & apart(size - n) & apart(n + 1) & (F.left("alias", n) == F.right("alias", n)))
+    return rows.select(
+        "skill", "taxonomy_order", "alias", "alias_key", "head", "middle", "tail", "n_words",
+        (some & (F.col("alias_key") == F.col("alias"))).alias("settled"), borders.alias("may_overlap_itself"),
+    )
 
 
 def _candidates(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
@@ -72,25 +95,139 @@ def posting_text(title: Column, description: Column) -> Column:
     return norm_match(F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), relevant_description(description)))
 
 
+def pieces(text: Column) -> Column:
+    """Words and the gaps between them, in turn; together they are the text."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)(\w+|\W+)"), F.lit(1))
+
+
+def _first_word(parts: Column) -> Column:
+    """Number of the first word among the pieces, from one."""
+    return F.when(F.get(parts, F.lit(0)).rlike(r"(?U)^\w"), 1).otherwise(2)
+
+
+def token_table(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, wary, at, alias_key``: every word and every two neighbouring words with their gap, at their piece number.
+
+    ``wary`` marks texts with a word of negation.  Nothing of a text but its words travels on.
+    """
+    def keys(parts: Column) -> Column:
+        first = _first_word(parts)
+        numbers = F.when(F.size(parts) >= first, F.sequence(first, F.greatest(F.size(parts), first), F.lit(2)))
+
+        def at(i: Column) -> Column:
+            one = F.struct(i.alias("at"), F.get(parts, i - 1).alias("alias_key"))
+            two = F.concat(F.get(parts, i - 1), F.get(parts, i), F.get(parts, i + 1))
+            return F.array(one, F.struct(i.alias("at"), two.alias("alias_key")))
+
+        return F.filter(F.flatten(F.transform(numbers, at)), lambda k: k.alias_key.isNotNull())
+
+    wary = F.lit(False)
+    for word in NEGATION_WORDS:
+        wary = wary | F.col(text).contains(word)
+    each = texts.select(F.col(key).alias("_key"), wary.alias("wary"), F.explode(let(pieces(F.col(text)), keys)).alias("k"))
+    return each.select(F.col("_key").alias(key), "wary", "k.at", "k.alias_key")
+
+
+def _alias_hits(texts: DataFrame, aliases: DataFrame, key: str, text: str, wary: bool) -> DataFrame:
+    """``key, skill, taxonomy_order, alias, start, end`` of every occurrence, less the negated ones if ``wary``.
+
+    Words and pairs meet the dictionary in one equi-join.  Most hits are settled by it.  The others, and those in texts
+    with a negation, are gathered per text and compared with its pieces, so a text is joined at most once.  Places are
+    numbers of a piece times 2**32 plus characters into it, and order as characters do.
+    """
+    columns = ("skill", "taxonomy_order", "alias", "head", "middle", "tail", "n_words", "may_overlap_itself")
+    worded = aliases.where("n_words > 0")
+    met = token_table(texts, key, text).join(worded.select("alias_key", "settled", *columns), "alias_key")
+    place = lambda i: i.cast("long") * F.lit(1 << 32)
+    after = F.col("at") + 2 * F.col("n_words") - 1
+    done = F.col("settled") & ~F.col("wary") & ~F.col("may_overlap_itself") if wary else F.col("settled")
+    found = (key, "skill", "taxonomy_order", "alias")
+    settled = met.where(done).select(*found, place(F.col("at")).alias("start"), place(after).alias("end"))
+    open_ = met.where(~done).groupBy(key).agg(F.collect_list(F.struct("at", *columns)).alias("_hits"))
+    bare = aliases.where("n_words = 0")
+
+    def before(parts: Column, i: Column) -> Column:
+        return F.when(i >= 2, F.get(parts, i - 2)).otherwise("")
+
+    def behind(parts: Column, h: Column) -> Column:
+        return F.coalesce(F.get(parts, h.at + 2 * h.n_words - 2), F.lit(""))
+
+    def stands(parts: Column, h: Column) -> Column:
+        gap, more = before(parts, h.at), behind(parts, h)
+        words = F.array_join(F.slice(parts, h.at, F.least(2 * h.n_words - 1, F.size(parts) - h.at + 1)), "")
+        left = (h.head == "") | (gap.endswith(h.head) & ((F.length(gap) > F.length(h.head)) | (h.at == 2)))
+        end = h.at + 2 * h.n_words - 1
+        right = (h.tail == "") | (more.startswith(h.tail) & ((F.length(more) > F.length(h.tail)) | (end == F.size(parts))))
+        return (words == h.middle) & left & right
+
+    def negated(parts: Column, h: Column) -> Column:
+        low = F.greatest(h.at - 56, F.lit(1))
+        ahead = F.array_join(F.slice(parts, low, h.at - low), "")
+        ahead = F.left(ahead, F.length(ahead) - F.length(h.head))
+        end = h.at + 2 * h.n_words - 1
+        rest = F.array_join(F.slice(parts, end, F.lit(36)), "")
+        rest = F.substring(rest, F.length(h.tail) + 1, F.lit(35))
+        return F.right(ahead, F.lit(55)).rlike(NEGATED_BEFORE) | rest.rlike(NEGATED_AFTER)
+
+    def one_by_one(hits: Column) -> Column:
+        """Without those that begin inside an earlier kept one of the same alias, as in a scan from left to right."""
+        again = F.array_sort(F.transform(F.filter(hits, lambda h: h.may_overlap_itself), lambda h: F.struct(h["alias"].alias("a"), h.at.alias("at"), h.alias("h"))))
+        state = F.struct(F.lit(None).cast("string").alias("a"), F.lit(0).alias("end"), F.filter(hits, lambda h: ~h.may_overlap_itself).alias("kept"))
+
+        def step(s: Column, x: Column) -> Column:
+            kept = F.struct(x.a.alias("a"), (x.at + 2 * x.h.n_words - 1).alias("end"), F.concat(s.kept, F.array(x.h)).alias("kept"))
+            return F.when((s.a == x.a) & (x.at < s.end), s).otherwise(kept)
+
+        return F.aggregate(again, state, step, lambda s: s.kept)
+
+    def spans(parts: Column, hits: Column) -> Column:
+        kept = F.filter(hits, lambda h: stands(parts, h))
+        if wary:
+            kept = F.filter(one_by_one(kept), lambda h: ~negated(parts, h))
+        return F.transform(kept, lambda h: F.struct(
+            h.skill.alias("skill"), h.taxonomy_order.alias("taxonomy_order"), h["alias"].alias("alias"),
+            F.when(h.head == "", place(h.at)).otherwise(place(h.at - 1) + F.length(before(parts, h.at)) - F.length(h.head)).alias("start"),
+            (place(h.at + 2 * h.n_words - 1) + F.length(h.tail)).alias("end")))
+
+    checked = open_.join(texts.select(key, F.col(text).alias("_text")), key)
+    checked = checked.select(key, F.explode(let(pieces(F.col("_text")), lambda p: spans(p, F.col("_hits")))).alias("s")).select(key, "s.*")
+    return settled.unionByName(checked).unionByName(_bare_hits(texts, bare, key, text, wary))
+
+
+def _bare_hits(texts: DataFrame, bare: DataFrame, key: str, text: str, wary: bool) -> DataFrame:
+    """Occurrences of aliases without any word character, which lie inside one gap; they meet gaps by a first character."""
+    def gaps(parts: Column) -> Column:
+        numbered = F.transform(parts, lambda g, i: F.struct((i + 1).alias("at"), g.alias("gap")))
+        return F.filter(numbered, lambda x: ~x.gap.rlike(r"(?U)^\w") & (x.gap != " "))
+
+    each = texts.select(key, F.col(text).alias("_text"), F.size(pieces(F.col(text))).alias("_n"), F.explode(let(pieces(F.col(text)), gaps)).alias("g"))
+    light = each.select(key, "_n", "g.at", "g.gap", F.explode(F.array_distinct(F.split("g.gap", ""))).alias("_c"))
+    met = light.join(bare.select("skill", "taxonomy_order", "alias", F.left("alias", F.lit(1)).alias("_c")), "_c").where(F.col("gap").contains(F.col("alias")))
+    size = F.length("alias")
+    free = lambda i: ((i > 1) | (F.col("at") == 1)) & ((i + size <= F.length("gap")) | (F.col("at") == F.col("_n")))
+    fits = F.filter(F.sequence(F.lit(1), F.length("gap")), lambda i: (F.substring(F.col("gap"), i, size) == F.col("alias")) & free(i))
+    apart = F.aggregate(
+        fits, F.array().cast("array<int>"),
+        lambda kept, i: F.when(i < F.coalesce(F.try_element_at(kept, F.lit(-1)) + size, F.lit(0)), kept).otherwise(F.concat(kept, F.array(i))))
+    at = met.select("*", F.explode(apart).alias("i"))
+    base = F.col("at").cast("long") * F.lit(1 << 32)
+    hits = at.select(key, "skill", "taxonomy_order", "alias", (base + F.col("i") - 1).alias("start"), (base + F.col("i") - 1 + size).alias("end"))
+    if not wary:
+        return hits
+    joined = hits.join(texts.select(key, pieces(F.col(text)).alias("_p")), key)
+    piece, inside, stop = (F.shiftright("start", 32).cast("int"), (F.col("start") % (1 << 32)).cast("int"), (F.col("end") % (1 << 32)).cast("int"))
+    low = F.greatest(piece - 56, F.lit(1))
+    ahead = F.concat(F.array_join(F.slice("_p", low, piece - low), ""), F.left(F.get("_p", piece - 1), inside))
+    rest = F.substring(F.array_join(F.slice("_p", piece, F.lit(37)), ""), stop + 1, F.lit(35))
+    return joined.where(~F.right(ahead, F.lit(55)).rlike(NEGATED_BEFORE) & ~rest.rlike(NEGATED_AFTER)).select(*hits.columns)
+
+
 def alias_mentions(texts: DataFrame, aliases: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """Every boundary-safe, not negated occurrence of every alias.  ``text`` is normalized."""
-    width = F.length("alias")
-
-    def ends_of(pieces: Column) -> Column:
-        return F.aggregate(
-            F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-            F.array().cast("array<int>"),
-            lambda acc, p: F.concat(
-                acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(p) + width)),
-        )
-
-    ends = let(F.split(F.col(text), boundary_pattern(F.col("alias")), -1), ends_of)
-    found = _candidates(texts, key, text, aliases).select(
-        key, text, "skill", "taxonomy_order", "alias", F.explode(ends).alias("end")
-    ).withColumn("start", F.col("end") - F.length("alias"))
-    before = F.substring(F.col(text), F.greatest(F.col("start") - 54, F.lit(1)), F.least(F.col("start"), F.lit(55)))
-    after = F.substring(F.col(text), F.col("end") + 1, F.lit(35))
-    return found.where(~before.rlike(NEGATED_BEFORE) & ~after.rlike(NEGATED_AFTER)).drop(text)
+    """Every boundary-safe, not negated occurrence of every alias: ``key, skill, taxonomy_order, alias, start, end``.
+
+    ``text`` is normalized.  Texts that are null or hold no alias give no row; ``key`` must be unique.
+    """
+    return _alias_hits(texts, aliases, key, text, True)
 
 
 def resolve_overlaps(mentions: DataFrame, key: str = "id") -> DataFrame:
@@ -130,10 +267,7 @@ def tag_skills(texts: DataFrame, aliases: DataFrame, key: str = "id", text: str
 
 def find_skills(texts: DataFrame, aliases: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """Presence only: which skills have any alias in the text, without overlap or negation rules."""
-    hits = _candidates(texts, key, text, aliases)
-    return hits.where(F.regexp_like(F.col(text), boundary_pattern(F.col("alias")))).select(
-        key, "skill", "taxonomy_order"
-    ).distinct()
+    return _alias_hits(texts, aliases, key, text, False).select(key, "skill", "taxonomy_order").distinct()
 
 
 def resolve_labels(labels: DataFrame, aliases: DataFrame, label: str = "label") -> DataFrame:

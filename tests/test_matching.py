@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def brute(text):
 
 
 def test_greedy_selection_equals_brute_force(spark):
-    import random
+
 
     rng = random.Random(3)
     words = ["react", "native", "sql", "my", "python", "c++", ".net", "kế", "toán", "c", "x,", "and"]
@@ -53,6 +54,34 @@ def test_greedy_selection_equals_brute_force(spark):
     assert tags(spark, texts) == [brute(t) for t in texts]
 
 
+def test_every_kind_of_alias_against_a_scan(spark):
+    """Words, pairs, long phrases, signs before, after and alone, aliases that overlap themselves; with negations."""
+    rng = random.Random(8)
+    names = ["a b", "b a", "a a", "a b a", "a", "b", "c++", ".net", "#", "++", "x-y", "a b c d", "-a-", "đ e", "c"]
+    rows = [(n, [], i) for i, n in enumerate(names)]
+    table = matching.alias_table(spark.createDataFrame(rows, "name string, aliases array<string>, taxonomy_order int"))
+    bits = ["a", "b", "c", "d", "x-y", "c++", ".net", "#", "++", "+++", "-a-a-", "not", "không yêu cầu", "đ", "e", ",", "not required", "x", "y#", "a-"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(300)] + ["", "++", "a", "#a#", "a a a a a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: r["skills"] for r in matching.tag_skills(df, table).collect()}
+    seen = {(r["id"], r["skill"]) for r in matching.find_skills(df, table).collect()}
+    for i, text in enumerate(texts):
+        found = []
+        for order, alias in enumerate(names):
+            for m in re.finditer(rf"(?<!\w){re.escape(alias)}(?!\w)", text):
+                before, after = text[max(0, m.start() - 55) : m.start()], text[m.end() : m.end() + 35]
+                no = re.search(r"(?:không|chưa)\s+(?:yêu cầu|bắt buộc|cần)(?:\s+(?:ứng viên|phải|biết|sử dụng|thành thạo)){0,4}\s*$|(?:not|required no|without)\s+$", before)
+                if not no and not re.match(r"\s*(?:là\s+)?(?:không|chưa)\s+(?:bắt buộc|cần thiết|yêu cầu)|\s*(?:is\s+)?not\s+required", after):
+                    found.append((m.start() - m.end(), m.start(), order, m.end()))
+            assert ((i, alias) in seen) == bool(re.search(rf"(?<!\w){re.escape(alias)}(?!\w)", text)), (text, alias)
+        taken, kept = [], set()
+        for _, start, order, end in sorted(found):
+            if all(end <= s or e <= start for s, e in taken):
+                taken.append((start, end))
+                kept.add(order)
+        assert got.get(i, []) == [names[k] for k in sorted(kept)], text
+
+
 def test_title_mapping(spark):
     kb = spark.createDataFrame([("web", ["web developer", "developer"]), ("data", ["data analyst", "analyst"]), ("qa", ["qa"]), ("ops", ["hr"])],
                                "career_id string, title_patterns array<string>")
