@@ -243,7 +243,7 @@ def resolve_overlaps(mentions: DataFrame, key: str = "id") -> DataFrame:
         "_new", F.when(F.col("start") < furthest, 0).otherwise(1)
     ).withColumn("_cluster", cluster)
     item = F.struct(
-        (F.col("start") - F.col("end")).alias("rank"), "start", "taxonomy_order", "end", "skill", "alias"
+        (-F.length("alias")).alias("rank"), "start", "taxonomy_order", "end", "skill", "alias"
     )
     grouped = clustered.groupBy(key, "_cluster").agg(F.array_sort(F.collect_list(item)).alias("m"))
     kept = F.aggregate(
