@@ -48,7 +48,10 @@ def dictionary_skill_presence(spark, sf):
 
 
 @query("WITH RECURSIVE " + ", ".join(f"{k} AS ({v})" for k, v in BENCH.items()) + r""",
-    free AS (SELECT c.*, start + length(name) AS stop FROM cand c JOIN nd USING (doc_id)
+    runs AS (SELECT *, start - (length(name) + 1) // 2 * row_number() OVER (PARTITION BY doc_id, name ORDER BY start) AS run FROM cand),
+    spread AS (SELECT doc_id, start, name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, name, run ORDER BY start) AS k FROM runs)
+        WHERE k % 2 = 1 OR NOT contains(name, ' ') OR split_part(name, ' ', 1) <> split_part(name, ' ', 2)),
+    free AS (SELECT c.*, start + length(name) AS stop FROM spread c JOIN nd USING (doc_id)
         WHERE NOT regexp_matches(substr(text, greatest(start - 54, 1)::bigint, least(start, 55)::bigint), '((không|chưa)\s+(yêu cầu|bắt buộc|cần)(\s+(ứng viên|phải|biết|sử dụng|thành thạo)){0,4}\s*|(not|required no|without)\s+)$')
           AND NOT regexp_matches(substr(text, (start + length(name) + 1)::bigint, 35), '^\s*((là\s+)?(không|chưa)\s+(bắt buộc|cần thiết|yêu cầu)|(is\s+)?not\s+required)')),
     fresh AS (SELECT *, coalesce(start >= max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::int AS f FROM free),

@@ -59,26 +59,31 @@ def alias_table(taxonomy: DataFrame) -> DataFrame:
     names = F.array_distinct(
         F.transform(F.concat(F.array(F.col("name")), F.col("aliases")), norm_match)
     )
-    rows = taxonomy.select(F.col("name").alias("skill"), "taxonomy_order", F.explode(names).alias("alias")).where("alias <> ''")
-    parts = pieces(F.col("alias"))
-    rows = rows.withColumn("_p", parts).withColumn("_first", _first_word(F.col("_p")))
-    words = F.ceil((F.size("_p") - F.col("_first") + 1) / 2).cast("int")
-    last = F.col("_first") + 2 * F.col("n_words") - 2
-    rows = rows.withColumn("n_words", F.greatest(words, F.lit(0))).withColumn("_last", last)
-    some = F.col("n_words") > 0
-    rows = rows.withColumn("head", F.when(some & (F.col("_first") == 2), F.get("_p", F.lit(0))).otherwise("")).withColumn(
-        "tail", F.when(some & (F.size("_p") > F.col("_last")), F.get("_p", F.col("_last"))).otherwise(""))
-    middle = F.array_join(F.slice("_p", F.col("_first"), F.greatest(2 * F.col("n_words") - 1, F.lit(0))), "")
-    key = F.array_join(F.slice("_p", F.col("_first"), F.least(2 * F.col("n_words") - 1, F.lit(3))), "")
-    rows = rows.withColumn("middle", F.when(some, middle).otherwise("")).withColumn("alias_key", F.when(some, key).otherwise(""))
-    # Only a border between words lets an alias begin again before it has ended.
-    size = F.length("alias")
-    apart = lambda at: ~F.substring(F.col("alias"), at, F.lit(1)).rlike(r"(?U)\w")
-    borders = F.exists(F.sequence(F.lit(1), size), lambda n: (n < size) & apart(size - n) & apart(n + 1) & (F.left("alias", n) == F.right("alias", n)))
-    return rows.select(
-        "skill", "taxonomy_order", "alias", "alias_key", "head", "middle", "tail", "n_words",
-        (some & (F.col("alias_key") == F.col("alias"))).alias("settled"), borders.alias("may_overlap_itself"),
-    )
+    # Built inside one array, whose items are bound step by step: later plans see columns, not the work behind them.
+    each = F.explode(F.transform(F.filter(names, lambda n: n != ""), _cut_alias)).alias("a")
+    return taxonomy.select(F.col("name").alias("skill"), "taxonomy_order", each).select("skill", "taxonomy_order", "a.*")
+
+
+def _cut_alias(alias: Column) -> Column:
+    def counted(v: Column) -> Column:
+        words = F.greatest(F.ceil((F.size(v.parts) - v.first + 1) / 2).cast("int"), F.lit(0))
+        return let(F.struct(v.parts.alias("parts"), v.first.alias("first"), words.alias("n"), (v.first + 2 * words - 2).alias("last")), fields)
+
+    def fields(v: Column) -> Column:
+        some = v.n > 0
+        inner = lambda most: F.when(some, F.array_join(F.slice(v.parts, v.first, F.greatest(F.least(2 * v.n - 1, most), F.lit(0))), "")).otherwise("")
+        head = F.when(some & (v.first == 2), F.get(v.parts, F.lit(0))).otherwise("")
+        tail = F.when(some & (F.size(v.parts) > v.last), F.get(v.parts, v.last)).otherwise("")
+        size = F.length(alias)
+        apart = lambda at: ~F.substring(alias, at, F.lit(1)).rlike(r"(?U)\w")
+        # Only a border between words lets an alias begin again before it has ended.
+        borders = F.exists(F.sequence(F.lit(1), size), lambda n: (n < size) & apart(size - n) & apart(n + 1) & (F.left(alias, n) == F.right(alias, n)))
+        key = inner(F.lit(3))
+        return F.struct(
+            alias.alias("alias"), key.alias("alias_key"), head.alias("head"), inner(F.size(v.parts)).alias("middle"), tail.alias("tail"), v.n.alias("n_words"),
+            (some & (key == alias)).alias("settled"), borders.alias("may_overlap_itself"))
+
+    return let(pieces(alias), lambda p: let(F.struct(p.alias("parts"), _first_word(p).alias("first")), counted))
 
 
 def _candidates(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
@@ -110,22 +115,17 @@ def token_table(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     ``wary`` marks texts with a word of negation.  Nothing of a text but its words travels on.
     """
-    def keys(parts: Column) -> Column:
-        first = _first_word(parts)
-        numbers = F.when(F.size(parts) >= first, F.sequence(first, F.greatest(F.size(parts), first), F.lit(2)))
-
-        def at(i: Column) -> Column:
-            one = F.struct(i.alias("at"), F.get(parts, i - 1).alias("alias_key"))
-            two = F.concat(F.get(parts, i - 1), F.get(parts, i), F.get(parts, i + 1))
-            return F.array(one, F.struct(i.alias("at"), two.alias("alias_key")))
-
-        return F.filter(F.flatten(F.transform(numbers, at)), lambda k: k.alias_key.isNotNull())
-
     wary = F.lit(False)
     for word in NEGATION_WORDS:
         wary = wary | F.col(text).contains(word)
-    each = texts.select(F.col(key).alias("_key"), wary.alias("wary"), F.explode(let(pieces(F.col(text)), keys)).alias("k"))
-    return each.select(F.col("_key").alias(key), "wary", "k.at", "k.alias_key")
+    cut = texts.select(key, wary.alias("wary"), pieces(F.col(text)).alias("_p"))
+    cut = cut.select(key, "wary", "_p", _first_word(F.col("_p")).alias("_first"))
+    # Pieces beside the next and the one after it: all of it stays in generated code, without a function per item.
+    size = F.size("_p")
+    three = F.arrays_zip(F.col("_p").alias("a"), F.slice("_p", F.lit(2), size).alias("b"), F.slice("_p", F.lit(3), size).alias("c"))
+    each = cut.select(key, "wary", "_first", F.posexplode(three).alias("_i", "t")).where((F.col("_i") + 1 - F.col("_first")) % 2 == 0)
+    keys = F.explode(F.array("t.a", F.concat("t.a", "t.b", "t.c"))).alias("alias_key")
+    return each.select(key, "wary", (F.col("_i") + 1).alias("at"), keys).where("alias_key is not null")
 
 
 def _alias_hits(texts: DataFrame, aliases: DataFrame, key: str, text: str, wary: bool) -> DataFrame:
@@ -172,18 +172,18 @@ def _alias_hits(texts: DataFrame, aliases: DataFrame, key: str, text: str, wary:
     def one_by_one(hits: Column) -> Column:
         """Without those that begin inside an earlier kept one of the same alias, as in a scan from left to right."""
         again = F.array_sort(F.transform(F.filter(hits, lambda h: h.may_overlap_itself), lambda h: F.struct(h["alias"].alias("a"), h.at.alias("at"), h.alias("h"))))
-        state = F.struct(F.lit(None).cast("string").alias("a"), F.lit(0).alias("end"), F.filter(hits, lambda h: ~h.may_overlap_itself).alias("kept"))
+        state = F.struct(F.lit(None).cast("string").alias("a"), F.lit(0).alias("end"), F.slice(hits, F.lit(1), F.lit(0)).alias("kept"))
 
         def step(s: Column, x: Column) -> Column:
             kept = F.struct(x.a.alias("a"), (x.at + 2 * x.h.n_words - 1).alias("end"), F.concat(s.kept, F.array(x.h)).alias("kept"))
             return F.when((s.a == x.a) & (x.at < s.end), s).otherwise(kept)
 
-        return F.aggregate(again, state, step, lambda s: s.kept)
+        return F.concat(F.filter(hits, lambda h: ~h.may_overlap_itself), F.aggregate(again, state, step, lambda s: s.kept))
 
     def spans(parts: Column, hits: Column) -> Column:
         kept = F.filter(hits, lambda h: stands(parts, h))
         if wary:
-            kept = F.filter(one_by_one(kept), lambda h: ~negated(parts, h))
+            kept = F.filter(let(kept, one_by_one), lambda h: ~negated(parts, h))
         return F.transform(kept, lambda h: F.struct(
             h.skill.alias("skill"), h.taxonomy_order.alias("taxonomy_order"), h["alias"].alias("alias"),
             F.when(h.head == "", place(h.at)).otherwise(place(h.at - 1) + F.length(before(parts, h.at)) - F.length(h.head)).alias("start"),
@@ -191,7 +191,9 @@ def _alias_hits(texts: DataFrame, aliases: DataFrame, key: str, text: str, wary:
 
     checked = open_.join(texts.select(key, F.col(text).alias("_text")), key)
     checked = checked.select(key, F.explode(let(pieces(F.col("_text")), lambda p: spans(p, F.col("_hits")))).alias("s")).select(key, "s.*")
-    return settled.unionByName(checked).unionByName(_bare_hits(texts, bare, key, text, wary))
+    found_all = settled.unionByName(checked)
+    # A dictionary seldom has an alias without a word; only then are gaps looked at.
+    return found_all if bare.isEmpty() else found_all.unionByName(_bare_hits(texts, bare, key, text, wary))
 
 
 def _bare_hits(texts: DataFrame, bare: DataFrame, key: str, text: str, wary: bool) -> DataFrame:
