@@ -51,6 +51,10 @@ def id_bucket(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
+#: Folders of saved tables that still stand, in the order they were written.
+_standing: list[str] = []
+
+
 def save(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -58,17 +62,33 @@ def save(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
+    _standing.append(path)
     return out
 
 
+def release_earlier(spark: SparkSession, docs: DataFrame) -> None:
+    """Delete the saved tables that still stand and that ``docs`` does not read: a stage begins on written documents.
+
+    Results of earlier operators that have not been written yet can't be read after it.
+    """
+    names = docs.inputFiles()
+    _delete(spark, *[path for path in _standing if not any(f"/{path.rpartition('/')[2]}/" in name for name in names)])
+
+
+def _delete(spark: SparkSession, *paths: str) -> None:
+    for text in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(text)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if text in _standing:
+            _standing.remove(text)
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Let Spark drop shuffle files of finished steps, whose results stand in written tables.
 
     ``tables`` are saved tables that nothing later reads; they are deleted.
     """
-    for t in tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.saved_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, *(t.saved_path for t in tables))
     gc.collect()
     jvm = getattr(spark, "_jvm", None)
     if jvm is not None:

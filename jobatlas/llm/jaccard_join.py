@@ -140,6 +140,13 @@ def _close(percent: int):
     return sized & (F.col("set_id") != F.col("h")) & ((100 + percent) * sketch <= (100 - percent) * (F.col("n") + F.col("hn")))
 
 
+def _widely_close(percent: int, a: str, b: str, total):
+    """The same on the wide sketches, where both sets have one."""
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    small = F.coalesce(F.size(a), F.lit(0)) * F.coalesce(F.size(b), F.lit(0)) <= 0
+    return small | ((100 + percent) * apart <= (100 - percent) * total)
+
+
 def _pair(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("set_id", "h").alias("a"), F.greatest("set_id", "h").alias("b"), (F.col("n") + F.col("hn")).alias("n")).distinct()
 
@@ -149,10 +156,8 @@ def _narrowed(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     wide = sketches.where(F.size("wide") > 0)
     a = wide.select(F.col("set_id").alias("a"), F.col("wide").alias("wa"))
     b = wide.select(F.col("set_id").alias("b"), F.col("wide").alias("wb"))
-    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    small = F.col("wa").isNull() | F.col("wb").isNull()
     met = pairs.join(a, "a", "left").join(b, "b", "left")
-    return save(met.where(small | ((100 + percent) * apart <= (100 - percent) * F.col("n"))).select("a", "b"))
+    return save(met.where(_widely_close(percent, "wa", "wb", F.col("n"))).select("a", "b"))
 
 
 def _members(table: DataFrame) -> list[DataFrame]:
@@ -183,10 +188,15 @@ def _close_pairs(members: DataFrame, classes: DataFrame | None, sketches: DataFr
     ``first``: every set with the smallest of its list; ``spread``: with one that differs from list to list; ``all``:
     with every other.
     """
-    rows = save(_open(members, classes).join(sketches.select("set_id", "bits"), "set_id"))
+    # Once classes are known, few lists are open; there the wide sketches are tested before a pair is made.
+    wide = step == "all" and classes is not None
+    rows = save(_open(members, classes).join(sketches.select("set_id", "bits", *(["wide"] if wide else [])), "set_id"))
     names = (("set_id", "h"), ("n", "hn"), ("class", "hc"), ("bits", "hbits"))
     if step == "all":
+        names += (("wide", "hwide"),) if wide else ()
         head, once = rows.select("key", *(F.col(c).alias(h) for c, h in names)), F.col("set_id") < F.col("h")
+        if wide:
+            once = once & _widely_close(percent, "wide", "hwide", F.col("n") + F.col("hn"))
     else:
         rank = F.col("set_id") if step == "first" else F.xxhash64("key", "set_id")
         head = rows.groupBy("key").agg(F.min_by(F.struct(*(c for c, _ in names)), rank).alias("x"))
@@ -203,7 +213,7 @@ def _classed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     sketches = save(table.where("set_id is not null").select("set_id", "bits", "wide").dropDuplicates(["set_id"]))
     members = _members(table)
     tested = links = spark.createDataFrame([], "a long, b long")
-    classes = None
+    classes, done = None, []
     for step in ("first", "spread", "all"):
         parts = [_close_pairs(m, classes, sketches, percent, step) for m in members]
         pairs = reduce(DataFrame.unionByName, parts).distinct().join(tested, ["a", "b"], "left_anti")
@@ -211,11 +221,16 @@ def _classed(docs: DataFrame, width: int, percent: int) -> DataFrame:
         release(spark, *parts)
         if pairs.isEmpty():
             continue
-        tested, links = tested.unionByName(pairs), links.unionByName(_linked(docs, table, pairs, width, percent))
+        found = _linked(docs, table, pairs, width, percent)
+        tested, links = tested.unionByName(pairs), links.unionByName(found)
+        done += [pairs, found] + ([classes] if classes is not None else [])
         classes = save(connected_components(links))
-    release(spark, sketches, *members)
+    release(spark, sketches, *members, *done)
     if classes is None:
         classes = spark.createDataFrame([], "id long, component long")
+    slim = save(table.select("doc_id", "text_key", "n_shingles", "set_id"))
+    release(spark, table)
+    table = slim
     named = table.join(classes, table.set_id == classes.id, "left")
     return named.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "set_id").alias("class"))
 

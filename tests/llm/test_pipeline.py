@@ -16,7 +16,7 @@ from test_scans import matches
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_twin(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{small}/{t}.parquet')")
     want = con.sql(ORACLES[name])
     names = sorted(want.columns)
@@ -27,7 +27,7 @@ def test_query_equals_its_twin(spark, small, name):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_stages_decide_as_brute_force(spark, small):
