@@ -181,17 +181,65 @@ def _drain(stream, path: str, checkpoint: str, fmt: str = "parquet") -> None:
         raise run.exception()
 
 
-@query("""WITH d AS (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderpriority AS career_id, o_orderstatus AS region, count(*) AS n, max(CAST(o_orderdate AS DATE)) AS dt FROM orders GROUP BY ALL)
-    SELECT day, career_id, region, n FROM d WHERE dt + 1 <= (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) - 7""")
-def streamed_daily_demand(spark, sf):
-    """Closed daily windows of a file stream; the last week is still open under the watermark."""
+CRAWLED = "1999-01-01"
+
+
+def _demand(spark, sf, parts, deadlines=False):
+    """Orders as a stream of files, one file a batch: those of each condition in ``parts``, then a flush of all shards.
+
+    Event times are resolved in the stream from the date as written; with ``deadlines``, that of a pending order is one.
+    """
     base = _run_folder(spark)
-    orders = table(spark, sf, "orders")
-    orders.select("o_orderdate", "o_orderpriority", "o_orderstatus").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema("o_orderdate timestamp_ntz, o_orderpriority string, o_orderstatus string").parquet(f"{base}/in")
-    timed = stream.select(F.col("o_orderdate").cast("timestamp").alias("event_time"), F.col("o_orderpriority").alias("career_id"), F.col("o_orderstatus").alias("region"))
-    _drain(market_stream.daily_demand(timed), f"{base}/out", f"{base}/state")
-    return spark.read.parquet(f"{base}/out").select(F.col("day").cast("string").alias("day"), "career_id", "region", "n")
+    shard = F.col("o_orderkey") % 4
+    written = F.date_format("o_orderdate", "dd/MM/yyyy")
+    raw = F.when((F.col("o_orderstatus") == "P") & F.lit(deadlines), F.concat(F.lit("Hạn nộp: "), written)).otherwise(written)
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderdate").alias("ordered"), raw.alias("posted_date_raw"), F.col("o_orderpriority").alias("career_id"), F.col("o_orderstatus").alias("region"), shard.alias("shard"))
+    keyed = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("career_id"), F.col("o_orderstatus").alias("region"), shard.alias("shard")).distinct()
+    schema = "posted_date_raw string, career_id string, region string, shard long, flush boolean"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in (*parts, None):
+            own = rows.where(part).drop("ordered").withColumn("flush", F.lit(False)) if part else keyed.select(F.lit(None).cast("string").alias("posted_date_raw"), "*", F.lit(True).alias("flush"))
+            own.coalesce(1).write.mode("append").parquet(f"{base}/in")
+            # Every run starts anew and goes on at the offset in its checkpoint.
+            stream = spark.readStream.schema(schema).parquet(f"{base}/in").withColumn("crawled_at", F.lit(CRAWLED).cast("timestamp"))
+            stream = market_stream.resolved_event_time(stream, F.lit(CRAWLED).cast("timestamp"))
+            counts = market_stream.daily_demand(stream, "7 days", F.col("shard"))
+            run = counts.writeStream.foreachBatch(market_stream.write_demand(f"{base}/main", f"{base}/late")).option("checkpointLocation", f"{base}/state")
+            run = run.outputMode("append").trigger(availableNow=True).start()
+            run.awaitTermination()
+            if run.exception() is not None:
+                raise run.exception()
+    finally:
+        spark.conf.set(provider, before)
+    return base
+
+
+@query("""WITH k AS (SELECT *, CAST(o_orderdate AS DATE) AS day, max(o_orderdate) OVER (PARTITION BY o_orderpriority, o_orderstatus, o_orderkey % 4) AS clock FROM orders)
+    SELECT CAST(day AS VARCHAR) AS day, o_orderpriority AS career_id, o_orderstatus AS region, count(*) AS n, bool_or(day >= CAST(clock - INTERVAL 7 DAY AS DATE)) AS open FROM k GROUP BY ALL""")
+def streamed_daily_demand(spark, sf):
+    """Every day of a file stream that arrives year by year: closed days, and those still open, flushed and marked."""
+    years = [f"year(ordered) = {r.y}" for r in table(spark, sf, "orders").select(F.year("o_orderdate").alias("y")).distinct().orderBy("y").collect()]
+    base = _demand(spark, sf, years)
+    return market_stream.merged_demand(spark, f"{base}/main").select(F.col("day").cast("string").alias("day"), "career_id", "region", "n", "open")
+
+
+@query(f"""WITH o AS (SELECT *, o_orderkey % 4 AS s, month(o_orderdate) > 3 AS early, CASE WHEN o_orderstatus = 'P' THEN DATE '{CRAWLED}' ELSE CAST(o_orderdate AS DATE) END AS day FROM orders),
+    c AS (SELECT o_orderpriority, o_orderstatus, s, max(day) AS clock FROM o WHERE early GROUP BY ALL)
+    SELECT CAST(day AS VARCHAR) AS day, o_orderpriority AS career_id, o_orderstatus AS region,
+      CASE WHEN NOT early AND day < clock - INTERVAL 7 DAY THEN 'late' ELSE 'counted' END AS side, count(*) AS n FROM o LEFT JOIN c USING (o_orderpriority, o_orderstatus, s) GROUP BY ALL""")
+def streamed_late_rows(spark, sf):
+    """The first quarter of every year arrives after all else: what is late by then stands in the side table.
+
+    Deadlines count for the day of the crawl, so they are never late.
+    """
+    base = _demand(spark, sf, ["month(ordered) > 3", "month(ordered) <= 3"], deadlines=True)
+    counted = market_stream.merged_demand(spark, f"{base}/main").select("day", "career_id", "region", F.lit("counted").alias("side"), "n")
+    late = spark.read.option("basePath", f"{base}/late").parquet(f"{base}/late/part=*").groupBy(F.to_date("event_time").alias("day"), "career_id", "region").agg(F.count("*").alias("n"))
+    return counted.unionByName(late.select("day", "career_id", "region", F.lit("late").alias("side"), "n")).withColumn("day", F.col("day").cast("string"))
 
 
 @query("""SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events""")

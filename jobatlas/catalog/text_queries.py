@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from jobatlas.catalog.base import postings, query, table, with_ctes
 from jobatlas.functions import grounding, hashing, parsing, privacy, scoring, text, turns
-from jobatlas.operators import guidance, links, reports
+from jobatlas.operators import guidance, links, matching, reports
 from jobatlas.operators.packs import meet, pack
 from jobatlas.plans import normalize
 
@@ -323,14 +323,12 @@ def ordered_distinct_words(spark, sf):
         "conv_id", "turn", F.size(kept).cast("long").alias("n"), F.md5(F.array_join(kept, " ")).alias("words"))
 
 
-@query("""SELECT a.p_name AS label_a, b.p_type AS label_b, lower(a.p_name) = lower(b.p_type) OR contains(lower(a.p_name), lower(b.p_type)) OR contains(lower(b.p_type), lower(a.p_name)) AS matches
-    FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT upper(split_part(p_name, ' ', 1)) AS p_type FROM part) b""")
+@query("""SELECT a.p_name AS label_a, b.p_type AS label_b FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT upper(split_part(p_name, ' ', 1)) AS p_type FROM part) b
+    WHERE lower(a.p_name) = lower(b.p_type) OR contains(lower(a.p_name), lower(b.p_type)) OR contains(lower(b.p_type), lower(a.p_name))""")
 def soft_label_match(spark, sf):
     part = table(spark, sf, "part")
-    names, words = part.select("p_name").distinct(), part.select(F.upper(F.split("p_name", " ")[0]).alias("word")).distinct()
-    met = meet(names, *pack(words, F.col("word")))
-    return met.select(F.col("p_name").alias("label_a"), F.explode("items").alias("label_b")).withColumn(
-        "matches", scoring.skill_match(F.col("label_a"), F.col("label_b")))
+    words = part.select(F.upper(F.split("p_name", " ")[0]).alias("label_b"))
+    return matching.soft_label_pairs(part.select(F.col("p_name").alias("label_a")), words, "label_a", "label_b")
 
 
 TITLE = squeeze_sql("regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '<[^>]+>', ' ', 'g')")

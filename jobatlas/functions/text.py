@@ -12,7 +12,6 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_LATIN = [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]
 _FOLDED = [*range(0x00A0, 0x0250), *range(0x0386, 0x0460), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)]
 
 
@@ -31,16 +30,15 @@ def _fold_tables() -> tuple[str, str]:
 
 @lru_cache(maxsize=None)
 def _compose_pairs() -> str:
-    """Base, mark and composed letter for Latin letters, plain bases first, blank separated."""
+    """Base, mark and composed letter of every script, bases that are not composed themselves first, blank separated."""
     pairs: dict[str, str] = {}
-    marks = sorted({c for code in _LATIN for c in unicodedata.normalize("NFD", chr(code))[1:]})
-    bases = [chr(c) for c in range(0x41, 0x7B)] + [chr(c) for c in _LATIN]
-    for base in bases:
-        for mark in marks:
-            composed = unicodedata.normalize("NFC", base + mark)
-            if len(composed) == 1:
-                pairs[base + mark] = composed
-    ordered = sorted(pairs.items(), key=lambda kv: (ord(kv[0][0]) > 0x7F, kv[0]))
+    for code in range(0xC0, 0x2FA20):
+        char, parts = chr(code), unicodedata.decomposition(chr(code)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            pair = "".join(chr(int(p, 16)) for p in parts)
+            if unicodedata.normalize("NFC", pair) == char:
+                pairs[pair] = char
+    ordered = sorted(pairs.items(), key=lambda kv: (len(unicodedata.normalize("NFD", kv[1])), kv[0]))
     return " ".join(pair + composed for pair, composed in ordered)
 
 
@@ -54,7 +52,10 @@ def strip_space(c: Column) -> Column:
 
 
 def nfc(c: Column) -> Column:
-    """Unicode NFC for Latin text.  Rows without combining marks pass straight through."""
+    """Unicode NFC of letters with marks in their usual order, in any script.  Rows without marks pass straight through.
+
+    Hangul letters written in single parts stay apart; so do marks that stand in another than the canonical order.
+    """
     pairs = F.split(F.lit(_compose_pairs()), " ")
     composed = F.aggregate(pairs, c, lambda acc, p: F.replace(acc, F.substring(p, 1, 2), F.substring(p, 3, 1)))
     return F.when(c.rlike(r"\p{M}"), composed).otherwise(c)

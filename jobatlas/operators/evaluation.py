@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from jobatlas.functions.numbers import round_exact
+from jobatlas.operators.order_stats import running_counts, value_at
 
 # Extraction targets.
 PRECISION_TARGET, RECALL_TARGET, F1_TARGET = 0.80, 0.65, 0.70
@@ -79,18 +80,10 @@ def nearest_rank(df: DataFrame, groups: list[str], value: str, q: float = 0.95)
 
     Values are counted before anything is ordered, so repeated measurements cost nothing.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    order = W.partitionBy(*groups).orderBy("_v")
-    cum = F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, 0))
-    total = counts.groupBy(*groups).agg(F.sum("_c").alias("n"))
-    ranked = counts.withColumn("_cum", cum).join(total, groups)
-    n = F.col("n")
-
-    def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("_cum") >= rank, F.col("_v")))
-
-    middle = (at(F.ceil(n / 2)) + at(F.floor(n / 2) + 1)) / 2
-    return ranked.groupBy(*groups, "n").agg(at(F.ceil(n * q)).alias("p95"), round_exact(middle, 4).alias("median"))
+    n = F.col("_n")
+    middle = (value_at(F.ceil(n / 2)) + value_at(F.floor(n / 2) + 1)) / 2
+    ranked = running_counts(df, groups, value)
+    return ranked.groupBy(*groups, n.alias("n")).agg(value_at(F.ceil(n * q)).alias("p95"), round_exact(middle, 4).alias("median"))
 
 
 def rubric(recommendations: DataFrame, key: str = "session_id") -> DataFrame:

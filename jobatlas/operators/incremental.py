@@ -15,7 +15,6 @@ from jobatlas.operators.matching import resolve_labels
 
 LOW_SIGNAL_THRESHOLD = 3
 MAX_BATCH = 10
-MAX_DESCRIPTION = 4000
 
 
 def split_reusable(current: DataFrame, previous: DataFrame, stamps: list[str], key: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -48,21 +47,23 @@ def low_signal(skills: Column, threshold: int = LOW_SIGNAL_THRESHOLD) -> Column:
     return F.size(F.coalesce(skills, F.array().cast("array<string>"))) < threshold
 
 
-def extraction_requests(rows: DataFrame, key: str = "id", batch_size: int = MAX_BATCH) -> DataFrame:
+def extraction_requests(rows: DataFrame, key: str = "id", batch_size: int = MAX_BATCH, max_description: int | None = None) -> DataFrame:
     """Bounded requests for an external extractor: ``batch_id, posting_id, title, description``.
 
     Postings are spread over buckets of about a thousand by a stable hash and numbered
-    inside the bucket, so no batch is larger than ``batch_size``.
+    inside the bucket, so no batch is larger than ``batch_size``.  Descriptions go whole, unless the extractor's own
+    limit is given as ``max_description`` characters.
     """
     if not 1 <= batch_size <= MAX_BATCH:
         raise ValueError(f"batch_size must be between 1 and {MAX_BATCH}")
+    description = F.col("description") if max_description is None else F.left("description", F.lit(max_description))
     n_buckets = max(1, -(-rows.count() // 1000))
     numbered = rows.withColumn("_b", F.pmod(F.xxhash64(F.col(key)), F.lit(n_buckets))).withColumn(
         "_i", F.row_number().over(W.partitionBy("_b").orderBy(key)) - 1
     )
     return numbered.select(
         (F.col("_b") * 1_000_000 + F.floor(F.col("_i") / batch_size)).alias("batch_id"),
-        F.col(key).alias("posting_id"), "title", F.substring("description", 1, MAX_DESCRIPTION).alias("description"),
+        F.col(key).alias("posting_id"), "title", description.alias("description"),
     )
 
 

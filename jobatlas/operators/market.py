@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 from jobatlas.functions.numbers import round_exact
 from jobatlas.functions.grounding import source_note
 from jobatlas.functions.parsing import salary_value
+from jobatlas.operators.order_stats import running_counts, value_at
 from jobatlas.session import cut_lineage
 
 WINDOW_DAYS = 90
@@ -21,11 +22,6 @@ MIN_TREND_POSTINGS = 10
 UNMAPPED = "unmapped"
 ALL = "all"
 
-# Percentile bands: rank error of the sketch is n / SKETCH_ACCURACY, the band keeps
-# BAND * n ranks on each side, and groups below SMALL_GROUP keep all their values.
-SKETCH_ACCURACY = 2000
-BAND = 0.004
-SMALL_GROUP = 1000
 
 
 def latest_day(postings: DataFrame, column: str = "posted_date") -> dt.date | None:
@@ -65,61 +61,16 @@ def with_all_region(df: DataFrame) -> DataFrame:
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated percentiles per group without buffering a group.
+    """Exact linear-interpolated percentiles per group; no group is ordered in one task, whatever its size."""
+    rows = df.select(*keys, F.col(value).cast("double").alias("_value"))
+    ranked = running_counts(rows, keys, "_value")
 
-    A mergeable sketch bounds where each quantile can lie.  Only values inside that
-    narrow band are kept, already counted per distinct value by map-side aggregation,
-    and their running count gives the two neighbouring ranks.  A hot group therefore
-    never sends its rows to one task.
-    """
-    names, qs = list(quantiles), list(quantiles.values())
-    bounds = [b for q in qs for b in (max(0.0, q - BAND), min(1.0, q + BAND))]
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", F.array(*[F.lit(b) for b in bounds]), F.lit(SKETCH_ACCURACY)).alias("_b"),
-    )
-    small = F.col("_n") < SMALL_GROUP
-    bands = F.array(*[
-        F.struct(
-            F.lit(i).alias("q"),
-            F.when(small, F.col("_min")).otherwise(F.col("_b")[2 * i]).alias("low"),
-            F.when(small, F.col("_max")).otherwise(F.col("_b")[2 * i + 1]).alias("high"),
-        )
-        for i in range(len(qs))
-    ])
-    banded = (
-        rows.join(sketch.select(*keys, "_n", bands.alias("_bands")), keys)
-        .select(*keys, "_n", "_v", F.explode("_bands").alias("_band"))
-        .where(F.col("_v") <= F.col("_band.high"))
-        .select(
-            *keys, "_n", F.col("_band.q").alias("_q"),
-            F.when(F.col("_v") >= F.col("_band.low"), F.col("_v")).alias("_v"),
-        )
-        .groupBy(*keys, "_n", "_q", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    running = W.partitionBy(*keys, "_q").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    quantile = F.get(F.array(*[F.lit(q) for q in qs]), F.col("_q"))
-    position = (F.col("_n") - 1) * quantile
-    ranked = banded.withColumn("_cum", F.sum("_c").over(running)).withColumn("_pos", position)
-    low_rank = F.floor("_pos")
-    high_rank = F.least(low_rank + 1, F.col("_n") - 1)
-    picked = ranked.groupBy(*keys, "_q").agg(
-        F.min(F.when(F.col("_cum") > low_rank, F.col("_v"))).alias("_lo"),
-        F.min(F.when(F.col("_cum") > high_rank, F.col("_v"))).alias("_hi"),
-        F.max(F.col("_pos") - low_rank).alias("_frac"),
-        F.max(F.when(F.col("_v").isNull(), F.col("_cum") > low_rank)).alias("_missed"),
-    )
-    covered = ~F.coalesce("_missed", F.lit(False)) & F.col("_hi").isNotNull()
-    result = F.when(covered, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).otherwise(
-        F.raise_error(F.lit("percentile band missed its rank")).cast("double")
-    )
-    return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_q") == i, round_exact(result, 2))).alias(name) for i, name in enumerate(names)]
-    )
+    def between(q: float) -> Column:
+        low = F.floor((F.col("_n") - 1) * q)
+        first, second = value_at(low + 1), value_at(F.least(low + 2, F.col("_n")))
+        return round_exact(first + (second - first) * F.max((F.col("_n") - 1) * q - low), 2)
+
+    return ranked.groupBy(*keys).agg(*[between(q).alias(name) for name, q in quantiles.items()])
 
 
 def mapped_rows(postings: DataFrame, end: dt.date) -> DataFrame:

@@ -13,10 +13,12 @@ from pyspark.sql.window import Window as W
 
 from jobatlas.functions.let import let
 from jobatlas.functions.parsing import relevant_description
-from jobatlas.functions.text import norm_match, word_tokens
-from jobatlas.operators.packs import meet, pack
+from jobatlas.functions.scoring import labels_match
+from jobatlas.functions.text import norm_label, norm_match, word_tokens
 
 UNMAPPED = "unmapped"
+#: Characters of the grams that patterns are filed under.
+GRAM = 3
 
 # Negation right before or right after a skill.
 NEGATED_BEFORE = (
@@ -338,19 +340,49 @@ def map_postings(postings: DataFrame, patterns: DataFrame, column: str = "title"
     )
 
 
+def _grams(text: Column, size: Column) -> Column:
+    """Substrings of this many characters, none if the text is shorter."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
+    return F.coalesce(F.transform(starts, lambda i: F.substring(text, i, size)), F.array().cast("array<string>"))
+
+
+def contained_patterns(texts: DataFrame, patterns: DataFrame, text: str = "text", pattern: str = "pattern") -> DataFrame:
+    """Pairs of distinct ``text`` and ``pattern`` where the text contains the pattern anywhere.
+
+    A pattern is filed under the gram of its own that the fewest patterns hold (three characters; the whole pattern if
+    it is shorter).  A text meets only patterns filed under one of its grams, whatever the number of patterns; then
+    containment is tested.  Null texts and patterns meet nothing; an empty pattern is in every text.
+    """
+    own = patterns.select(F.col(pattern).alias("_pattern")).where("_pattern is not null").distinct()
+    each = own.select("_pattern", F.explode(F.array_distinct(_grams(F.col("_pattern"), F.least(F.length("_pattern"), F.lit(GRAM))))).alias("_gram"))
+    common = each.groupBy("_gram").agg(F.count(F.lit(1)).alias("_many"))
+    filed = each.join(common, "_gram").groupBy("_pattern").agg(F.min(F.struct("_many", "_gram"))["_gram"].alias("_gram"))
+    column = F.col(text)
+    grams = F.concat(F.array(F.lit("")), *[_grams(column, F.lit(n)) for n in range(1, GRAM + 1)])
+    met = texts.select(text).where(column.isNotNull()).distinct().select(text, F.explode(F.array_distinct(grams)).alias("_gram"))
+    hits = met.join(filed, "_gram").where(column.contains(F.col("_pattern")))
+    return hits.select(text, F.col("_pattern").alias(pattern))
+
+
+def soft_label_pairs(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct pairs of the labels ``a`` and ``b`` that match softly (``scoring.skill_match``), and no others."""
+    x = left.select(a, norm_label(F.col(a)).alias("_a")).distinct()
+    y = right.select(b, norm_label(F.col(b)).alias("_b")).distinct()
+    inside = contained_patterns(x, y, "_a", "_b").unionByName(contained_patterns(y, x, "_b", "_a")).distinct()
+    near = inside.where(labels_match(F.col("_a"), F.col("_b")))
+    return near.join(x, "_a").join(y, "_b").select(a, b)
+
+
 def map_first_substring(postings: DataFrame, patterns: DataFrame, column: str = "title") -> DataFrame:
     """First career, in base order, with a pattern anywhere inside the lower-case title.
 
-    ``patterns`` holds ``career_id, career_pos, pattern_pos, pattern``.  The test is plain
-    containment, so each distinct title is tried against the pattern list in one pass.
+    ``patterns`` holds ``career_id, career_pos, pattern_pos, pattern``.  The test is plain containment; each distinct
+    title meets the patterns of its rare grams only.
     """
-    item = F.struct("career_pos", "pattern_pos", "career_id", F.lower("pattern").alias("pattern"))
-    packs, n_packs = pack(patterns, item)
-    distinct = postings.select(F.lower(column).alias("title_lower")).distinct()
-    first = F.get(F.filter("items", lambda p: F.col("title_lower").contains(p.pattern)), F.lit(0))
-    decided = meet(distinct, packs, n_packs).select("title_lower", first.alias("hit")).where(F.col("hit").isNotNull())
-    if n_packs > 1:
-        decided = decided.groupBy("title_lower").agg(F.min("hit").alias("hit"))
+    rows = patterns.select("career_pos", "pattern_pos", "career_id", F.lower("pattern").alias("pattern"))
+    titles = postings.select(F.lower(column).alias("title_lower"))
+    found = contained_patterns(titles, rows, "title_lower").join(rows, "pattern")
+    decided = found.groupBy("title_lower").agg(F.min(F.struct("career_pos", "pattern_pos", "career_id", "pattern")).alias("hit"))
     joined = postings.withColumn("title_lower", F.lower(column)).join(decided, "title_lower", "left")
     return joined.select(
         *postings.columns,

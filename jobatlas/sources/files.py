@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobatlas.sources import commits
+
 CORRUPT = "_corrupt"
 
 
@@ -50,30 +52,12 @@ def union_snapshots(*snapshots: DataFrame) -> DataFrame:
     return out
 
 
-def _file_system(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm.org.apache.hadoop.fs.Path, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def write_atomic(df: DataFrame, path: str, fmt: str = "json", partition_by=()) -> str:
-    """Write to a staging folder next to the target, then swap: readers never see a partial table.
+    """Write a new version of the table at ``path`` and commit it; returns the folder of the version.
 
-    Between the two renames the target is missing for a moment; if the second fails the former table is put back.
+    Readers that ask ``commits.current_folder`` see the former version until the commit stands, and never a part.
     """
-    spark = df.sparkSession
-    staging, old = f"{path}.staging", f"{path}.old"
-    df.write.mode("overwrite").partitionBy(*partition_by).format(fmt).save(staging)
-    hpath, fs = _file_system(spark, path)
-    fs.delete(hpath(old), True)
-    if fs.exists(hpath(path)):
-        fs.rename(hpath(path), hpath(old))
-    if not fs.rename(hpath(staging), hpath(path)):
-        if fs.exists(hpath(old)):
-            fs.rename(hpath(old), hpath(path))
-        raise OSError(f"cannot move {staging} to {path}")
-    fs.delete(hpath(old), True)
-    return path
+    return commits.commit(df, path, fmt, partition_by)
 
 
 def write_market(tables: dict[str, DataFrame], base: str) -> dict[str, str]:
@@ -93,7 +77,7 @@ def write_report(report: DataFrame, path: str, dry_run: bool = False) -> DataFra
 
 def read_market(spark: SparkSession, base: str, table: str, region: str | None = None) -> DataFrame:
     """Aggregate table; a region predicate prunes its partitions."""
-    rows = spark.read.parquet(f"{base}/{table}")
+    rows = commits.read_current(spark, f"{base}/{table}", "parquet")
     return rows if region is None else rows.where(F.col("region") == region)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from jobatlas.functions.parsing import parse_posted_date
 from jobatlas.operators.incremental import split_reusable
@@ -34,23 +36,93 @@ def split_late(stream: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame]
     return stream.where(~late), stream.where(late)
 
 
-def daily_demand(stream: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Tumbling daily counts per career and region.
+DEMAND = "kind string, day date, career_id string, region string, shard int, n long, event_time timestamp"
+
+
+class OpenDays(StatefulProcessor):
+    """Daily counts of one career, region and shard, with a clock of its own.
+
+    The clock is the latest event time of earlier micro-batches.  A row older than the clock less the delay is late: it
+    leaves as it is, so nothing vanishes.  Others count for their day.  A day leaves, closed, when the clock less the
+    delay has passed its end.  A row with ``flush`` makes the open days leave as they stand, marked open; they stay.
+    """
+
+    def __init__(self, delay: str) -> None:
+        self.delay = pd.Timedelta(delay)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.clock = handle.getValueState("clock", "at timestamp")
+        self.days = handle.getMapState("days", "day date", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        career, region, shard = key
+        before = pd.Timestamp(self.clock.get()[0]) if self.clock.exists() else None
+        latest, flush = before, False
+        for batch in rows:
+            flush = flush or bool(batch["flush"].any())
+            batch = batch[~batch["flush"].astype(bool) & batch["event_time"].notna()]
+            if batch.empty:
+                continue
+            late = batch["event_time"] < before - self.delay if before is not None else pd.Series(False, index=batch.index)
+            if late.any():
+                own = batch.loc[late, "event_time"]
+                yield pd.DataFrame({"kind": "late", "day": own.dt.date, "career_id": career, "region": region, "shard": shard, "n": 1, "event_time": own})
+            for day, n in batch.loc[~late, "event_time"].dt.date.value_counts().items():
+                known = self.days.getValue((day,))[0] if self.days.containsKey((day,)) else 0
+                self.days.updateValue((day,), (int(known + n),))
+            newest = batch["event_time"].max()
+            latest = newest if latest is None else max(latest, newest)
+        if latest is None:
+            return
+        self.clock.update((latest.to_pydatetime(),))
+        done = (latest - self.delay).date()
+        days = [(d[0], n[0]) for d, n in self.days.iterator()]
+        closed = [x for x in days if x[0] < done]
+        for day, _ in closed:
+            self.days.removeKey((day,))
+        out = [("closed", *x) for x in closed] + ([("open", *x) for x in days if x[0] >= done] if flush else [])
+        if out:
+            yield pd.DataFrame([(kind, day, career, region, shard, n, pd.NaT) for kind, day, n in out], columns=["kind", "day", "career_id", "region", "shard", "n", "event_time"])
+
+    def close(self) -> None:
+        pass
+
+
+def daily_demand(stream: DataFrame, delay: str = "7 days", shard: Column | None = None) -> DataFrame:
+    """Tumbling daily counts per career and region, and late rows, in one output (DEMAND).
+
+    ``stream`` has ``event_time, career_id, region`` and ``flush`` (true in rows that only ask for the open days; one for
+    each shard that is asked).  ``merged_demand`` adds up the shards.  Rows without an event time count nowhere.  Needs
+    the RocksDB state store provider.
 
     Ninety-day figures are then rolling sums over these few counts
     (``operators.market.moving_demand``) instead of ninety overlapping windows per row.
     """
-    timed = stream.withWatermark("event_time", delay)
-    counts = timed.groupBy(F.window("event_time", "1 day").alias("w"), "career_id", "region").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(F.to_date("w.start").alias("day"), "career_id", "region", "n")
+    part = F.lit(0) if shard is None else shard
+    rows = stream.select("event_time", "career_id", "region", F.coalesce("flush", F.lit(False)).alias("flush"), part.cast("int").alias("shard"))
+    return rows.groupBy("career_id", "region", "shard").transformWithStateInPandas(
+        statefulProcessor=OpenDays(delay), outputStructType=DEMAND, outputMode="Append", timeMode="None")
+
 
+def write_demand(main: str, late: str):
+    """``foreachBatch`` function: one stream, two tables; a retried batch overwrites its own folders."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        batch.where("kind <> 'late'").drop("event_time").withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{main}/part={batch_id}")
+        batch.where("kind = 'late'").select("event_time", "career_id", "region").write.mode("overwrite").parquet(f"{late}/part={batch_id}")
+        batch.unpersist()
+
+    return run
 
-def sliding_demand(stream: DataFrame, length: str = "90 days", slide: str = "1 day", delay: str = "7 days") -> DataFrame:
-    """Direct sliding window, for short lengths; long ones should use ``daily_demand``."""
-    timed = stream.withWatermark("event_time", delay)
-    return timed.groupBy(F.window("event_time", length, slide).alias("w"), "career_id").agg(F.count(F.lit(1)).alias("n")).select(
-        F.col("w.start").alias("start"), F.col("w.end").alias("end"), "career_id", "n"
-    )
+
+def merged_demand(spark: SparkSession, main: str) -> DataFrame:
+    """``day, career_id, region, n, open`` out of the main table: the newest count of each shard, added up.
+
+    A shard closes a day once; what it flushed of the day before is older.
+    """
+    rows = spark.read.option("basePath", main).parquet(f"{main}/part=*")
+    newest = rows.groupBy("day", "career_id", "region", "shard").agg(F.max_by(F.struct("n", "kind"), "batch").alias("x"))
+    return newest.groupBy("day", "career_id", "region").agg(F.sum("x.n").alias("n"), F.max(F.col("x.kind") == "open").alias("open"))
 
 
 def current_results(spark: SparkSession, results_path: str, key: str = "id", before: int | None = None) -> DataFrame:

@@ -113,3 +113,19 @@ def test_requests_are_bounded(spark):
 
     asked = incremental.extraction_requests(rows.limit(25))
     assert incremental.accept_external(asked, incremental.run_extractor(asked, upper), aliases(spark)).where("batch_ok").count() == 25
+
+
+def test_first_substring_among_many_patterns(spark):
+    """Short, empty and overlapping patterns; one title fills a third of the table."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    patterns = [(f"c{i % 40}", i % 40, i // 40, word(rng.randint(1, 7)).upper()) for i in range(160)]
+    titles = [word(rng.randint(0, 14)) for _ in range(200)] + ["abc abc"] * 100 + [None]
+    base = spark.createDataFrame(patterns, "career_id string, career_pos int, pattern_pos int, pattern string")
+    rows = spark.createDataFrame(list(enumerate(titles)), "id int, title string")
+    got = {r["id"]: (r["career_id"], r["matched_pattern"]) for r in matching.map_first_substring(rows, base).collect()}
+    for i, title in enumerate(titles):
+        hits = sorted((pos, k, c, p.lower()) for c, pos, k, p in patterns if title is not None and p.lower() in title.lower())
+        assert got[i] == ((hits[0][2], hits[0][3]) if hits else ("unmapped", None)), title
+    with_empty = base.unionByName(spark.createDataFrame([("all", 99, 0, "")], base.schema))
+    assert matching.map_first_substring(rows, with_empty).where("career_id = 'unmapped'").count() == 1

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from jobatlas.operators import sampling
 from jobatlas.plans import normalize
-from jobatlas.sources import files, pages
+from jobatlas.sources import commits, files, pages
 
 def as_of():
     return F.lit("2026-07-18")
@@ -64,8 +64,8 @@ def test_scans_and_atomic_sink(spark, tmp_path):
         raise AssertionError("must fail")
     target = str(tmp_path / "out")
     for n in (3, 5):
-        files.write_atomic(spark.range(n).select(F.col("id").cast("string")), target)
-        assert files.read_strict(spark, target, "id string").count() == n
+        written = files.write_atomic(spark.range(n).select(F.col("id").cast("string")), target)
+        assert written == commits.current_folder(spark, target) and files.read_strict(spark, written, "id string").count() == n
     assert files.write_report(spark.range(1), str(tmp_path / "dry"), dry_run=True).count() == 1 and not (tmp_path / "dry").exists()
 
 
@@ -94,3 +94,29 @@ def test_balanced_sample(spark):
     got = sampling.balanced_sample(rows, "family", "region", ["0", "1"], per_family=20, total=50)
     assert got.count() == 50 and got.select("id").distinct().count() == 50
     assert got.where("family = '0' and region = 'y'").count() >= 10
+
+
+def test_commit_log(spark, tmp_path):
+    """Readers meet whole versions only; failed and half-finished writers change nothing; old versions go by age."""
+    import pytest
+
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        commits.read_current(spark, path)
+    for n in (3, 5):
+        commits.commit(spark.range(n), path)
+    assert commits.read_current(spark, path).count() == 5 and commits.read_current(spark, path, version=1).count() == 3
+    broken = spark.range(4).select(F.raise_error(F.concat(F.lit("no "), F.col("id").cast("string"))).cast("int").alias("id"))
+    with pytest.raises(Exception, match="no "):
+        commits.commit(broken, path)
+    assert commits.versions(spark, path) == [1, 2] and commits.read_current(spark, path).count() == 5
+    # A writer that died in the middle of its commit: the number is taken, the version is not there.
+    (tmp_path / "t" / "_commits" / "000000000003").write_text("name without an end")
+    assert commits.read_current(spark, path).count() == 5
+    held = commits.read_current(spark, path)
+    commits.commit(spark.range(7), path)
+    assert commits.versions(spark, path) == [1, 2, 4] and commits.read_current(spark, path).count() == 7 and held.count() == 5
+    now = max(f.stat().st_mtime_ns for f in (tmp_path / "t" / "_commits").iterdir()) // 1_000_000
+    assert commits.expire(spark, path, 3_600_000, now) == []
+    assert commits.expire(spark, path, 1000, now + 10_000) == [1, 2]
+    assert len(list((tmp_path / "t" / "_data").iterdir())) == 1 and commits.read_current(spark, path).count() == 7
