@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-import re
 import uuid
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +15,8 @@ from jobatlas.llm.common import Memo, id_bucket, map_batches, read_table, text_b
 #: Labelled rows sampled per language, and the distinct words kept of them, the most frequent first.
 SAMPLE_ROWS, SAMPLE_WORDS = 400, 6000
 LANE = 40
-_RUNS = re.compile(r"[^\W\d_]+")
+#: Letters by their category; numbers that look like letters are none.
+_RUNS = regex.compile(r"\p{L}+")
 
 
 class SuffixAutomaton:
