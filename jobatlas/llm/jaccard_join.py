@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobatlas.llm.common import lists, map_batches, mix, ordered_hash, read_table, release, save, text_bytes, word_hashes
+from jobatlas.llm.common import lists, mix, ordered_hash, read_table, release, save, text_bytes, word_hashes
+from jobatlas.llm.word_batches import slices
 from jobatlas.operators.graph import connected_components
 
 #: Sets whose sizes lie in one class share a number of parts.
@@ -79,6 +80,17 @@ def parity_bits(elements: np.ndarray, places: int = BITS) -> np.ndarray:
     return np.packbits((np.bincount(spread, minlength=places) & 1).astype(np.uint8)).view(np.int64)
 
 
+def _map_slices(rows: DataFrame, function, schema: str) -> DataFrame:
+    """Apply ``function`` to slices of a few megabytes of text, so that a worker never holds the sets of a whole batch."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "body"):
+                yield function(part)
+
+    return rows.mapInArrow(run, schema)
+
+
 def set_table(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, text_key, n_shingles, set_id, bits, wide, keys): size, identity, sketches and index keys of every set.
 
@@ -99,7 +111,7 @@ def set_table(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         )
 
     rows = docs.select("doc_id", F.xxhash64(text_bytes()).alias("text_key"), text_bytes().alias("body"))
-    return map_batches(rows, run, "doc_id long, text_key long, n_shingles long, set_id long, bits array<long>, wide array<long>, keys array<long>")
+    return _map_slices(rows, run, "doc_id long, text_key long, n_shingles long, set_id long, bits array<long>, wide array<long>, keys array<long>")
 
 
 def _elements(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -112,7 +124,7 @@ def _elements(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64(text_bytes()).alias("text_key"), text_bytes().alias("body")).alias("d")
     w = wanted.alias("w")
     met = rows.join(w, (F.col("d.text_key") == F.col("w.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-    return map_batches(met.select("w.set_id", "d.body"), run, "set_id long, elements array<long>").dropDuplicates(["set_id"])
+    return _map_slices(met.select("w.set_id", "d.body"), run, "set_id long, elements array<long>").dropDuplicates(["set_id"])
 
 
 def _linked(docs: DataFrame, table: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
