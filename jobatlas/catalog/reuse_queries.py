@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from jobatlas.catalog.base import query, table
 from jobatlas.catalog.session_queries import _run_folder
-from jobatlas.functions import hashing, parsing
-from jobatlas.operators import incremental, quality
+from jobatlas.catalog.text_queries import REDACTED
+from jobatlas.functions import hashing, parsing, privacy
+from jobatlas.operators import explain, incremental, quality
 from jobatlas.sources import files
 from jobatlas.streaming import market as market_stream
 
@@ -130,3 +133,47 @@ def enriched_in_batches(spark, sf):
     step(orders.withColumn("stamp", F.lit("v1")), 0)
     step(orders.withColumn("stamp", F.when(F.col("o_orderstatus") == "F", "v2").otherwise("v1")), 1)
     return market_stream.current_results(spark, path).select("id", "stamp", F.col("batch").cast("int").alias("batch"))
+
+
+#: The redaction of a text, over one of its lines.
+LISTED = re.sub(r"\btext\b", "line", REDACTED)
+
+
+@query(f"""SELECT doc_id, 'lines,source' AS keys, md5(string_agg(coalesce({LISTED}, ''), chr(31) ORDER BY i)) AS lines
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY doc_id""")
+def redacted_list_values(spark, sf):
+    """Arguments that are lists: sensitive keys go, every string of the others is redacted."""
+    lines = F.split("text", "\n", -1)
+    args = F.create_map(F.lit("lines"), lines, F.lit("gpa"), lines, F.lit("school"), F.array("lang"), F.lit("source"), F.array("source"))
+    out = privacy.redact_list_map(args)
+    return table(spark, sf, "documents").where(F.col("text").isNotNull()).select(
+        "doc_id", F.array_join(F.array_sort(F.map_keys(out)), ",").alias("keys"), F.md5(F.array_join(out["lines"], "\x1f")).alias("lines"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, left(text, 40) AS quote, left(text, 60) AS known, CAST(length(text) AS VARCHAR) AS n,
+      regexp_matches(lower(left(text, 40)), 'ignore previous|system:|api_key|you are dan|root_access|sk-') AS attack FROM conversations)
+    SELECT conv_id, turn, CASE WHEN role <> 'system' THEN CASE WHEN trim(quote) <> '' AND NOT attack AND turn % 5 <> 4 THEN quote ELSE known END END AS quote,
+      CASE WHEN role <> 'system' THEN CASE WHEN trim(quote) <> '' AND NOT attack AND turn % 5 <> 4 THEN 'bạn viết ' || n || ' ký tự' ELSE 'dựa trên điều bạn đã chia sẻ trong hồ sơ' END END AS reason,
+      CASE WHEN role <> 'system' THEN 'có ' || n || ' tin' END AS market,
+      CASE WHEN role <> 'system' THEN CASE turn % 3 WHEN 0 THEN 'sự thật ' || n WHEN 1 THEN 'Nếu khác đi' ELSE 'sự thật ' || n END END AS counterfactual FROM c""")
+def validated_explanations(spark, sf):
+    """Drafted explanations with planted faults: foreign quotes, unknown numbers and keys, missing statements.
+
+    Every fifth turn's draft quotes something that was never said; drafts for system turns state only a number that is
+    not known, so nothing of them stands.
+    """
+    n = F.length("text").cast("string")
+    item = lambda quote, reason: F.struct(quote.alias("quote"), reason.alias("reason"))
+    line = lambda stat, key: F.struct(stat.alias("stat"), F.lit(key).alias("stat_key"))
+    unknown = F.lit("có 987654321987 tin")
+    quote = F.when(F.col("turn") % 5 == 4, "chưa từng nói điều này §").otherwise(F.left("text", F.lit(40)))
+    why = F.struct(
+        F.array(item(quote, F.concat(F.lit("bạn viết "), n, F.lit(" ký tự"))), item(F.lit("§ lời của người khác §"), F.lit("không"))).alias("from_you"),
+        F.array(line(F.when(F.col("role") == "system", unknown).otherwise(F.concat(F.lit("có "), n, F.lit(" tin"))), "demand_count"), line(unknown, "salary"), line(F.lit("tốt"), "rumour")).alias("from_market"),
+        F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, "Nếu khác đi").otherwise("Nếu có 987654321987").alias("counterfactual"),
+    )
+    kept = explain.validated_why(why, F.array(F.left("text", F.lit(60))), F.array(n), F.concat(F.lit("sự thật "), n))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", kept.alias("why"))
+    return rows.select(
+        "conv_id", "turn", F.col("why.from_you")[0].quote.alias("quote"), F.col("why.from_you")[0].reason.alias("reason"),
+        F.array_join(F.transform("why.from_market", lambda m: m.stat), " | ").alias("market"), F.col("why.counterfactual").alias("counterfactual"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobatlas.catalog.base import postings, query, table, with_ctes
-from jobatlas.functions import grounding, hashing, parsing, privacy, scoring, text, turns
+from jobatlas.functions import grounding, hashing, parsing, privacy, text, turns
 from jobatlas.operators import guidance, links, matching, reports
 from jobatlas.operators.packs import meet, pack
 from jobatlas.plans import normalize

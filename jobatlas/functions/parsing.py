@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from jobatlas.functions.let import let
 from jobatlas.functions.numbers import round_exact
-from jobatlas.functions.text import ascii_tokens, contains_any, nfc, norm_match, norm_region, squeeze, strip_space
+from jobatlas.functions.text import ascii_tokens, contains_any, norm_match, norm_region, squeeze, strip_space
 
 # Fixed values.
 VND_PER_USD = 25500.0
@@ -37,6 +37,15 @@ SENIOR_WORDS = (
     "senior", "sr", "trưởng nhóm", "lead", "architect", "cto", "manager", "trưởng phòng", "giám đốc",
 )
 MID_WORDS = ("junior", "jr", "mid", "middle")
+SENIORITY_REASON = {
+    "entry_title": "Title contains entry keywords",
+    "senior_title": "Title contains senior keywords",
+    "mid_title": "Title contains mid/junior keywords",
+    "no_years": "Experience required is 0 years",
+    "many_years": "Experience required is >= 3 years",
+    "some_years": "Experience required is 1-2 years",
+    "none": "Could not determine seniority",
+}
 DEADLINE_WORDS = ("hạn", "han ", "deadline", "apply by", "hết hạn")
 RECENT_WORDS = ("giờ trước", "phút trước", "mới", "gần đây", "hôm nay")
 BENEFIT_HEADINGS = (
@@ -129,17 +138,17 @@ def determine_seniority(title: Column, years: Column) -> Column:
 
     def verdict(level: str, confidence: float, reason: str) -> Column:
         return F.struct(
-            F.lit(level).alias("seniority"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason")
+            F.lit(level).alias("seniority"), F.lit(confidence).alias("confidence"), F.lit(SENIORITY_REASON[reason]).alias("reason")
         )
 
     return (
-        F.when(contains_any(text, ENTRY_WORDS), verdict("entry", 1.0, "Title contains entry keywords"))
-        .when(contains_any(text, SENIOR_WORDS), verdict("senior", 1.0, "Title contains senior keywords"))
-        .when(contains_any(text, MID_WORDS), verdict("mid", 0.9, "Title contains mid/junior keywords"))
-        .when(years == 0, verdict("entry", 0.8, "Experience required is 0 years"))
-        .when(years >= 3, verdict("senior", 0.8, "Experience required is >= 3 years"))
-        .when(years.isNotNull(), verdict("mid", 0.8, "Experience required is 1-2 years"))
-        .otherwise(verdict("unknown", 0.0, "Could not determine seniority"))
+        F.when(contains_any(text, ENTRY_WORDS), verdict("entry", 1.0, "entry_title"))
+        .when(contains_any(text, SENIOR_WORDS), verdict("senior", 1.0, "senior_title"))
+        .when(contains_any(text, MID_WORDS), verdict("mid", 0.9, "mid_title"))
+        .when(years == 0, verdict("entry", 0.8, "no_years"))
+        .when(years >= 3, verdict("senior", 0.8, "many_years"))
+        .when(years.isNotNull(), verdict("mid", 0.8, "some_years"))
+        .otherwise(verdict("unknown", 0.0, "none"))
     )
 
 
@@ -214,12 +223,6 @@ def clean_text(value: Column, limit: int) -> Column:
     return F.substring(clean_html(value), 1, limit)
 
 
-def flatten_address(address: Column) -> Column:
-    """Preferred parts of a parsed address struct as comma text."""
-    parts = [address[k] for k in ("addressLocality", "addressRegion", "name", "value")]
-    return F.array_join(F.array_compact(F.array(*[F.when(p != "", p) for p in parts])), ", ")
-
-
 def salary_text(minimum: Column, maximum: Column, scalar: Column, currency: Column, unit: Column) -> Column:
     """Structured salary back to the text the salary parser reads; only plain numbers count."""
 

@@ -109,14 +109,6 @@ def overlap_score(weights: Column, n_role: Column, n_union: Column) -> Column:
     return F.when(n_role == 0, F.lit(0.0)).otherwise(clamp(blend))
 
 
-def skill_overlap(labels: Column, role_skills: Column) -> Column:
-    own = F.array_distinct(F.transform(labels, lambda p: p.label))
-    return let(
-        overlap_weights(labels, role_skills),
-        lambda w: overlap_score(w, F.size(role_skills), F.size(F.array_union(own, role_skills))),
-    )
-
-
 def market_signal(demand: Column, trend: Column, top_regions: Column | None = None, region: Column | None = None) -> Column:
     """Log demand times trend, with a small boost for a preferred top region."""
     base = clamp(F.log1p(F.coalesce(demand.cast("double"), F.lit(0.0))) / math.log1p(2000.0))

@@ -134,10 +134,6 @@ def py_fold(text: str) -> str:
     return "".join(c for c in base if not unicodedata.combining(c))
 
 
-def contains_phrases(c: Column, phrases) -> Column:
-    return c.rlike(any_phrase_regex(phrases))
-
-
 def contains_folded_phrases(folded: Column, phrases) -> Column:
     return folded.rlike(any_phrase_regex(sorted({py_fold(p) for p in phrases})))
 

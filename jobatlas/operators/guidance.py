@@ -30,6 +30,25 @@ BAND_REASON = {
     "no_skills": "Chưa có top skills thị trường cho vai trò này trong snapshot — hãy bổ sung project minh chứng chung.",
 }
 GENERIC_FOCUS = "kỹ năng cốt lõi của vai trò"
+GENERIC_TITLE = "việc entry-level"
+TITLE_SUFFIXES = (" fresher", " entry level", " thực tập")
+JUNIOR_SUFFIX = " junior"
+# Action, deliverable and reason of a week; {week} and {focus} are filled in.
+GAP_WEEK = (
+    "Làm một mini-project/minh chứng tập trung vào «{focus}»",
+    "1 link hoặc file tuần {week} (repo/notebook/PDF) thể hiện «{focus}»",
+    "Bổ sung evidence còn thiếu so với kỹ năng vai trò thường nêu: {focus}",
+)
+OWN_WEEK = (
+    "Chỉnh portfolio để làm nổi bật «{focus}» đã có evidence",
+    "1 bản cập nhật README/portfolio tuần {week} nêu rõ «{focus}» + link chứng minh",
+    "Tăng độ rõ của evidence đã có cho «{focus}» khi ứng tuyển entry-level",
+)
+GENERIC_WEEK = (
+    "Chọn 1 kỹ năng role và tạo output nhỏ kiểm chứng được ({focus})",
+    "1 artifact tuần {week} (file/link) + 3 bullet mô tả việc bạn đã làm",
+    "Tạo bằng chứng đầu tiên thay vì chỉ liệt kê kỹ năng chung chung",
+)
 
 
 def _route(values: tuple[str, str, str, str]) -> Column:
@@ -139,15 +158,15 @@ def band_reason(band: Column) -> Column:
 
 def search_queries(title: Column, aliases: Column, missing: Column) -> Column:
     """Two to four distinct queries without sensitive terms."""
-    name = F.when(F.trim(F.coalesce(title, F.lit(""))) == "", "việc entry-level").otherwise(F.trim(title))
+    name = F.when(F.trim(F.coalesce(title, F.lit(""))) == "", GENERIC_TITLE).otherwise(F.trim(title))
     alias, gap = F.get(aliases, F.lit(0)), F.get(missing, F.lit(0))
     built = F.array_compact(F.array(
-        F.concat(name, F.lit(" fresher")), F.concat(name, F.lit(" entry level")), F.concat(name, F.lit(" thực tập")),
-        F.when(alias.isNotNull(), F.concat(alias, F.lit(" junior"))),
+        *[F.concat(name, F.lit(suffix)) for suffix in TITLE_SUFFIXES],
+        F.when(alias.isNotNull(), F.concat(alias, F.lit(JUNIOR_SUFFIX))),
         F.when(gap.isNotNull(), F.concat(name, F.lit(" "), gap)),
     ))
     clean = F.filter(F.transform(built, squeeze), lambda q: (q != "") & ~q.rlike(SENSITIVE_QUERY))
-    more = F.array(F.concat(name, F.lit(" junior")))
+    more = F.array(F.concat(name, F.lit(JUNIOR_SUFFIX)))
     return let(
         F.slice(distinct_by_label(clean, lambda q: F.lower(q)), 1, 4),
         lambda kept: F.when(F.size(kept) >= 2, kept).otherwise(F.concat(kept, more)),
@@ -159,24 +178,15 @@ def weekly_actions(missing: Column, matched: Column) -> Column:
     def week(w: Column) -> Column:
         gap = F.get(missing, w - 1)
         own = F.get(matched, F.pmod(w - 1, F.greatest(F.size(matched), F.lit(1)))).skill
-        n = w.cast("string")
         focus = F.coalesce(gap, own, F.lit(GENERIC_FOCUS))
-        on_gap, on_own = gap.isNotNull(), own.isNotNull()
-        return F.struct(
-            w.alias("week"),
-            F.when(on_gap, F.concat(F.lit("Làm một mini-project/minh chứng tập trung vào «"), focus, F.lit("»")))
-            .when(on_own, F.concat(F.lit("Chỉnh portfolio để làm nổi bật «"), focus, F.lit("» đã có evidence")))
-            .otherwise(F.concat(F.lit("Chọn 1 kỹ năng role và tạo output nhỏ kiểm chứng được ("), focus, F.lit(")")))
-            .alias("action"),
-            F.when(on_gap, F.concat(F.lit("1 link hoặc file tuần "), n, F.lit(" (repo/notebook/PDF) thể hiện «"), focus, F.lit("»")))
-            .when(on_own, F.concat(
-                F.lit("1 bản cập nhật README/portfolio tuần "), n, F.lit(" nêu rõ «"), focus, F.lit("» + link chứng minh")))
-            .otherwise(F.concat(F.lit("1 artifact tuần "), n, F.lit(" (file/link) + 3 bullet mô tả việc bạn đã làm")))
-            .alias("deliverable"),
-            F.when(on_gap, F.concat(F.lit("Bổ sung evidence còn thiếu so với kỹ năng vai trò thường nêu: "), focus))
-            .when(on_own, F.concat(F.lit("Tăng độ rõ của evidence đã có cho «"), focus, F.lit("» khi ứng tuyển entry-level")))
-            .otherwise("Tạo bằng chứng đầu tiên thay vì chỉ liệt kê kỹ năng chung chung").alias("why"),
-        )
+
+        def filled(wording: str) -> Column:
+            return F.replace(F.replace(F.lit(wording), F.lit("{week}"), w.cast("string")), F.lit("{focus}"), focus)
+
+        def told(i: int) -> Column:
+            return F.when(gap.isNotNull(), filled(GAP_WEEK[i])).when(own.isNotNull(), filled(OWN_WEEK[i])).otherwise(filled(GENERIC_WEEK[i]))
+
+        return F.struct(w.alias("week"), told(0).alias("action"), told(1).alias("deliverable"), told(2).alias("why"))
 
     return F.transform(F.sequence(F.lit(1), F.lit(4)), week)
 

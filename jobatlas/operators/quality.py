@@ -288,6 +288,3 @@ def persona_distinctness(ranked: DataFrame, key: str = "session_id") -> DataFram
     )
 
 
-def same_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of either side missing on the other; empty when both runs have the same candidates."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))

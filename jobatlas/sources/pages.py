@@ -200,10 +200,6 @@ def payload_postings(pages: DataFrame, source: str, as_of: Column, crawled_at: C
     )
 
 
-def usable_postings(raw: DataFrame, min_chars: int = 100) -> DataFrame:
-    return raw.where((F.col("title") != "") & (F.length("description") >= min_chars))
-
-
 def sitemap_urls(sitemaps: DataFrame, condition, limit: int | None = None, seed: int | None = None) -> DataFrame:
     """``url, pos`` of ``seq, xml`` sitemaps: filtered, distinct, in listing or seeded order, optionally limited.
 

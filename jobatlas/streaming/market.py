@@ -13,11 +13,6 @@ from jobatlas.functions.parsing import parse_posted_date
 from jobatlas.operators.incremental import split_reusable
 
 
-def posting_stream(spark: SparkSession, path: str, schema: str, max_files: int = 1000) -> DataFrame:
-    """New raw posting files; the source's checkpoint is the resume offset."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(path)
-
-
 def new_postings(stream: DataFrame, event_time: Column, delay: str = "7 days") -> DataFrame:
     """First arrival of each id within the watermark."""
     timed = stream.withColumn("event_time", event_time.cast("timestamp"))
