@@ -53,6 +53,8 @@ class OpenDays(StatefulProcessor):
         career, region, shard = key
         before = pd.Timestamp(self.clock.get()[0]) if self.clock.exists() else None
         latest, flush = before, False
+        known = {day[0]: n[0] for day, n in self.days.iterator()}
+        days = dict(known)
         for batch in rows:
             flush = flush or bool(batch["flush"].any())
             batch = batch[~batch["flush"].astype(bool) & batch["event_time"].notna()]
@@ -63,19 +65,20 @@ class OpenDays(StatefulProcessor):
                 own = batch.loc[late, "event_time"]
                 yield pd.DataFrame({"kind": "late", "day": own.dt.date, "career_id": career, "region": region, "shard": shard, "n": 1, "event_time": own})
             for day, n in batch.loc[~late, "event_time"].dt.date.value_counts().items():
-                known = self.days.getValue((day,))[0] if self.days.containsKey((day,)) else 0
-                self.days.updateValue((day,), (int(known + n),))
+                days[day] = days.get(day, 0) + int(n)
             newest = batch["event_time"].max()
             latest = newest if latest is None else max(latest, newest)
         if latest is None:
             return
         self.clock.update((latest.to_pydatetime(),))
         done = (latest - self.delay).date()
-        days = [(d[0], n[0]) for d, n in self.days.iterator()]
-        closed = [x for x in days if x[0] < done]
-        for day, _ in closed:
-            self.days.removeKey((day,))
-        out = [("closed", *x) for x in closed] + ([("open", *x) for x in days if x[0] >= done] if flush else [])
+        # Only open days are kept; those that open and close within one batch never reach the state.
+        for day, n in days.items():
+            if day < done and day in known:
+                self.days.removeKey((day,))
+            elif day >= done and known.get(day) != n:
+                self.days.updateValue((day,), (n,))
+        out = [("closed" if day < done else "open", day, n) for day, n in sorted(days.items()) if day < done or flush]
         if out:
             yield pd.DataFrame([(kind, day, career, region, shard, n, pd.NaT) for kind, day, n in out], columns=["kind", "day", "career_id", "region", "shard", "n", "event_time"])
 
