@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 import uuid
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,9 @@ from jobatlas.llm.common import Memo, id_bucket, map_batches, read_table, text_b
 #: Labelled rows sampled per language, and the distinct words kept of them, the most frequent first.
 SAMPLE_ROWS, SAMPLE_WORDS = 400, 6000
 LANE = 40
-#: Letters by their category; numbers that look like letters are none.
-_RUNS = regex.compile(r"\p{L}+")
+#: Runs of letters by their category: word characters but digits, the underscore, and letter and other numbers.
+_NUMBERS = "".join(chr(c) for c in range(0xB2, 0x1FC00) if unicodedata.category(chr(c)) in ("No", "Nl"))
+_RUNS = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]+")
 
 
 class SuffixAutomaton:

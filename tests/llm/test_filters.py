@@ -85,3 +85,10 @@ def test_language_on_held_out_rows(spark, small, docs, no_docs):
     blank = {r[0] for r in rows() if not re.search(r"[^\W\d_]", r[1] or "") and r[0] is not None}
     assert blank == {r.doc_id for r in odd if r.lang_pred == "und" and r.doc_id is not None}
     assert language_id.identify_languages(no_docs).count() == 0
+
+
+def test_numbers_like_letters_are_no_letters(spark):
+    texts = ["² ½ ① Ⅷ", "12 _ 34", "", None, "the end ²"]
+    table = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(i, "the quick words of a plain text", "en") for i in range(10, 40)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify_languages(table).collect()}
+    assert [got[i] for i in range(5)] == ["und", "und", "und", "und", "en"]
