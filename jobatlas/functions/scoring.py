@@ -44,10 +44,10 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine clamped to 0..1; a zero vector gives 0."""
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine clamped to 0..1; a zero vector gives 0.  Norms that are known already need not be computed again."""
     return let(
-        F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)),
+        (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b),
         lambda norm: F.when(norm < 1e-24, F.lit(0.0)).otherwise(clamp(_dot(a, b) / norm)),
     )
 
@@ -100,6 +100,18 @@ def overlap_weights(labels: Column, role_skills: Column) -> Column:
     )
 
 
+def best_weights(labels: Column) -> Column:
+    """Each distinct label once, with its greatest weight."""
+    def best(label: Column) -> Column:
+        return F.aggregate(labels, F.lit(0.0), lambda w, p: F.when(p.label == label, F.greatest(w, p.weight)).otherwise(w))
+
+    return F.transform(F.array_distinct(F.transform(labels, lambda p: p.label)), lambda t: F.struct(t.alias("label"), best(t).alias("weight")))
+
+
+def norm(vec: Column) -> Column:
+    return F.sqrt(_dot(vec, vec))
+
+
 def overlap_score(weights: Column, n_role: Column, n_union: Column) -> Column:
     """Half Jaccard, half weighted coverage."""
     covered = F.aggregate(weights, F.lit(0.0), lambda s, w: s + F.coalesce(w, F.lit(0.0)))
