@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobatlas.functions.numbers import round_exact
+from jobatlas.functions.let import let
 from jobatlas.functions.scoring import (
-    DIMENSIONS, RankWeights, clean_hypothetical_skill, cosine, dim_vector, dominant_index, market_component,
-    market_signal, overlap_score, overlap_weights, total_score, weighted_labels,
+    DIMENSIONS, RankWeights, best_weights, clean_hypothetical_skill, cosine, dim_vector, dominant_index, market_component,
+    market_signal, norm, overlap_score, overlap_weights, total_score, weighted_labels,
 )
 from jobatlas.functions.text import norm_label
 from jobatlas.operators.packs import meet, pack
@@ -23,11 +24,10 @@ TOP_SHOWN = 5
 
 
 def prepare_profiles(profiles: DataFrame, keys=DIMENSIONS) -> DataFrame:
-    """Add what ranking needs of a profile: ``_vec``, ``_labels`` and the distinct labels ``_own``."""
-    labelled = profiles.withColumn("_vec", dim_vector(F.col("dimensions"), keys)).withColumn(
-        "_labels", weighted_labels(F.col("skills"), F.col("interests"), F.col("experiences"))
-    )
-    return labelled.withColumn("_own", F.array_distinct(F.transform("_labels", lambda p: p.label)))
+    """Add what ranking needs of a profile: ``_vec``, ``_labels`` (each once, best weight) and the labels alone, ``_own``."""
+    labels = let(weighted_labels(F.col("skills"), F.col("interests"), F.col("experiences")), best_weights)
+    labelled = profiles.withColumn("_vec", dim_vector(F.col("dimensions"), keys)).withColumn("_labels", labels)
+    return labelled.withColumn("_own", F.transform("_labels", lambda p: p.label))
 
 
 def career_item(keys=DIMENSIONS) -> Column:
@@ -35,19 +35,43 @@ def career_item(keys=DIMENSIONS) -> Column:
     vec = dim_vector(F.col("dimensions"), keys)
     skills = F.filter(F.array_distinct(F.transform("top_skills", norm_label)), lambda s: s != "")
     return F.struct(
-        "career_id", vec.alias("vec"), dominant_index(vec).alias("dom"), skills.alias("skills"),
+        "career_id", vec.alias("vec"), norm(vec).alias("norm"), dominant_index(vec).alias("dom"), skills.alias("skills"),
         F.col("demand_count_90d").cast("double").alias("demand"), F.col("trend_pct").cast("double").alias("trend"),
         F.coalesce("top_regions", F.array().cast("array<string>")).alias("top_regions"),
     )
 
 
+def _share_skills(packs: DataFrame) -> DataFrame:
+    """Packs with ``known``, their distinct skills; ``items`` hold the places of their skills there as ``at``.
+
+    Careers share most skills, so a profile is compared once with each skill of a pack instead of once per career.
+    """
+    known = packs.withColumn("known", F.array_distinct(F.flatten(F.transform("items", lambda c: c.skills))))
+
+    def numbered(c: Column) -> Column:
+        at = F.transform(c.skills, lambda s: (F.array_position(F.col("known"), s) - 1).cast("int"))
+        return c.withField("at", at).dropFields("skills")
+
+    return known.withColumn("items", F.transform("items", numbered))
+
+
 def _score_items(vec: Column, labels: Column, region: Column, weights: RankWeights, use_market: bool) -> Column:
-    """Score array of the packed careers, built in steps so that every part is computed once."""
+    """Score array of the packed careers; what depends on the profile alone is bound before the careers are walked."""
+    own = F.struct(
+        vec.alias("vec"), norm(vec).alias("norm"), overlap_weights(labels, F.col("known")).alias("best"),
+        F.transform("known", lambda s: F.array_contains("_own", s).cast("int")).alias("owned"), F.size("_own").alias("n"),
+    )
+    return let(own, lambda o: _score_bound(o, region, weights, use_market))
+
+
+def _score_bound(own: Column, region: Column, weights: RankWeights, use_market: bool) -> Column:
+    """The scores, built in steps so that every part is computed once."""
     def parts(c: Column) -> Column:
+        shared = F.aggregate(c.at, F.lit(0), lambda n, i: n + F.get(own.owned, i))
         return F.struct(
-            c.career_id.alias("career_id"), c.dom.alias("dom"), cosine(vec, c.vec).alias("cosine"),
-            overlap_weights(labels, c.skills).alias("hits"), F.size(c.skills).alias("n_role"),
-            F.size(F.array_union(F.col("_own"), c.skills)).alias("n_union"),
+            c.career_id.alias("career_id"), c.dom.alias("dom"), cosine(own.vec, c.vec, own.norm, c.norm).alias("cosine"),
+            F.transform(c.at, lambda i: F.get(own.best, i)).alias("hits"), F.size(c.at).alias("n_role"),
+            (own.n + F.size(c.at) - shared).alias("n_union"),
             market_signal(c.demand, c.trend, c.top_regions, region).alias("market"),
         )
 
@@ -84,10 +108,10 @@ def rank_careers(
     """
     ready = prepare_profiles(profiles, keys) if "_vec" not in profiles.columns else profiles
     packs, n_packs = pack(careers, career_item(keys))
-    met = meet(ready, packs, n_packs)
+    met = meet(ready, _share_skills(packs), n_packs)
     scored = _score_items(vec if vec is not None else F.col("_vec"), F.col("_labels"), F.col("constraints.region_pref"),
                           weights, use_market)
-    best = met.withColumn(out, F.slice(F.array_sort(scored), 1, k)).drop("items")
+    best = met.withColumn(out, F.slice(F.array_sort(scored), 1, k)).drop("items", "known")
     if n_packs == 1:
         return best
     merged = best.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list(out))), 1, k).alias(out))

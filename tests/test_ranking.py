@@ -135,3 +135,14 @@ def test_gap_and_actions(spark):
     assert [m["skill"] for m in row["g"]["matched"]] == ["SQL"] and row["g"]["missing"] == ["Excel", "C"]
     assert [w["week"] for w in row["w"]] == [1, 2, 3, 4] and "SQL" in row["w"][2]["action"]
     assert row["q"] == ["dev junior", "Nam Dev junior"]
+
+
+def test_profiles_are_compared_with_each_skill_once(spark):
+    """Skills that careers share are kept once in a pack, whose careers hold their places only."""
+    people, careers, stats = frames(spark)
+    features = career_features(careers, stats)
+    packs, n = ranking.pack(features, ranking.career_item())
+    shared = ranking._share_skills(packs).first()
+    want = {r.career_id: [s.lower() for s in r.top_skills] for r in features.select("career_id", "top_skills").collect()}
+    assert n == 1 and sorted(shared.known) == sorted({s for skills in want.values() for s in skills})
+    assert {c.career_id: [shared.known[i] for i in c["at"]] for c in shared["items"]} == want
