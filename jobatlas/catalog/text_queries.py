@@ -140,9 +140,10 @@ def number_grounding(spark, sf):
 @query(f"""SELECT d.doc_id, bool_or(contains(lower(trim(d.text)), lower(trim(b.text))) OR contains(lower(trim(b.text)), lower(trim(d.text)))) AS belongs
     FROM documents d, benchmark b GROUP BY d.doc_id""")
 def quote_membership(spark, sf):
-    packs, n = pack(table(spark, sf, "benchmark").where(F.col("text").isNotNull()), F.col("text"))
+    quotes = table(spark, sf, "benchmark").where(F.col("text").isNotNull()).select(grounding.quote_item(F.col("text")).alias("q")).distinct()
+    packs, n = pack(quotes, F.col("q"))
     tested = meet(documents(spark, sf).select("doc_id", "text"), packs, n)
-    return tested.groupBy("doc_id").agg(F.max(grounding.quote_belongs(F.col("text"), F.col("items"))).alias("belongs"))
+    return tested.groupBy("doc_id").agg(F.max(grounding.quotes_hold(F.col("text"), F.col("items"))).alias("belongs"))
 
 
 @query(f"""SELECT doc_id, {"CASE " + " ".join(f"WHEN {has_any('lower(text)', words)} THEN '{fam}'" for fam, words in parsing.JOB_FAMILIES.items())} ELSE 'Others' END AS family FROM documents""")

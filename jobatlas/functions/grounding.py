@@ -56,6 +56,42 @@ def quote_belongs(quote: Column, allowed: Column) -> Column:
     )
 
 
+def quote_item(quote: Column) -> Column:
+    """A quote made ready for ``quotes_hold``: its normal form, and the hash of three words amid it.
+
+    Words between blanks stand as such in every text around the quote; a quote without three inner ones has no hash.
+    """
+    def keyed(w: Column) -> Column:
+        middle = F.slice(w, F.greatest(F.floor((F.size(w) - 3) / 2), F.lit(1)).cast("int") + 1, F.lit(3))
+        return F.when(F.size(w) >= 5, F.get(_threes(middle), F.lit(0)))
+
+    form = F.lower(F.trim(quote))
+    return F.struct(let(F.split(form, " "), keyed).alias("key"), form.alias("form"))
+
+
+def _threes(words: Column) -> Column:
+    """Hash of every three neighbouring words."""
+    three = F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.size(words)).alias("b"), F.slice(words, F.lit(3), F.size(words)).alias("c"))
+    return F.transform(F.slice(three, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), lambda t: F.xxhash64(t["a"], t["b"], t["c"]))
+
+
+def quotes_hold(quote: Column, items: Column) -> Column:
+    """``quote_belongs`` against ``quote_item`` rows: only those whose three words occur are looked for in the text."""
+    longest = F.array_max(F.transform(items, lambda i: F.length(i.form)))
+
+    def around(q: Column) -> Column:
+        def tested(hits: Column) -> Column:
+            return F.exists(items, lambda i: (i.key.isNull() | F.array_contains(hits, i.key)) & q.contains(i.form))
+
+        keys = F.array_compact(F.transform(items, lambda i: i.key))
+        return let(F.array_intersect(_threes(F.split(q, " ")), keys), tested)
+
+    def inside(q: Column) -> Column:
+        return F.when(F.length(q) <= longest, F.exists(items, lambda i: i.form.contains(q))).otherwise(False)
+
+    return let(F.lower(F.trim(F.coalesce(quote, F.lit("")))), lambda q: (q != "") & (inside(q) | around(q)))
+
+
 def dotted_thousands(n: Column) -> Column:
     return F.replace(F.format_number(n.cast("long"), 0), F.lit(","), F.lit("."))
 

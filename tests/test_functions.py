@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,16 @@ def test_turn_slots(spark):
     assert values(spark, ["em ở Đà Nẵng", "sài gòn", "huế"], turns.region_slot(F.col("v"))) == ["danang", "hcm", None]
     assert values(spark, ["muốn làm dữ liệu", "thích marketing", "hôm nay mưa"], turns.job_goal(F.col("v"))) == [
         "việc dữ liệu / phân tích entry-level", "việc digital marketing entry-level", None]
+
+
+def test_indexed_quotes_equal_the_plain_test(spark):
+    rng = random.Random(7)
+    words = ["an", "bee", "cat", "dog", "Emu", "ß", "é"]
+    quotes = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 7))) for _ in range(60)] + ["  fox  an bee cat dog  ", ""[:0] or "x"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    texts += ["zz" + q + "yy" for q in quotes] + [q[1:-1] for q in quotes] + [None, "", "  ", "fox  an bee cat dog"]
+    items = spark.createDataFrame([(q,) for q in quotes[::3] + ["fox  an bee cat dog"]], "q string")
+    packs = items.agg(F.collect_list("q").alias("plain"), F.collect_list(grounding.quote_item(F.col("q"))).alias("items"))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").crossJoin(packs)
+    got = rows.select(grounding.quotes_hold(F.col("t"), F.col("items")).alias("a"), grounding.quote_belongs(F.col("t"), F.col("plain")).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and len({r.a for r in got}) == 2
