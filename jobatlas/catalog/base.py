@@ -37,13 +37,22 @@ EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 PART_TYPES = ("ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD", "LARGE")
 
 
+#: Lines that one task gathers into orders.
+LINES_A_TASK = 1_000_000
+
+
 def order_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """First brand and title plus the distinct part types of every order: one shuffle on the order key."""
+    """First brand and title plus the distinct part types of every order: one shuffle on the order key.
+
+    Lines are dealt by order before they are gathered, into more parts as there are more lines: a task holds a bounded
+    number of them, and nothing is sorted before the shuffle.
+    """
     parts = table(spark, sf, "part").select("p_partkey", "p_brand", "p_name", "p_type")
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     first = F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_brand", "p_name"))
     joined = lines.join(parts, lines["l_partkey"] == parts["p_partkey"])
-    return joined.groupBy("l_orderkey").agg(first.alias("f"), F.array_sort(F.collect_set("p_type")).alias("skills")).select(
+    n_parts = max(spark.sparkContext.defaultParallelism, -(-lines.count() // LINES_A_TASK))
+    return joined.repartition(n_parts, "l_orderkey").groupBy("l_orderkey").agg(first.alias("f"), F.array_sort(F.collect_set("p_type")).alias("skills")).select(
         "l_orderkey", F.col("f.p_brand").alias("career_id"), F.col("f.p_name").alias("title"), "skills"
     )
 

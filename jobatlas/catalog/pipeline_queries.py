@@ -10,6 +10,7 @@ from jobatlas.catalog.text_queries import NORM, RAW, raw_postings
 from jobatlas.functions.text import norm_match, word_tokens
 from jobatlas.operators import dedupe, evaluation, incremental, market, matching, quality, reports, sampling
 from jobatlas.plans import normalize
+from jobatlas.session import cut_lineage
 
 # ---------------------------------------------------------------- skills in documents
 
@@ -442,7 +443,8 @@ def market_input_violations(spark, sf):
 def gold_contract_violations(spark, sf):
     lines = order_lines(spark, sf)
     status = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("career_group"), F.col("o_orderpriority").alias("region"))
-    gold = lines.join(status, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").cast("string").alias("posting_id"), "region", "career_group", "skills")
+    # Six rules read the orders; they are gathered once.
+    gold = cut_lineage(lines.join(status, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").cast("string").alias("posting_id"), "region", "career_group", "skills"))
     labels = table(spark, sf, "part").select(F.col("p_type").alias("skill")).distinct().where(F.col("skill") != "PROMO")
     return quality.gold_violations(gold, labels, 100, 3, 5, None)
 

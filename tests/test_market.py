@@ -4,6 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from jobatlas.catalog import base
 from jobatlas.operators import market
 
 END = dt.date(2026, 7, 1)
@@ -67,3 +68,12 @@ def test_skill_gap_score(spark):
     got = {(r["skill"], r["region"]): r for r in market.skill_stats(rows(spark, 12), END).collect()}
     assert got["Python", "all"]["gap_score"] == 1.0 and got["SQL", "all"]["gap_score"] == round(4 / 12, 4)
     assert got["Python", "all"]["related_careers"] == ["dev"]
+
+
+def test_more_lines_are_dealt_over_more_tasks(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "b", "n", "t")], "p_partkey long, p_brand string, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(400).select((F.col("id") % 50).alias("l_orderkey"), F.lit(1).cast("long").alias("l_partkey"), F.lit(1).cast("long").alias("l_suppkey"),
+                            F.col("id").cast("int").alias("l_linenumber")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(base, "LINES_A_TASK", 20)
+    orders = base.order_lines(spark, str(tmp_path))
+    assert orders.rdd.getNumPartitions() == 20 and orders.count() == 50
