@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from jobatlas.functions.parsing import canonical_url, clean_html, is_expired, salary_text, split_skills, stable_job_id
 from jobatlas.operators.sampling import seeded_order
@@ -35,20 +35,29 @@ def _deep_find(value, wanted: str):
     return None
 
 
-@F.pandas_udf(T.StringType())
-def _first_job(scripts: pd.Series) -> pd.Series:
+#: Pages whose scripts are Python objects at a time.
+PAGES_A_SLICE = 64
+
+
+def _first_job(bodies) -> str | None:
     """First ``JobPosting`` object among a page's scripts, at any depth, as JSON text."""
-    def pick(bodies) -> str | None:
-        for body in bodies:
-            try:
-                found = _deep_find(json.loads(body), "JobPosting")
-            except ValueError:
-                continue
-            if found is not None:
-                return json.dumps(found, ensure_ascii=False)
-        return None
+    for body in bodies or ():
+        try:
+            found = _deep_find(json.loads(body), "JobPosting")
+        except ValueError:
+            continue
+        if found is not None:
+            return json.dumps(found, ensure_ascii=False)
+    return None
+
 
-    return scripts.map(pick)
+def _first_jobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``url, job`` of ``url, scripts``, slice by slice: besides the batch itself a worker holds a slice's objects only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PAGES_A_SLICE):
+            part = batch.slice(at, PAGES_A_SLICE)
+            jobs = pa.array([_first_job(scripts) for scripts in part.column("scripts").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("url").cast(pa.string()), jobs], ["url", "job"])
 
 
 def _field(job: Column, path: str) -> Column:
@@ -98,7 +107,8 @@ def jsonld_postings(pages: DataFrame, source: str, as_of: Column, crawled_at: Co
     Pages without such a script are dropped by a plain substring test before any parsing.
     """
     hinted = pages.where(F.col("html").contains("JobPosting") & F.lower("html").contains("ld+json"))
-    found = hinted.select("url", _first_job(F.regexp_extract_all("html", F.lit(LD_JSON), F.lit(1))).alias("job"))
+    scripts = hinted.select("url", F.regexp_extract_all("html", F.lit(LD_JSON), F.lit(1)).alias("scripts"))
+    found = scripts.mapInArrow(_first_jobs, "url string, job string")
     job = F.col("job")
     live = found.where(job.isNotNull() & ~is_expired(_field(job, "validThrough"), as_of))
     months = _field(job, "experienceRequirements.monthsOfExperience")

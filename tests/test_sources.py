@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from jobatlas.operators import sampling
@@ -120,3 +121,12 @@ def test_commit_log(spark, tmp_path):
     assert commits.expire(spark, path, 3_600_000, now) == []
     assert commits.expire(spark, path, 1000, now + 10_000) == [1, 2]
     assert len(list((tmp_path / "t" / "_data").iterdir())) == 1 and commits.read_current(spark, path).count() == 7
+
+
+def test_pages_are_parsed_in_small_slices():
+    n = 3 * pages.PAGES_A_SLICE + 1
+    scripts = [['not json', '{"@graph": [{"x": 1}, {"@type": "JobPosting", "title": "T%d"}]}' % i] for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(n)]), pa.array(scripts, pa.list_(pa.string()))], ["url", "scripts"])
+    parts = list(pages._first_jobs(iter([batch])))
+    assert max(p.num_rows for p in parts) <= pages.PAGES_A_SLICE
+    assert [json.loads(j)["title"] for p in parts for j in p.column("job").to_pylist()] == [f"T{i}" for i in range(n)]
