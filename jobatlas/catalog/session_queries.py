@@ -185,8 +185,10 @@ CRAWLED = "2030-01-01"
 
 
 def _demand(spark, sf, parts, deadlines=False):
-    """Orders as a stream of files, one file a batch: those of each condition in ``parts``, then a flush of all shards.
+    """Orders as a stream of files, one batch each: those of each condition in ``parts``, then a flush of all shards.
 
+    The stream goes on from its checkpoint after each part and takes all files written since, so every part is written
+    and read by many tasks.
     Event times are resolved in the stream from the date as written; with ``deadlines``, that of a pending order is one.
     """
     base = _run_folder(spark)
@@ -203,16 +205,15 @@ def _demand(spark, sf, parts, deadlines=False):
     try:
         for part in (*parts, None):
             own = rows.where(part).drop("ordered").withColumn("flush", F.lit(False)) if part else keyed.select(F.lit(None).cast("string").alias("posted_date_raw"), "*", F.lit(True).alias("flush"))
-            own.coalesce(1).write.mode("append").parquet(f"{base}/in")
-        # Files arrive in the order they were written, one a batch.
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in").withColumn("crawled_at", F.lit(CRAWLED).cast("timestamp"))
-        stream = market_stream.resolved_event_time(stream, F.lit(CRAWLED).cast("timestamp"))
-        counts = market_stream.daily_demand(stream, "7 days", F.col("shard"))
-        run = counts.writeStream.foreachBatch(market_stream.write_demand(f"{base}/main", f"{base}/late")).option("checkpointLocation", f"{base}/state")
-        run = run.outputMode("append").trigger(availableNow=True).start()
-        run.awaitTermination()
-        if run.exception() is not None:
-            raise run.exception()
+            own.write.mode("append").parquet(f"{base}/in")
+            stream = spark.readStream.schema(schema).parquet(f"{base}/in").withColumn("crawled_at", F.lit(CRAWLED).cast("timestamp"))
+            stream = market_stream.resolved_event_time(stream, F.lit(CRAWLED).cast("timestamp"))
+            counts = market_stream.daily_demand(stream, "7 days", F.col("shard"))
+            run = counts.writeStream.foreachBatch(market_stream.write_demand(f"{base}/main", f"{base}/late")).option("checkpointLocation", f"{base}/state")
+            run = run.outputMode("append").trigger(availableNow=True).start()
+            run.awaitTermination()
+            if run.exception() is not None:
+                raise run.exception()
     finally:
         spark.conf.set(provider, before)
     return base

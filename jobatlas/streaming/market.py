@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,12 +61,16 @@ class OpenDays(StatefulProcessor):
             batch = batch[~batch["flush"].astype(bool) & batch["event_time"].notna()]
             if batch.empty:
                 continue
-            late = batch["event_time"] < before - self.delay if before is not None else pd.Series(False, index=batch.index)
+            late = (batch["event_time"] < before - self.delay).to_numpy() if before is not None else np.zeros(len(batch), bool)
+            # Dates are made once for each distinct day.
+            place, distinct = pd.factorize(batch["event_time"].dt.normalize())
+            dates = np.array([at.date() for at in distinct], object)
             if late.any():
                 own = batch.loc[late, "event_time"]
-                yield pd.DataFrame({"kind": "late", "day": own.dt.date, "career_id": career, "region": region, "shard": shard, "n": 1, "event_time": own})
-            for day, n in batch.loc[~late, "event_time"].dt.date.value_counts().items():
-                days[day] = days.get(day, 0) + int(n)
+                yield pd.DataFrame({"kind": "late", "day": dates[place[late]], "career_id": career, "region": region, "shard": shard, "n": 1, "event_time": own})
+            for day, n in zip(dates, np.bincount(place[~late], minlength=len(dates)).tolist()):
+                if n:
+                    days[day] = days.get(day, 0) + n
             newest = batch["event_time"].max()
             latest = newest if latest is None else max(latest, newest)
         if latest is None:

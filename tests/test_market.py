@@ -1,11 +1,13 @@
 import datetime as dt
+import pathlib
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from jobatlas.catalog import base
+from jobatlas.catalog import base, session_queries
 from jobatlas.operators import market
+from jobatlas.streaming import market as market_stream
 
 END = dt.date(2026, 7, 1)
 SCHEMA = ("id string, source string, career_id string, region string, posted_date date, salary_min_trieu double, "
@@ -77,3 +79,17 @@ def test_more_lines_are_dealt_over_more_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(base, "LINES_A_TASK", 20)
     orders = base.order_lines(spark, str(tmp_path))
     assert orders.rdd.getNumPartitions() == 20 and orders.count() == 50
+
+
+def test_late_and_counted_days_of_large_batches(spark, tmp_path):
+    """A part of the stream is written by several tasks and still is one batch."""
+    days = spark.range(0, 4000, 1, 4).select(
+        F.col("id").alias("o_orderkey"), F.expr("timestamp'1995-01-01' + make_dt_interval(cast(id % 700 as int))").alias("o_orderdate"),
+        F.lit("1-URGENT").alias("o_orderpriority"), F.lit("F").alias("o_orderstatus"))
+    days.write.parquet(f"{tmp_path}/orders.parquet")
+    folder = session_queries._demand(spark, str(tmp_path), ["month(ordered) > 3", "month(ordered) <= 3"]).removeprefix("file:")
+    assert len(list(pathlib.Path(folder, "in").glob("*.parquet"))) >= 8
+    assert len(list(pathlib.Path(folder, "state", "commits").glob("[0-9]*"))) == 3
+    late = spark.read.parquet(f"{folder}/late").count()
+    counted = market_stream.merged_demand(spark, f"{folder}/main").agg(F.sum("n")).first()[0]
+    assert late > 0 and late + counted == 4000
