@@ -268,12 +268,13 @@ def streamed_session_profiles(spark, sf):
     events = conversation_turns(spark, sf).withColumn("patch", F.lit(None).cast("string")).withColumn("erase", F.lit(False))
     # One file holds whole sessions, so that their order does not depend on the order of files.
     events.repartition("session_id").write.parquet(f"{base}/in")
-    # Few files a trigger bound what a micro-batch holds of one session; the session's own provider comes back afterwards.
+    # A session is in one file, so a micro-batch holds no more of it with more files; each core gets some of them.
+    # The session's own provider comes back afterwards.
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4 * spark.sparkContext.defaultParallelism).parquet(f"{base}/in")
         _drain(session_profiles(stream, ttl_ms=None), f"{base}/out", f"{base}/state")
     finally:
         spark.conf.set(provider, before)
