@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from jobatlas.functions.let import let
 from jobatlas.functions.parsing import relevant_description
 from jobatlas.functions.scoring import labels_match
-from jobatlas.functions.text import norm_label, norm_match, word_tokens
+from jobatlas.functions.text import contains_any, norm_label, norm_match, word_tokens
 from jobatlas.operators.packs import meet, pack
+from jobatlas.operators.spans import apart_rows, kept_rows, kept_skills
 
 UNMAPPED = "unmapped"
 #: Characters of the grams that patterns are filed under.
@@ -118,10 +118,7 @@ def token_table(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     ``wary`` marks texts with a word of negation.  Nothing of a text but its words travels on.
     """
-    wary = F.lit(False)
-    for word in NEGATION_WORDS:
-        wary = wary | F.col(text).contains(word)
-    cut = texts.select(key, wary.alias("wary"), pieces(F.col(text)).alias("_p"))
+    cut = texts.select(key, contains_any(F.col(text), NEGATION_WORDS).alias("wary"), pieces(F.col(text)).alias("_p"))
     cut = cut.select(key, "wary", "_p", _first_word(F.col("_p")).alias("_first"))
     # Pieces beside the next and the one after it: all of it stays in generated code, without a function per item.
     size = F.size("_p")
@@ -132,22 +129,26 @@ def token_table(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _alias_hits(texts: DataFrame, aliases: DataFrame, key: str, text: str, wary: bool) -> DataFrame:
-    """``key, skill, taxonomy_order, alias, start, end`` of every occurrence, less the negated ones if ``wary``.
+    """``key, skill, taxonomy_order, alias, again, start, end`` of every occurrence, less the negated ones if ``wary``.
 
     Words and pairs meet the dictionary in one equi-join.  Most hits are settled by it.  The others, and those in texts
-    with a negation, are gathered per text and compared with its pieces, so a text is joined at most once.  Places are
-    numbers of a piece times 2**32 plus characters into it, and order as characters do.
+    with a negation, are gathered per text and compared with its pieces, so a text is joined at most once; texts that
+    can have none of them are not cut for it.  Places are numbers of a piece times 2**32 plus characters into it, and
+    order as characters do.  ``again`` is the alias where ``wary`` asks that hits inside an earlier one be dropped still.
     """
     columns = ("skill", "taxonomy_order", "alias", "head", "middle", "tail", "n_words", "may_overlap_itself")
     worded = aliases.where("n_words > 0")
-    met = token_table(texts, key, text).join(worded.select("alias_key", "settled", *columns), "alias_key")
+    has_bare, has_open = aliases.agg(F.bool_or(F.col("n_words") == 0), F.bool_or((F.col("n_words") > 0) & ~F.col("settled"))).first()
+    known = worded.select("alias_key", "settled", *columns)
+    met = token_table(texts, key, text).join(known.where("settled"), "alias_key")
     place = lambda i: i.cast("long") * F.lit(1 << 32)
     after = F.col("at") + 2 * F.col("n_words") - 1
-    done = F.col("settled") & ~F.col("wary") & ~F.col("may_overlap_itself") if wary else F.col("settled")
-    found = (key, "skill", "taxonomy_order", "alias")
+    done = F.col("settled") & ~F.col("wary") if wary else F.col("settled")
+    again = F.when(F.lit(wary) & F.col("may_overlap_itself"), F.col("alias")).alias("again")
+    found = (key, "skill", "taxonomy_order", "alias", again)
     settled = met.where(done).select(*found, place(F.col("at")).alias("start"), place(after).alias("end"))
-    open_ = met.where(~done).groupBy(key).agg(F.collect_list(F.struct("at", *columns)).alias("_hits"))
-    bare = aliases.where("n_words = 0")
+    unsure = texts if has_open else texts.where(contains_any(F.col(text), NEGATION_WORDS))
+    open_ = token_table(unsure, key, text).join(known, "alias_key").where(~done).groupBy(key).agg(F.collect_list(F.struct("at", *columns)).alias("_hits"))
 
     def before(parts: Column, i: Column) -> Column:
         return F.when(i >= 2, F.get(parts, i - 2)).otherwise("")
@@ -174,8 +175,8 @@ def _alias_hits(texts: DataFrame, aliases: DataFrame, key: str, text: str, wary:
 
     def one_by_one(hits: Column) -> Column:
         """Without those that begin inside an earlier kept one of the same alias, as in a scan from left to right."""
-        again = F.array_sort(F.transform(F.filter(hits, lambda h: h.may_overlap_itself), lambda h: F.struct(h["alias"].alias("a"), h.at.alias("at"), h.alias("h"))))
-        state = F.struct(F.lit(None).cast("string").alias("a"), F.lit(0).alias("end"), F.slice(hits, F.lit(1), F.lit(0)).alias("kept"))
+        again = F.array_sort(F.transform(F.filter(hits, lambda h: h.may_overlap_itself), lambda h: F.struct(F.struct(h["alias"].alias("alias"), h.skill.alias("skill")).alias("a"), h.at.alias("at"), h.alias("h"))))
+        state = F.struct(F.lit(None).cast("struct<alias: string, skill: string>").alias("a"), F.lit(0).alias("end"), F.slice(hits, F.lit(1), F.lit(0)).alias("kept"))
 
         def step(s: Column, x: Column) -> Column:
             kept = F.struct(x.a.alias("a"), (x.at + 2 * x.h.n_words - 1).alias("end"), F.concat(s.kept, F.array(x.h)).alias("kept"))
@@ -192,11 +193,13 @@ def _alias_hits(texts: DataFrame, aliases: DataFrame, key: str, text: str, wary:
             F.when(h.head == "", place(h.at)).otherwise(place(h.at - 1) + F.length(before(parts, h.at)) - F.length(h.head)).alias("start"),
             (place(h.at + 2 * h.n_words - 1) + F.length(h.tail)).alias("end")))
 
-    checked = open_.join(texts.select(key, F.col(text).alias("_text")), key)
-    checked = checked.select(key, F.explode(let(pieces(F.col("_text")), lambda p: spans(p, F.col("_hits")))).alias("s")).select(key, "s.*")
-    found_all = settled.unionByName(checked)
+    every = settled
+    if wary or has_open:
+        checked = open_.join(unsure.select(key, F.col(text).alias("_text")), key)
+        checked = checked.select(key, F.explode(let(pieces(F.col("_text")), lambda p: spans(p, F.col("_hits")))).alias("s")).select(key, "s.*")
+        every = every.unionByName(checked, allowMissingColumns=True)
     # A dictionary seldom has an alias without a word; only then are gaps looked at.
-    return found_all if bare.isEmpty() else found_all.unionByName(_bare_hits(texts, bare, key, text, wary))
+    return every.unionByName(_bare_hits(texts, aliases.where("n_words = 0"), key, text, wary), allowMissingColumns=True) if has_bare else every
 
 
 def _bare_hits(texts: DataFrame, bare: DataFrame, key: str, text: str, wary: bool) -> DataFrame:
@@ -232,42 +235,40 @@ def alias_mentions(texts: DataFrame, aliases: DataFrame, key: str = "id", text:
 
     ``text`` is normalized.  Texts that are null or hold no alias give no row; ``key`` must be unique.
     """
-    return _alias_hits(texts, aliases, key, text, True)
+    rows = _by_place(_alias_hits(texts, aliases, key, text, True), key, "alias", "again")
+    names = (key, "start", "end", "size", "taxonomy_order", "skill", "alias")
+    return rows.mapInArrow(apart_rows, _schema(rows, *names)).select(key, "skill", "taxonomy_order", "alias", "start", "end")
+
+
+def _by_place(mentions: DataFrame, key: str, *columns: str) -> DataFrame:
+    """A text's mentions next to each other, by start and end."""
+    rows = mentions.select(key, "start", "end", F.length("alias").alias("size"), "taxonomy_order", "skill", *columns)
+    return rows.repartition(key).sortWithinPartitions(key, "start", "end")
+
+
+def _schema(rows: DataFrame, *columns: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
 
 
 def resolve_overlaps(mentions: DataFrame, key: str = "id") -> DataFrame:
     """Keep longest-first, non-overlapping mentions.
 
-    Mentions are first cut into clusters of touching spans, so the greedy step only
-    ever sees one small cluster even in a very long text.
+    A task walks its texts' mentions in order and settles a cluster of touching spans once it has ended, so a very long
+    text needs memory for one cluster only.
     """
-    order = W.partitionBy(key).orderBy("start", "end")
-    furthest = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    cluster = F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))
-    clustered = mentions.withColumn(
-        "_new", F.when(F.col("start") < furthest, 0).otherwise(1)
-    ).withColumn("_cluster", cluster)
-    item = F.struct(
-        (-F.length("alias")).alias("rank"), "start", "taxonomy_order", "end", "skill", "alias"
-    )
-    grouped = clustered.groupBy(key, "_cluster").agg(F.array_sort(F.collect_list(item)).alias("m"))
-    kept = F.aggregate(
-        F.slice(F.col("m"), 2, F.greatest(F.size("m") - 1, F.lit(0))),
-        F.slice(F.col("m"), 1, 1),
-        lambda acc, x: F.when(F.exists(acc, lambda o: (x.start < o.end) & (o.start < x.end)), acc).otherwise(
-            F.concat(acc, F.array(x))
-        ),
-    )
-    return grouped.select(key, F.explode(kept).alias("k")).select(
-        key, "k.skill", "k.taxonomy_order", "k.alias", "k.start", "k.end"
-    )
+    rows = _by_place(mentions, key, "alias")
+    names = (key, "start", "end", "taxonomy_order", "skill", "alias")
+    kept = rows.mapInArrow(kept_rows, _schema(rows, *names))
+    return kept.select(key, "skill", "taxonomy_order", "alias", "start", "end")
 
 
 def tag_skills(texts: DataFrame, aliases: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """Distinct skills of each text in taxonomy order: ``key, skills``.  Texts without any are absent."""
-    kept = resolve_overlaps(alias_mentions(texts, aliases, key, text), key)
-    ordered = F.array_sort(F.collect_set(F.struct("taxonomy_order", "skill")))
-    return kept.groupBy(key).agg(F.transform(ordered, lambda s: s.skill).alias("skills"))
+    """Distinct skills of each text in taxonomy order: ``key, skills``.  Texts without any are absent.
+
+    Overlaps are resolved as in ``resolve_overlaps``; the lists are made in the same walk.
+    """
+    rows = _by_place(_alias_hits(texts, aliases, key, text, True), key, "again")
+    return rows.mapInArrow(kept_skills, f"{_schema(rows, key)}, skills array<string>")
 
 
 def find_skills(texts: DataFrame, aliases: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
