@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,10 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 << 20
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of ``batch`` with about SLICE_BYTES of ``column`` each, in order."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of ``batch`` with about ``size`` bytes of ``column`` each, in order."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    group = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    group = (np.cumsum(sizes) - sizes) // size
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         if hi > lo:
@@ -36,7 +37,11 @@ class Words:
         offsets = words.offsets.to_numpy(zero_copy_only=False)
         self.ends = counts[offsets[1:] - offsets[0]]
         self.index = index[keep]
-        self.distinct: list[str] = flat.dictionary.to_pylist()
+        self.dictionary: pa.Array = flat.dictionary
+
+    @cached_property
+    def distinct(self) -> list[str]:
+        return self.dictionary.to_pylist()
 
     def gather(self, value: Callable[[str], bytes], end: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, ends per text): the values of a text's words one after the other, ``end`` after each text."""

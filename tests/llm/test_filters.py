@@ -92,3 +92,19 @@ def test_numbers_like_letters_are_no_letters(spark):
     table = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(i, "the quick words of a plain text", "en") for i in range(10, 40)], "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in language_id.identify_languages(table).collect()}
     assert [got[i] for i in range(5)] == ["und", "und", "und", "und", "en"]
+
+
+def test_runs_parsed_by_tables_count_as_the_automata_do(monkeypatch):
+    """Rare characters without a column, unknown ones, long runs, capitals that grow or look around them, broken bytes."""
+    rng = np.random.default_rng(4)
+    learnt = {k: " " + " ".join("".join(rng.choice(list(letters), rng.integers(1, 7))) for _ in range(300)) + " " for k, letters in {"x": "abcé", "y": "bcdσς", "z": "a中文字б"}.items()}
+    automata = {k: language_id.SuffixAutomaton(t) for k, t in learnt.items()}
+    texts = [r[1] or "" for r in rows()] + ["ΑΣ ΑΣΒ Σ", "İstanbul a̧b", "ab" * 90, "abc中d 字 бab", "a_b1c ²d", "éÉ, abc!! ABC\x1cdc\x85b"]
+    texts += ["".join(rng.choice(list("abcdéσ中q ,"), 200)) for _ in range(30)]
+    raw = [t.encode() for t in texts] + [b"ab\xff\xe4 c\xe4\xb8 ab"]
+    for cells in (1 << 25, 3000, 1):
+        monkeypatch.setattr(language_id, "TABLE_CELLS", cells)
+        got = language_id.Parser(automata)._totals(language_id.pa.array(raw, language_id.pa.binary()))
+        for t, own in zip(raw, got.tolist(), strict=True):
+            runs = [w for part in t.split() for w in language_id._RUNS.findall(part.decode("utf-8", "replace").lower())]
+            assert own == [sum(a.phrases(f" {w} ") for w in runs) for a in automata.values()], t
