@@ -183,7 +183,7 @@ class Parser:
     def _totals(self, texts: pa.Array) -> np.ndarray:
         """Phrases of each text (rows) for each language (columns)."""
         words = Words(texts)
-        lines = b"\n".join(words.dictionary.cast(pa.large_binary()).to_pylist()).decode("utf-8", "replace").lower()
+        lines = words.lines().lower()
         codes = np.frombuffer(lines.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         letter = np.zeros(len(codes) + 2, dtype=np.int8)
         letter[1:-1] = _letter_table()[codes]

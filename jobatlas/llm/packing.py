@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -14,13 +15,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobatlas.llm.common import Memo, read_table, save, text_bytes
-from jobatlas.llm.word_batches import Words, slices
+from jobatlas.llm.word_batches import Words, binary_column, slices, taken
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 2048, 0
 #: Words in these characters alone are cut and lower-cased without the tokenizer's own normalizer.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Pieces of such words, which stand in lines; the end of a line is a piece of its own.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+|\n")
+#: What sends a word to the tokenizer's own normalizer.
+_ODD = re.compile(r"<\||[^!-~À-ÖØ-öø-ÿ\n]")
+#: Bytes of text tokenized at a time, and pieces remembered from one batch to the next.
+TEXT_BYTES, KNOWN_PIECES = 8 << 20, 200_000
 
 
 class WordTokenizer:
@@ -39,6 +45,8 @@ class WordTokenizer:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in own]
         self.visible = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.visible_lines = {b: c for b, c in self.visible.items() if b != 10}
+        self.known: dict[str, bytes] = {}
         self.pieces, self.words = Memo(self._piece, 100_000), Memo(self._word, 100_000)
 
     def _piece(self, piece: str) -> bytes:
@@ -50,6 +58,51 @@ class WordTokenizer:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces without white space, all not remembered ones at once."""
+        found = list(map(self.known.get, pieces))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            shown = "\n".join([pieces[i] for i in new]).encode().decode("latin-1").translate(self.visible_lines).split("\n")
+            tokens = [[t.id for t in self.model.tokenize(p)] for p in shown]
+            flat = np.fromiter(chain.from_iterable(tokens), "<u4").tobytes()
+            if len(self.known) + len(new) > KNOWN_PIECES:
+                self.known.clear()
+            at = 0
+            for i, own in zip(new, tokens, strict=True):
+                to = at + 4 * len(own)
+                found[i] = flat[at:to]
+                at = to
+            self.known.update((pieces[i], found[i]) for i in new[:KNOWN_PIECES])
+        return found
+
+    def batch(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of the ids, ends per text) of a column of texts, ``end`` after each; a distinct piece is looked up once."""
+        words = Words(texts)
+        n, lines = len(words.dictionary), words.lines()
+        breaks = np.flatnonzero(np.frombuffer(lines.encode("utf-32-le"), dtype="<u4") == 10)
+        own = np.unique(np.searchsorted(breaks, [m.start() for m in _ODD.finditer(lines)])).astype(np.int64)
+        others = []
+        if len(own):
+            each = lines.split("\n")
+            for i in own.tolist():
+                others.append(self.words[each[i]])
+                each[i] = ""
+            lines = "\n".join(each)
+        pieces = pa.array(_PIECES.findall(lines.lower()), pa.large_string()).dictionary_encode()
+        known = pieces.dictionary.to_pylist()
+        index = pieces.indices.to_numpy(zero_copy_only=False)
+        stop = known.index("\n") if n > 1 else len(known)
+        values = self._pieces([p for p in known if p != "\n"])
+        if n > 1:
+            values.insert(stop, b"")
+        stops = np.append(np.flatnonzero(index == stop), len(index))[:n]
+        each = binary_column(*taken(pa.array(values, pa.large_binary()), index, stops), pa.large_binary())
+        place = np.arange(n)
+        place[own] = n + np.arange(len(own))
+        words.index = place[words.index]
+        return words.spread(pa.concat_arrays([each, pa.array(others, pa.large_binary())]), end)
+
     def ids(self, text: bytes) -> bytes:
         """Ids of one text."""
         return b"".join(self.words[w.decode("utf-8", "replace")] for w in text.split())
@@ -79,8 +132,8 @@ def piece_table(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | Non
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         end = np.array([END], dtype="<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "body"):
-                flat, ends = Words(part.column("body")).gather(tokenizer.words.__getitem__, end)
+            for part in slices(batch, "body", TEXT_BYTES):
+                flat, ends = tokenizer.batch(part.column("body"), end)
                 ends //= 4
                 sizes = np.diff(ends, prepend=0)
                 pieces = -(-sizes // capacity)

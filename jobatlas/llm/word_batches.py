@@ -43,15 +43,27 @@ class Words:
     def distinct(self) -> list[str]:
         return self.dictionary.to_pylist()
 
+    def lines(self) -> str:
+        """The distinct words, a line each."""
+        size, data = self.dictionary.buffers()[1:]
+        offsets = np.frombuffer(size, dtype=np.int64)[self.dictionary.offset :][: len(self.dictionary) + 1]
+        if data is None or len(offsets) < 2:
+            return "\n" * max(0, len(self.dictionary) - 1)
+        flat = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
+        return np.insert(flat, offsets[1:-1] - offsets[0], 10).tobytes().decode("utf-8", "replace")
+
     def gather(self, value: Callable[[str], bytes], end: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, ends per text): the values of a text's words one after the other, ``end`` after each text."""
-        values = [value(w) if w else b"" for w in self.distinct]
+        return self.spread(pa.array([value(w) if w else b"" for w in self.distinct], pa.large_binary()), end)
+
+    def spread(self, values: pa.Array, end: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """As ``gather`` with the values of the distinct words."""
         index, ends = self.index, self.ends
         if end is not None:
             index = np.insert(index, ends, len(values))
-            values.append(end)
+            values = pa.concat_arrays([values, pa.array([end], pa.large_binary())])
             ends = ends + np.arange(1, len(ends) + 1)
-        return taken(pa.array(values, pa.large_binary()), index, ends)
+        return taken(values, index, ends)
 
 
 def taken(values: pa.Array, index: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,5 +77,6 @@ def taken(values: pa.Array, index: np.ndarray, ends: np.ndarray) -> tuple[np.nda
 
 def binary_column(flat: np.ndarray, ends: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
     """Arrow column of the parts of ``flat`` that end at ``ends``."""
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.Array.from_buffers(kind or pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+    kind = kind or pa.binary()
+    offsets = np.concatenate([[0], ends]).astype(np.int64 if kind == pa.large_binary() else np.int32)
+    return pa.Array.from_buffers(kind, len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from jobatlas.llm import packing, token_counts, warc
 from messy import rows
@@ -28,6 +29,20 @@ def test_ids_equal_those_of_the_tokenizer(whole, spark, small):
         assert np.frombuffer(own.ids(t.encode()), dtype="<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_a_batch_of_texts_has_the_ids_of_each(whole):
+    """Each distinct piece is looked up once, however many words hold it; also without words, and with one."""
+    own = packing.WordTokenizer(packing.default_vocabulary())
+    texts = [r[1] or "" for r in rows()] + ["I'll don't IT'S ' !!'s x's", "á ́b ÅÅ İΣ σ <|x", "ß ÀÖ÷ \x7f 12a", "Word word, WORD!! word. (word) wörd"]
+    for some in (texts, ["", "  "], ["one"], ["σ"], []):
+        flat, ends = own.batch(pa.array([t.encode() for t in some], pa.binary()), np.array([7], dtype="<u4").tobytes())
+        got = [a.view("<u4").tolist() for a in np.split(flat, ends[:-1])] if some else []
+        assert got == [[*whole.encode(t, add_special_tokens=False).ids, 7] for t in some]
+    asked = []
+    own._pieces = lambda pieces: asked.extend(pieces) or packing.WordTokenizer._pieces(own, pieces)
+    own.batch(pa.array([b"Word word, WORD!! word. (word) x", b"word, x!! (word)"], pa.binary()), b"")
+    assert sorted(asked) == sorted({"word", ",", "!!", ".", "(", ")", "x"})
+
+
 def test_every_piece_has_a_place(docs, no_docs, whole):
     got = packing.pack(docs, capacity=256).collect()
     bins, pieces = defaultdict(list), defaultdict(list)
