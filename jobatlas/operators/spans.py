@@ -21,7 +21,7 @@ def _run(values: pa.ChunkedArray) -> np.ndarray:
 def _rank(values: pa.ChunkedArray) -> np.ndarray:
     """Dense rank of each value, nulls first."""
     number = _run(values)
-    first = np.unique(number, return_index=True)[1]
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))
     return pc.rank(values.take(pa.array(first)), null_placement="at_start", tiebreaker="dense").to_numpy()[number]
 
 
