@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from jobatlas.llm.common import lists, mix, ordered_hash, read_table, release, save, text_bytes, word_hashes
 from jobatlas.llm.word_batches import slices
-from jobatlas.operators.graph import connected_components
+from jobatlas.operators.graph import component_stars
 
 #: Sets whose sizes lie in one class share a number of parts.
 CLASS_RATIO = 1.5
 #: Parts beyond the least number, so that agreement in empty parts alone is rare.
 SPARE_PARTS = 1
 #: Slices in which the index lists pass.
-SLICES = 4
+SLICES = 2
 #: Places of a set's parity sketch, of the wide one, and the sizes that have a wide one.
 BITS, WIDE_BITS, WIDE_FROM = 512, 16384, 1000
 EMPTY = np.uint64(0xA5A5A5A5A5A5A5A5)
@@ -127,11 +127,15 @@ def _elements(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return _map_slices(met.select("w.set_id", "d.body"), run, "set_id long, elements array<long>").dropDuplicates(["set_id"])
 
 
-def _linked(docs: DataFrame, table: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _sets(table: DataFrame) -> DataFrame:
+    """Saved rows of ``table``, one of each different set, with the document that its elements are read from again."""
+    return save(table.where("set_id is not null").withColumnRenamed("n_shingles", "n").dropDuplicates(["set_id"]))
+
+
+def _linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The saved pairs (a, b) whose sets reach the threshold; the sets are read again for the ids in ``pairs`` alone."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    wanted = table.join(ids, "set_id").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_key")).alias("one"))
-    elements = save(_elements(docs, wanted.select("set_id", "one.doc_id", "one.text_key"), width))
+    elements = save(_elements(docs, sets.join(ids, "set_id").select("set_id", "doc_id", "text_key"), width))
     release(docs.sparkSession)
     a = elements.select(F.col("set_id").alias("a"), F.col("elements").alias("ea"))
     b = elements.select(F.col("set_id").alias("b"), F.col("elements").alias("eb"))
@@ -143,13 +147,13 @@ def _linked(docs: DataFrame, table: DataFrame, pairs: DataFrame, width: int, per
 
 
 def _close(percent: int):
-    """Condition on two listed sets that every linked pair meets: by size, and by the difference of their sketches.
+    """Condition on two sets that every linked pair meets: by size, and by the difference of their sketches.
 
     With t the similarity, (1 + t) times the difference of linked sets is at most (1 - t) times the sum of their sizes.
     """
     sketch = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("hbits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
     sized = F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent
-    return sized & (F.col("set_id") != F.col("h")) & ((100 + percent) * sketch <= (100 - percent) * (F.col("n") + F.col("hn")))
+    return sized & ((100 + percent) * sketch <= (100 - percent) * (F.col("n") + F.col("hn")))
 
 
 def _widely_close(percent: int, a: str, b: str, total):
@@ -159,91 +163,101 @@ def _widely_close(percent: int, a: str, b: str, total):
     return small | ((100 + percent) * apart <= (100 - percent) * total)
 
 
-def _pair(rows: DataFrame) -> DataFrame:
-    return rows.select(F.least("set_id", "h").alias("a"), F.greatest("set_id", "h").alias("b"), (F.col("n") + F.col("hn")).alias("n")).distinct()
-
-
-def _narrowed(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _narrowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Saved (a, b) of the pairs (a, b, n) that the wide sketches of large sets allow as well."""
-    wide = sketches.where(F.size("wide") > 0)
-    a = wide.select(F.col("set_id").alias("a"), F.col("wide").alias("wa"))
-    b = wide.select(F.col("set_id").alias("b"), F.col("wide").alias("wb"))
-    met = pairs.join(a, "a", "left").join(b, "b", "left")
-    return save(met.where(_widely_close(percent, "wa", "wb", F.col("n"))).select("a", "b"))
+    wide = sets.where(F.col("n") >= WIDE_FROM)
+    if not wide.isEmpty():
+        a = wide.select(F.col("set_id").alias("a"), F.col("wide").alias("wa"))
+        b = wide.select(F.col("set_id").alias("b"), F.col("wide").alias("wb"))
+        pairs = pairs.join(a, "a", "left").join(b, "b", "left").where(_widely_close(percent, "wa", "wb", F.col("n")))
+    return save(pairs.select("a", "b"))
+
 
+def _members(sets: DataFrame) -> list[DataFrame]:
+    """Saved (key, set_id, least, other) of the lists that more than one set is in; keys pass in slices, which bounds the disk in use.
 
-def _members(table: DataFrame) -> list[DataFrame]:
-    """Saved (key, set_id, n) of the lists that more than one set is in; keys pass in slices, which bounds the disk in use."""
+    ``least`` is the smallest set of the list, ``other`` one that differs from list to list.
+    """
     parts = []
     for k in range(SLICES):
-        entries = table.where("set_id is not null").select(
-            "set_id", F.col("n_shingles").alias("n"), F.explode(F.expr(f"filter(keys, x -> pmod(x, {SLICES}) = {k})")).alias("key")
-        )
-        shared = entries.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo != hi").select("key")
-        parts.append(save(entries.join(shared, "key").distinct()))
-        release(table.sparkSession)
+        entries = sets.select("set_id", F.explode(F.expr(f"filter(keys, x -> pmod(x, {SLICES}) = {k})")).alias("key"))
+        mixed = F.min(F.col("set_id").bitwiseXOR(F.col("key"))).alias("mixed")
+        shared = entries.groupBy("key").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most"), mixed).where("least != most")
+        heads = shared.select("key", "least", F.col("mixed").bitwiseXOR(F.col("key")).alias("other"))
+        parts.append(save(entries.join(heads, "key")))
+        release(sets.sparkSession)
     return parts
 
 
+def _head_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Saved (a, b, n) of close pairs of a set and a head of one of its lists.
+
+    Every set meets the smallest of its list.  It meets the other head, too, unless both already are close to one same
+    set, which holds for most of a large class; what that leaves out is met when all sets of open lists are compared.
+    """
+    heads = F.explode(F.array(F.struct(F.col("least").alias("h"), F.lit(True).alias("first")), F.struct(F.col("other").alias("h"), F.lit(False).alias("first"))))
+    met = members.select("set_id", heads.alias("x")).select("set_id", "x.h", "x.first").where("set_id != h")
+    pairs = met.groupBy(F.least("set_id", "h").alias("a"), F.greatest("set_id", "h").alias("b")).agg(F.max("first").alias("first"))
+    own = sets.select(F.col("set_id").alias("a"), "n", "bits")
+    head = sets.select(F.col("set_id").alias("b"), F.col("n").alias("hn"), F.col("bits").alias("hbits"))
+    close = save(pairs.join(own, "a").join(head, "b").where(_close(percent)).select("a", "b", (F.col("n") + F.col("hn")).alias("n"), "first"))
+    release(sets.sparkSession)
+    both = close.where("first").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"))
+    least = both.groupBy(F.col("x.a").alias("id")).agg(F.least(F.min("x.b"), F.col("x.a")).alias("label"))
+    la, lb = least.select(F.col("id").alias("a"), F.col("label").alias("la")), least.select(F.col("id").alias("b"), F.col("label").alias("lb"))
+    named = close.where("not first").join(la, "a", "left").join(lb, "b", "left")
+    apart = named.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "n")
+    pairs = _narrowed(close.where("first").select("a", "b", "n").unionByName(apart), sets, percent)
+    release(sets.sparkSession, close)
+    return pairs
+
+
 def _open(members: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """(key, set_id, n, class) of the lists whose sets are not all in one class."""
+    """(key, set_id, class) of the lists whose sets are not all in one class."""
     if classes is None:
-        return members.withColumn("class", F.col("set_id"))
-    rows = members.join(classes, members.set_id == classes.id, "left").select("key", "set_id", "n", F.coalesce("component", "set_id").alias("class"))
+        return members.select("key", "set_id", F.col("set_id").alias("class"))
+    rows = members.join(classes, members.set_id == classes.id, "left").select("key", "set_id", F.coalesce("component", "set_id").alias("class"))
     mixed = rows.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
     return rows.join(mixed, "key")
 
 
-def _close_pairs(members: DataFrame, classes: DataFrame | None, sketches: DataFrame, percent: int, step: str) -> DataFrame:
-    """Saved close pairs of different classes in the open lists of one slice.
-
-    ``first``: every set with the smallest of its list; ``spread``: with one that differs from list to list; ``all``:
-    with every other.
-    """
+def _open_pairs(members: DataFrame, classes: DataFrame | None, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, n), repeated ones included, of all close pairs of different classes in the open lists, and the saved table it reads."""
     # Once classes are known, few lists are open; there the wide sketches are tested before a pair is made.
-    wide = step == "all" and classes is not None
-    rows = save(_open(members, classes).join(sketches.select("set_id", "bits", *(["wide"] if wide else [])), "set_id"))
-    names = (("set_id", "h"), ("n", "hn"), ("class", "hc"), ("bits", "hbits"))
-    if step == "all":
-        names += (("wide", "hwide"),) if wide else ()
-        head, once = rows.select("key", *(F.col(c).alias(h) for c, h in names)), F.col("set_id") < F.col("h")
-        if wide:
-            once = once & _widely_close(percent, "wide", "hwide", F.col("n") + F.col("hn"))
-    else:
-        rank = F.col("set_id") if step == "first" else F.xxhash64("key", "set_id")
-        head = rows.groupBy("key").agg(F.min_by(F.struct(*(c for c, _ in names)), rank).alias("x"))
-        head, once = head.select("key", *(F.col(f"x.{c}").alias(h) for c, h in names)), F.lit(True)
-    pairs = save(_pair(rows.join(head, "key").where(once & (F.col("class") != F.col("hc")) & _close(percent))))
-    release(members.sparkSession, rows)
-    return pairs
+    wide = ["wide"] if classes is not None else []
+    rows = save(_open(members, classes).join(sets.select("set_id", "n", "bits", *wide), "set_id"))
+    names = (("set_id", "h"), ("n", "hn"), ("class", "hc"), ("bits", "hbits"), *((c, f"h{c}") for c in wide))
+    once = F.col("set_id") < F.col("h")
+    if wide:
+        once = once & _widely_close(percent, "wide", "hwide", F.col("n") + F.col("hn"))
+    met = rows.join(rows.select("key", *(F.col(c).alias(h) for c, h in names)), "key").where(once & (F.col("class") != F.col("hc")) & _close(percent))
+    return met.select(F.col("set_id").alias("a"), F.col("h").alias("b"), (F.col("n") + F.col("hn")).alias("n")), rows
 
 
 def _classed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, text_key, n_shingles, class) of every row of ``docs``; rows without a set have no class."""
+    """(doc_id, text_key, n_shingles, class) of every row of ``docs``; rows without a set have no class.
+
+    A step costs the tasks of its shuffles however few rows it has.  So classes are formed twice only: from links with
+    the heads of lists, and from the pairs of all sets in lists that are open then.
+    """
     spark = docs.sparkSession
     table = save(set_table(docs, width, percent))
-    sketches = save(table.where("set_id is not null").select("set_id", "bits", "wide").dropDuplicates(["set_id"]))
-    members = _members(table)
-    tested = links = spark.createDataFrame([], "a long, b long")
-    classes, done = None, []
-    for step in ("first", "spread", "all"):
-        parts = [_close_pairs(m, classes, sketches, percent, step) for m in members]
-        pairs = reduce(DataFrame.unionByName, parts).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = _narrowed(pairs, sketches, percent)
-        release(spark, *parts)
-        if pairs.isEmpty():
-            continue
-        found = _linked(docs, table, pairs, width, percent)
-        tested, links = tested.unionByName(pairs), links.unionByName(found)
-        done += [pairs, found] + ([classes] if classes is not None else [])
-        classes = save(connected_components(links))
-    release(spark, sketches, *members, *done)
-    if classes is None:
-        classes = spark.createDataFrame([], "id long, component long")
+    sets = _sets(table)
     slim = save(table.select("doc_id", "text_key", "n_shingles", "set_id"))
     release(spark, table)
-    table = slim
-    named = table.join(classes, table.set_id == classes.id, "left")
+    members = _members(sets)
+    shared = reduce(DataFrame.unionByName, members)
+    tested = _head_pairs(shared, sets, percent)
+    links = _linked(docs, sets, tested, width, percent)
+    classes = component_stars(links)
+    met, rows = _open_pairs(shared, classes, sets, percent)
+    pairs = save(met.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+    release(spark, rows, tested, *members)
+    if not pairs.isEmpty():
+        known = classes.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        classes = component_stars(known.unionByName(_linked(docs, sets, pairs, width, percent)))
+    release(spark, sets, pairs)
+    named = slim.join(classes, slim.set_id == classes.id, "left")
     return named.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "set_id").alias("class"))
 
 
@@ -279,12 +293,15 @@ def _pairs(docs: DataFrame, table: DataFrame, width: int, percent: int) -> DataF
 
     All sets of a list meet, whatever their classes; sizes and sketches bound their difference, then they are verified.
     """
-    sketches = save(table.where("set_id is not null").select("set_id", "bits", "wide").dropDuplicates(["set_id"]))
-    members = _members(table)
-    parts = [_close_pairs(m, None, sketches, percent, "all") for m in members]
-    pairs = _narrowed(reduce(DataFrame.unionByName, parts).distinct(), sketches, percent)
-    release(docs.sparkSession, sketches, *members, *parts)
-    return _linked(docs, table, pairs, width, percent)
+    sets = _sets(table)
+    members, parts = _members(sets), []
+    for m in members:
+        met, rows = _open_pairs(m, None, sets, percent)
+        parts.append(save(met.distinct()))
+        release(docs.sparkSession, rows)
+    pairs = _narrowed(reduce(DataFrame.unionByName, parts).distinct(), sets, percent)
+    release(docs.sparkSession, *members, *parts)
+    return _linked(docs, sets, pairs, width, percent)
 
 
 def jaccard_pairs(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from jobatlas.llm import jaccard_join, suffix_dedup
+from jobatlas.operators import graph
 from jobatlas.operators.graph import connected_components
 from messy import prose, rows
 
@@ -82,6 +83,26 @@ def test_links_within_a_class_are_all_returned(spark):
     assert got == Counter((i, len(a), sum(alike(a, b) for b in sets) - bool(a)) for (i, _), a in zip(pairs, sets, strict=True))
 
 
+def test_classes_take_few_steps(spark):
+    rng, pairs = random.Random(5), []
+    for n in (12, 60, 300):
+        words = prose(rng, n).split()
+        for step in range(40):
+            copy = words[:]
+            for place in rng.sample(range(n), 1 + n // 40):
+                copy[place] = f"w{n}x{step}x{place}"
+            pairs.append((len(pairs), " ".join(copy)))
+    docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    spark.sparkContext.setJobGroup("classes", "classes")
+    try:
+        rows = jaccard_join.jaccard_classes(docs).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows) == classes([p[0] for p in pairs], [p[1] for p in pairs])
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("classes"))
+    assert jobs <= 60, jobs
+
+
 @pytest.mark.parametrize("percent", [90, 80])
 def test_linked_sets_share_a_key(percent):
     rng = np.random.default_rng(1)
@@ -102,6 +123,16 @@ def test_components(spark):
     assert connected_components(links.where("false")).count() == 0
 
 
+def test_stars_are_written_as_they_are(spark, monkeypatch):
+    links = spark.createDataFrame([(1, 4), (3, 1), (1, 2), (9, 8)], "a long, b long")
+    rounds, small = [], graph._small_star
+    monkeypatch.setattr(graph, "_small_star", lambda edges: rounds.append(1) or small(edges))
+    assert {(r.id, r.component) for r in connected_components(links).collect()} == {(i, 1) for i in (1, 2, 3, 4)} | {(8, 8), (9, 8)}
+    assert not rounds
+    path = [(i, i + 1) for i in range(20)]
+    assert {(r.id, r.component) for r in connected_components(spark.createDataFrame(path, "a long, b long")).collect()} == {(i, 0) for i in range(21)}
+
+
 def removed(texts, length):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
