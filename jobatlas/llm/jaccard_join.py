@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobatlas.llm.common import lists, mix, ordered_hash, read_table, release, save, text_bytes, word_hashes
@@ -23,8 +23,8 @@ from jobatlas.operators.graph import component_stars
 CLASS_RATIO = 1.5
 #: Parts beyond the least number, so that agreement in empty parts alone is rare.
 SPARE_PARTS = 1
-#: Slices in which the index lists pass.
-SLICES = 2
+#: Slices in which the index lists pass; one slice's shuffle may still stand while the next is written.
+SLICES = 4
 #: Places of a set's parity sketch, of the wide one, and the sizes that have a wide one.
 BITS, WIDE_BITS, WIDE_FROM = 512, 16384, 1000
 EMPTY = np.uint64(0xA5A5A5A5A5A5A5A5)
@@ -178,13 +178,13 @@ def _members(sets: DataFrame) -> list[DataFrame]:
 
     ``least`` is the smallest set of the list, ``other`` one that differs from list to list.
     """
-    parts = []
+    parts, own = [], Window.partitionBy("key")
+    least, mixed = F.min("set_id").over(own), F.min(F.col("set_id").bitwiseXOR(F.col("key"))).over(own)
     for k in range(SLICES):
         entries = sets.select("set_id", F.explode(F.expr(f"filter(keys, x -> pmod(x, {SLICES}) = {k})")).alias("key"))
-        mixed = F.min(F.col("set_id").bitwiseXOR(F.col("key"))).alias("mixed")
-        shared = entries.groupBy("key").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most"), mixed).where("least != most")
-        heads = shared.select("key", "least", F.col("mixed").bitwiseXOR(F.col("key")).alias("other"))
-        parts.append(save(entries.join(heads, "key")))
+        # One shuffle serves both the heads of a list and its members.
+        headed = entries.select("key", "set_id", least.alias("least"), F.max("set_id").over(own).alias("most"), mixed.alias("mixed"))
+        parts.append(save(headed.where("least != most").select("key", "set_id", "least", F.col("mixed").bitwiseXOR(F.col("key")).alias("other"))))
         release(sets.sparkSession)
     return parts
 
@@ -230,7 +230,10 @@ def _open_pairs(members: DataFrame, classes: DataFrame | None, sets: DataFrame,
     once = F.col("set_id") < F.col("h")
     if wide:
         once = once & _widely_close(percent, "wide", "hwide", F.col("n") + F.col("hn"))
-    met = rows.join(rows.select("key", *(F.col(c).alias(h) for c, h in names)), "key").where(once & (F.col("class") != F.col("hc")) & _close(percent))
+    # Both sides are the same rows, renamed after the join only, so that they share one shuffle.
+    both = rows.alias("x").join(rows.alias("y"), F.col("x.key") == F.col("y.key"))
+    both = both.select(*(F.col(f"x.{c}") for c, _ in names), *(F.col(f"y.{c}").alias(h) for c, h in names))
+    met = both.where(once & (F.col("class") != F.col("hc")) & _close(percent))
     return met.select(F.col("set_id").alias("a"), F.col("h").alias("b"), (F.col("n") + F.col("hn")).alias("n")), rows
 
 

@@ -103,6 +103,23 @@ def test_classes_take_few_steps(spark):
     assert jobs <= 60, jobs
 
 
+def test_index_lists_take_one_shuffle_a_slice(spark, monkeypatch):
+    rng, plans, write = random.Random(6), [], jaccard_join.save
+    sets = [(i, [rng.randrange(-60, 60) for _ in range(12)] + [1000 + i, -1000 - i]) for i in range(-20, 20)]
+    table = spark.createDataFrame([(i, sorted(set(keys))) for i, keys in sets], "set_id long, keys array<long>").repartition(3)
+    monkeypatch.setattr(jaccard_join, "save", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    parts = jaccard_join._members(table)
+    members = {}
+    for i, keys in sets:
+        for key in keys:
+            members.setdefault(key, set()).add(i)
+    rows = [r for part in parts for r in part.select("key", "set_id", "least", "other").collect()]
+    assert Counter((r.key, r.set_id, r.least) for r in rows) == Counter((k, i, min(own)) for k, own in members.items() if len(own) > 1 for i in own)
+    assert all(r.other == min(members[r.key], key=lambda i: i ^ r.key) for r in rows)
+    assert len(plans) == len(parts) >= 4
+    assert not any("Join" in plan for plan in plans)
+
+
 @pytest.mark.parametrize("percent", [90, 80])
 def test_linked_sets_share_a_key(percent):
     rng = np.random.default_rng(1)
